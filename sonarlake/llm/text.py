@@ -49,8 +49,8 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n] + np.uint64(i + 1))
-    return out
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return mix(out)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
