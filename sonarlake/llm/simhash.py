@@ -217,8 +217,11 @@ def _components(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with the document of the least id of each component only; rows that repeat it stay once."""
+    """docs with the document of the least id of each component only.
+
+    Rows that repeat both id and text stay once; a document without an id can't be told apart and stays.
+    """
     rows = checkpointed(with_fingerprints(docs, id, text))
-    first = _components(rows, radius).where(F.col("id") == F.col("component_id")).select("id").distinct()
-    out = docs.join(first.withColumnRenamed("id", "_kept"), F.col(id) == F.col("_kept"), "left_semi")
-    return out.dropDuplicates([id])
+    first = _components(rows, radius).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__kept")).distinct()
+    out = docs.join(first, F.col(id) == F.col("__kept"), "left_semi").dropDuplicates([id, text])
+    return out.unionByName(docs.where(F.col(id).isNull()))
