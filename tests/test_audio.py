@@ -1,0 +1,129 @@
+"""Signal statistics and rules, alignment, and identities."""
+
+import hashlib
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sonarlake.functions import align, identity, signal
+from sonarlake.sources.readers import decode_wav
+from sonarlake.sources.sinks import encode_wav
+
+
+def _stats(spark, samples, rate=48000):
+    df = spark.createDataFrame([([float(x) for x in samples], rate)], "a array<float>, r int")
+    return df.select(signal.stats(F.col("a"), F.col("r"), subtype=F.lit("PCM_24")).alias("s")).withColumn("q", signal.audio_qc(F.col("s"))).first()
+
+
+def test_statistics(spark):
+    rate = 100
+    a = [0.0] * 10 + [0.5, -0.25, 0.0005, 0.0002, 0.25] + [0.0] * 5
+    s = _stats(spark, a, rate)["s"]
+    assert s["peak"] == 0.5 and s["frames"] == 20 and s["duration"] == 0.2
+    assert s["rms"] == pytest.approx(math.sqrt(sum(x * x for x in a) / 20), abs=1e-6)
+    assert s["edge_silence_seconds"]["start"] == 0.1 and s["edge_silence_seconds"]["end"] == 0.05
+    assert s["longest_silence_seconds"] == 0.1 and s["max_sample_jump"] == pytest.approx(0.75)
+    assert s["silence_ratio"] == pytest.approx(17 / 20)
+
+
+def test_empty_and_not_finite(spark):
+    empty = _stats(spark, [])
+    assert empty["s"]["silence_ratio"] == 1.0 and "empty" in empty["q"]["failures"] and "silence_only" in empty["q"]["failures"]
+    nan = _stats(spark, [0.1, float("nan"), 0.1])
+    assert "nan" in nan["q"]["failures"] and "near_full_scale" not in nan["q"]["warnings"]
+    assert "inf" in _stats(spark, [float("inf"), 0.0])["q"]["failures"]
+    assert "clipping" in _stats(spark, [0.9995, -0.2])["q"]["failures"]
+
+
+def test_status_order(spark):
+    good = [0.1 * math.sin(k / 3) for k in range(4800)]
+    assert _stats(spark, good)["q"]["status"] == "PASS"
+    assert _stats(spark, good, 44100)["q"]["failures"] == ["sample_rate"]
+    assert _stats(spark, [0.001 * x for x in good])["q"]["status"] == "WARN"
+
+
+def test_channels(spark):
+    df = spark.createDataFrame([([[0.5, 1.0], [-0.5, 0.0]],)], "c array<array<float>>")
+    assert df.select(signal.mono(F.col("c"))).first()[0] == [0.0, 0.5]
+
+
+def test_trim_gain_and_join(spark):
+    df = spark.createDataFrame([([0.0] * 30 + [0.5, 0.25] + [0.0] * 30, 100), ([0.0] * 5, 100)], "a array<float>, r int")
+    cut, none = (r[0] for r in df.select(signal.trim(F.col("a"), F.col("r"))).collect())
+    assert len(cut) == 8 + 2 + 12 and none is None
+    assert df.select(signal.gain_to_peak(F.col("a"), -6.0)).first()[0] == pytest.approx(-6 - 20 * math.log10(0.5))
+    loud = spark.range(1).select(signal.gain_to_loudness(F.lit(-20.0), F.lit(-3.0), F.lit(-14.0), F.lit(None).cast("double"))).first()[0]
+    assert loud == 2.0
+    parts = spark.createDataFrame([(2, [0.3]), (1, [0.1, 0.2])], "pos int, samples array<float>").agg(F.collect_list(F.struct("pos", "samples")).alias("p"))
+    assert parts.select(signal.concat_ordered(F.col("p"), F.lit(4), 0.5)).first()[0] == pytest.approx([0.1, 0.2, 0.0, 0.0, 0.3])
+
+
+def test_cosine(one):
+    v = lambda *x: F.array(*(F.lit(float(k)) for k in x))
+    assert one(signal.cosine(v(1, 0), v(1, 0))) == 1.0 and one(signal.cosine(v(1, 0), v(-1, 0))) == -1.0
+    assert one(signal.cosine(v(1, 0), v(0, 0))) is None and one(signal.cosine(v(1), v(1, 2))) is None and one(signal.cosine(v(float("nan")), v(1))) is None
+
+
+def test_wav_round_trip():
+    data = encode_wav([0.0, 0.5, -0.5, 0.25], 48000)
+    back = decode_wav(data)
+    assert back["subtype"] == "PCM_24" and back["sample_rate"] == 48000 and back["samples"] == pytest.approx([0.0, 0.5, -0.5, 0.25], abs=1e-6)
+    assert decode_wav(b"RIFF")["error_code"] == decode_wav(b"")["error_code"] == "audio_invalid"
+
+
+def test_wav_source_and_gate(spark, tmp_path):
+    from sonarlake.sources import readers, sinks
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.wav").write_bytes(encode_wav([0.5, -0.5], 48000))
+    (tmp_path / "a" / "bad.wav").write_bytes(b"no")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in readers.waveforms(spark, str(tmp_path)).collect()}
+    assert rows["bad.wav"]["error_code"] == "audio_invalid" and len(rows["x.wav"]["samples"]) == 2
+    clips = spark.createDataFrame([([0.1], 48000), ([1.5], 48000), ([0.1], 8000), ([], 48000), ([float("nan")], 48000)], "samples array<float>, sample_rate int")
+    assert [r["error_code"] for r in sinks.encoded(clips).collect()] == [None, "over_full_scale", "sample_rate", "empty", "not_finite"]
+
+
+def _brute(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_script_invariants():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc中") for _ in range(rng.randrange(12))) for _ in range(2))
+        s = align.script(a, b)
+        assert s["edit_distance"] == _brute(a, b) == sum(len(s[k]) for k in ("substitutions", "deletions", "insertions"))
+    s = align.script("abc", "abbc")
+    assert [x["recognized"] for x in s["insertions"]] == ["b"] and align.script(None, "a") is None and align.script("a" * 5001, "a") is None
+    assert align.script("a", "abb")["insertions"][-1]["possible_repetition"] is True
+
+
+def test_rates_and_verdicts(one):
+    n = F.lit(None).cast("double")
+    assert one(align.cer(F.lit("重庆"), F.lit("重启"))) == 0.5 and one(align.cer(F.lit("ab"), F.lit(""))) == 1.0 and one(align.cer(F.lit(""), F.lit("a"))) is None
+    assert one(align.comparison_text(F.lit("你好，World！ 5"))) == "你好world五" and one(align.comparison_text(F.lit("Straße"))) == "strasse"
+    v = lambda command, rate, t: one(align.verdict(F.lit(command), F.lit(None).cast("string"), rate, t))
+    assert [v(False, F.lit(0.1), F.lit(0.2)), v(True, n, F.lit(0.2)), v(True, F.lit(0.1), n), v(True, F.lit(0.1), F.lit(0.1)), v(True, F.lit(0.3), F.lit(0.1))] == ["UNAVAILABLE", "ERROR", "WARN", "PASS", "FAIL"]
+    assert one(align.passed(F.lit(0.1), n)) is None
+    e = lambda samples, t: one(align.calibration_error(F.lit("b"), F.lit("b"), F.lit(samples), F.lit(True), F.lit("x"), F.lit(t)))
+    assert e(30, 0.12) is None and e(29, 0.12) == "configuration_error" and e(30, float("nan")) == "configuration_error"
+    assert one(align.accepted_automatically(F.lit("PASS"), F.lit(None).cast("string"))) is False
+    assert one(align.retry_reason(F.lit("FAIL"), F.lit("FAIL")))["code"] == "transcript_mismatch"
+
+
+def test_identity(one):
+    assert one(identity.json_fingerprint(F.lit('{"b": 1, "a": "é"}'))) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+    assert one(identity.json_fingerprint(F.lit('{"a": NaN}'))) is None
+    assert one(identity.row_fingerprint(F.lit("ab"), F.lit("c"))) != one(identity.row_fingerprint(F.lit("a"), F.lit("bc")))
+    blob = hashlib.sha1(b"blob 3\0abc").hexdigest()
+    assert one(identity.verified_artifact(F.lit("abc").cast("binary"), F.lit(blob))) is True
+    assert one(identity.verified_artifact(F.lit("abc").cast("binary"), F.lit(hashlib.sha256(b"abc").hexdigest()))) is True
+    assert one(identity.lock_error(F.lit("r"), "r", F.lit("bf16"), "bf16", F.lit("a" * 40 + "\n"))) == "model_lock_invalid"
