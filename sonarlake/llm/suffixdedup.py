@@ -9,8 +9,9 @@ the same one. About one place in eighteen is an anchor, with the run of windows
    least id of the task go on; the others are repeats already. So a passage that a third of the rows
    share leaves each task once.
 2. Anchors meet by the hash of their K-gram. Runs that agree with a run of a smaller id are repeats as a
-   whole (K-gram and run hashes, over 100 bits, agree). Where only the K-gram agrees, the run's ends differ,
-   and its text is asked for, with the text of one run of each other kind.
+   whole (K-gram, run and side hashes, over 100 bits, agree). A window shared in part of a run reaches SIDE
+   bytes beyond the anchor on one side at least; where a side agrees with a smaller id, the run's text is
+   asked for, with the text of one run of each other kind.
 3. The texts asked for are sorted as suffix arrays by deep-shallow sorting; among windows that agree in
    SPAN bytes, those of an id above the least are repeats.
 4. Spans of each document are united and cut from it.
@@ -39,6 +40,7 @@ from sonarlake.llm.text import mix, sliding_min
 
 SPAN, K = 50, 16
 W = SPAN - K + 1
+SIDE = (SPAN - K) // 2
 #: Bytes of text hashed at once, of text between two emissions of a task, and of text for each bucket.
 CHUNK, FLUSH, BUCKET_BYTES = 1 << 20, 24 << 20, 36 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -60,7 +62,7 @@ def gram_values(text: np.ndarray) -> np.ndarray:
 
 
 def runs_of(text: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram hash, run hash, first window, last window) for the anchors of one text of at most 16 MB.
+    """(gram hash, run hash, side hashes, first window, last window) for the anchors of one text of at most 16 MB.
 
     valid: windows that may be used, by start.
     """
@@ -69,7 +71,7 @@ def runs_of(text: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = sliding_min(order, W) & PLACE
     at = np.flatnonzero(valid)
     if not len(at):
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     a = anchor[at]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)])
     first = at[new]
@@ -81,9 +83,15 @@ def runs_of(text: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
             x = mix(x * _M[4 + k]) + h[p + step]
         return x
 
-    gram = mix(h[a[new].astype(np.int64)])
+    at = a[new].astype(np.int64)
+    gram = mix(h[at])
+    sides = np.zeros(len(at), np.int64)
+    # Twelve bits for each side on which some window of the run reaches far enough; 0 where none does.
+    for shift, there, x, y in ((12, at - first >= SIDE, -SIDE, 1 - SIDE), (0, at - last <= SIDE, K, K + 1)):
+        p = at[there]
+        sides[there] |= (1 + (mix(h[p + x] * _M[5] + h[p + y]) % np.uint64(4095)).astype(np.int64)) << shift
     run = mix(mix(window(first)) * _M[7] + window(last) + (last - first).astype(np.uint64))
-    return gram, run, first, last
+    return gram, run, sides, first, last
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +172,15 @@ class _Flush:
         np.add.at(bad, np.maximum(starts, ends - SPAN + 1), 1)
         np.add.at(bad, ends, -1)
         valid = np.cumsum(bad)[: len(whole) - SPAN + 1] == 0
-        gram, run, first, last = runs_of(whole, valid)
+        gram, run, sides, first, last = runs_of(whole, valid)
         doc = np.searchsorted(starts, first, "right") - 1
-        self.runs.append((gram, run, doc + base, first - starts[doc] + shift, (last - first).astype(np.uint8)))
+        self.runs.append((gram, run, sides, doc + base, first - starts[doc] + shift, (last - first).astype(np.uint8)))
 
     def emit(self):
         """(bucket, anchors, repeats) rows."""
         self.hash_held()
         if self.runs and any(len(r[0]) for r in self.runs):
-            gram, run, doc, pos, size = (np.concatenate(c) for c in zip(*self.runs, strict=True))
+            gram, run, sides, doc, pos, size = (np.concatenate(c) for c in zip(*self.runs, strict=True))
             ids = np.array([d[0] for d in self.docs], np.int64)
             keys = np.array([d[1] for d in self.docs], np.int64)
             both = mix(gram + run * _M[6])
@@ -190,9 +198,11 @@ class _Flush:
                 if not len(mine) and not found:
                     continue
                 used, which, counts = np.unique(doc[mine], return_inverse=True, return_counts=True)
-                low = (gram[mine] & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
+                low = gram[mine].view(np.uint8).reshape(-1, 8)[:, :5]
+                # Five bytes of the run's hash above three of its sides.
+                kind = ((run[mine] << np.uint64(24)) | sides[mine].astype(np.uint64)).astype("<u8")
                 step = np.diff(pos[mine], prepend=0)
-                yield b, pickle.dumps((low.tobytes(), run[mine].tobytes(), keys[used].tobytes(), _squeeze(np.diff(ids[used], prepend=0), counts, step, size[mine]))), pickle.dumps(found)
+                yield b, pickle.dumps((low.tobytes(), kind.tobytes(), keys[used].tobytes(), _squeeze(np.diff(ids[used], prepend=0), counts, step, size[mine]))), pickle.dumps(found)
         self.clear()
 
 
@@ -211,7 +221,30 @@ def _anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return map_slices(docs.select("id", "k", "t"), work, "bucket int, anchors binary, repeats binary")
+    return map_slices(docs.select("__id", "__k", "__t"), work, "bucket int, anchors binary, repeats binary")
+
+
+class _Groups:
+    """Rows with equal keys: their least id, and which row has it first."""
+
+    def __init__(self, key: np.ndarray, id: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if len(key) else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        self.group = np.empty(len(key), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(id[order], heads) if len(key) else id
+        self.least = least[self.group]
+        self.first = np.zeros(len(key), bool)
+        own = np.flatnonzero(id == self.least)
+        self.first[own[np.unique(self.group[own], return_index=True)[1]]] = True
+
+    def any(self, mask: np.ndarray) -> np.ndarray:
+        """For each row, whether the mask holds anywhere in its group."""
+        out = np.zeros(int(self.group.max()) + 1 if len(self.group) else 0, bool)
+        out[self.group[mask]] = True
+        return out[self.group]
 
 
 def _meet(key, group):
@@ -235,29 +268,20 @@ def _meet(key, group):
         dups += pickle.loads(repeats)
     gram, run, doc, pos, size, ids, keys = (np.concatenate(c) for c in (gram, run, doc, pos, size, ids, keys))
     id = ids[doc]
-    order = np.lexsort((id, run, gram))
-    g, r, i = gram[order], run[order], id[order]
-    new_g = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
-    new_r = new_g | np.concatenate([[True], r[1:] != r[:-1]]) if len(g) else new_g
-
-    def least(new):
-        heads = np.flatnonzero(new)
-        return np.repeat(np.minimum.reduceat(i, heads), np.diff(np.append(heads, len(i)))) if len(i) else i
-
-    full = i > least(new_r)
-    asks = ~full & (i > least(new_g))
-    # One run of each kind answers for it, in groups where somebody asks.
-    group_of = np.cumsum(new_g) - 1
-    asked = np.zeros(int(group_of[-1]) + 1 if len(g) else 0, bool)
-    asked[group_of[asks]] = True
-    wanted = asks | (new_r & asked[group_of])
+    left, right = (run >> np.uint64(12)) & np.uint64(4095), run & np.uint64(4095)
+    kinds, lefts, rights = _Groups(mix(gram * _M[6] + run), id), _Groups(gram << np.uint64(12) | left, id), _Groups(gram << np.uint64(12) | right, id)
+    full = id > kinds.least
+    by_left, by_right = (left > 0) & (id > lefts.least) & ~full, (right > 0) & (id > rights.least) & ~full
+    asks = by_left | by_right
+    # One run of each kind answers for it, where somebody asks.
+    wanted = asks | (kinds.first & (((left > 0) & lefts.any(by_left)) | ((right > 0) & rights.any(by_right))))
     out: dict[int, list[bytes]] = {}
-    rows = order[full]
+    rows = np.flatnonzero(full)
     rows = rows[np.lexsort((pos[rows], doc[rows]))]
     dups += [(int(keys[d]), spans) for d, spans in _spans_of_docs(doc[rows], pos[rows], pos[rows] + size[rows] + SPAN)]
     for k, spans in dups:
         out.setdefault(k, [b"", b""])[0] += spans
-    rows = order[wanted]
+    rows = np.flatnonzero(wanted)
     rows_ask = asks[wanted]
     by_doc = np.argsort(doc[rows], kind="stable")
     rows, rows_ask = rows[by_doc], rows_ask[by_doc]
@@ -276,8 +300,8 @@ def _texts(asked: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
         for b in batches:
             rows = []
-            for id, k, t, asks in zip(*(b.column(c).to_pylist() for c in ("id", "k", "t", "asks")), strict=True):
-                for a in np.frombuffer(b"".join(asks), ASK):
+            for id, k, t, asks in zip(*(b.column(c).to_pylist() for c in ("__id", "__k", "__t", "__asks")), strict=True):
+                for a in () if not any(asks) else np.frombuffer(b"".join(asks), ASK):
                     at, end = int(a["pos"]), int(a["pos"]) + int(a["len"]) + SPAN
                     rows.append((int(a["g"]) % buckets, NO_ID if id is None else id, k, at, bool(a["ask"]), t[at:end]))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
@@ -323,18 +347,17 @@ def _with_spans(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFra
     """The columns ``keep``, the text's bytes ``__t``, and the packed spans ``__dups`` and ``__late``."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(id), body)
-    rows = docs.select(F.col(id).cast("long").alias("id"), key.alias("k"), body.cast("binary").alias("t"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
+    rows = docs.select(*keep, F.col(id).cast("long").alias("__id"), key.alias("__k"), body.cast("binary").alias("__t"))
     met = _anchor_rows(rows, buckets).groupBy("bucket").applyInArrow(_meet, "k long, dups binary, asks binary")
-    per = met.groupBy("k").agg(F.collect_list("dups").alias("dups"), F.collect_list("asks").alias("asks"))
-    asked = rows.join(per.where(F.exists("asks", lambda a: F.octet_length(a) > 0)), "k").select("id", "k", "t", "asks")
-    late = _texts(asked, buckets).groupBy("b").applyInArrow(_sort_windows, "k long, dups binary")
+    per = met.groupBy("k").agg(F.collect_list("dups").alias("__dups"), F.collect_list("asks").alias("__asks")).withColumnRenamed("k", "__a")
+    # Texts and findings move once: both uses of ``whole`` read the same columns, so Spark reuses the exchanges.
+    whole = rows.join(per, F.col("__k") == F.col("__a"), "left").drop("__a")
+    whole = whole.withColumns({c: F.coalesce(c, F.array()) for c in ("__dups", "__asks")})
+    late = _texts(whole, buckets).groupBy("b").applyInArrow(_sort_windows, "k long, dups binary")
     late = late.groupBy("k").agg(F.collect_list("dups").alias("__late")).withColumnRenamed("k", "__b")
-    early = per.select(F.col("k").alias("__a"), F.col("dups").alias("__dups"))
-    whole = docs.select(*keep, key.alias("__k"), body.cast("binary").alias("__t"))
-    whole = whole.join(early, F.col("__k") == F.col("__a"), "left").join(late, F.col("__k") == F.col("__b"), "left")
-    return whole.select(*keep, "__t", F.coalesce("__dups", F.array()).alias("__dups"), F.coalesce("__late", F.array()).alias("__late"))
+    return whole.join(late, F.col("__k") == F.col("__b"), "left").drop("__b").withColumn("__late", F.coalesce("__late", F.array()))
 
 
 def _fragments(t: bytes, *packed: list[bytes]) -> tuple[list[bytes], int]:
