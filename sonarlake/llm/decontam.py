@@ -181,5 +181,6 @@ def _joined(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
         "k", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
     ).withColumn("n_items", F.greatest("n_items", F.lit(0).cast("long"))).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    keys = docs.withColumns({"_k": F.xxhash64(text), "_k2": F.sha1(F.coalesce(text, F.lit("")))})
-    return keys.join(per, (F.col("_k") == F.col("k")) & (F.col("_k2") == F.col("k2"))).select(*docs.columns, *OUTPUT.names)
+    keys = docs.withColumns({"__k": F.xxhash64(text), "__k2": F.sha1(F.coalesce(text, F.lit("")))})
+    per = per.withColumnsRenamed({"k": "__p", "k2": "__p2"})
+    return keys.join(per, (F.col("__k") == F.col("__p")) & (F.col("__k2") == F.col("__p2"))).select(*docs.columns, *OUTPUT.names)
