@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
+from importlib import metadata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,3 +55,15 @@ def lock_error(repo: Column, expected_repo: str, kind: Column, expected_kind: st
     """Why a model lock can't be trusted; null if it can."""
     fine = (repo == expected_repo) & (kind == expected_kind) & revision.rlike(r"^[a-f0-9]{40}\z")
     return F.when(~F.coalesce(fine, F.lit(False)), "model_lock_invalid")
+
+
+def runtime_versions(packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy")) -> dict[str, Column]:
+    """Versions of the running software as literal columns; null for what isn't installed."""
+
+    def version(name):
+        try:
+            return metadata.version(name)
+        except metadata.PackageNotFoundError:
+            return None
+
+    return {"python": F.lit(platform.python_version()), **{p: F.lit(version(p)) for p in packages}}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Levels and the rate of a master.
 SILENCE, EDGE, CLIP, TARGET_RATE = 1e-3, 1e-4, 0.999, 48_000
@@ -169,3 +173,33 @@ def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     fine = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
     return F.when(fine, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
+
+
+def _resampled(samples: list[float] | None, rate: int | None, target: int = TARGET_RATE, lobes: int = 10, beta: float = 5.0) -> list[float] | None:
+    """Band-limited change of rate by a ratio of integers, with a Kaiser-windowed sinc."""
+    if samples is None or not rate:
+        return None
+    g = math.gcd(int(rate), target)
+    up, down = target // g, int(rate) // g
+    if up == down or not samples:
+        return list(samples)
+    top = max(up, down)
+    half = lobes * top
+    taps = np.sinc(np.arange(-half, half + 1) / top) * np.kaiser(2 * half + 1, beta)
+    taps *= up / taps.sum()
+    x = np.asarray(samples, np.float64)
+    n = -(-len(x) * up // down)
+    at = np.arange(n) * down  # places on the raised grid
+    first = -(-(at - half) // up)
+    k = first[:, None] + np.arange(2 * half // up + 1)[None, :]  # the samples that each output sees
+    tap = at[:, None] - k * up + half
+    good = (k >= 0) & (k < len(x)) & (tap >= 0) & (tap <= 2 * half)
+    return (x[np.clip(k, 0, len(x) - 1)] * taps[np.clip(tap, 0, 2 * half)] * good).sum(axis=1).tolist()
+
+
+_resample = F.udf(_resampled, T.ArrayType(T.DoubleType()), useArrow=True)
+
+
+def resample(a: Column, rate: Column) -> Column:
+    """Samples at the rate of a master."""
+    return _resample(a, rate)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions import signal
-from sonarlake.functions.identity import row_fingerprint
+from sonarlake.functions.identity import row_fingerprint, verified_artifact
 from sonarlake.operators.validate import mastering_error, review_error
 
 #: Codes that stand for the kinds of errors.
@@ -84,3 +84,22 @@ def join_segments(segments: DataFrame, group: list[str], pos: str, samples: str,
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, dead letters) by ``error_code``."""
     return rows.where("error_code IS NULL"), rows.where("error_code IS NOT NULL")
+
+
+def verify_receipts(artifacts: DataFrame, receipts: DataFrame, path: str = "path") -> DataFrame:
+    """Receipts (path, revision, etag) with ``verified``: the artifact is there and its content has the etag."""
+    there = artifacts.select(F.col(path).alias("_p"), F.col("content").alias("_c"))
+    joined = receipts.join(there, F.col(path) == F.col("_p"), "left")
+    return joined.withColumn("verified", F.coalesce(verified_artifact(F.col("_c"), F.col("etag")), F.lit(False))).drop("_p", "_c")
+
+
+def model_identity(verified: DataFrame, revision: str, config: DataFrame) -> DataFrame:
+    """One row: the model's shards, and why it can't be trusted (null if it can). ``config`` is one row of ``json``."""
+    shards = verified.agg(
+        F.countDistinct("path").alias("shards"), F.coalesce(F.every("verified"), F.lit(False)).alias("_all"), F.coalesce(F.every(F.col("revision") == revision), F.lit(False)).alias("_rev"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set("etag")), ","), 256).alias("model_sha256"),
+    )
+    quantized = config.agg(F.max(F.get_json_object("json", "$.quantization").isNotNull().cast("int")).alias("_q"))
+    row = shards.join(F.broadcast(quantized), F.lit(True))  # both sides are one row
+    error = F.when(F.coalesce(F.col("_q"), F.lit(0)) == 1, "model_quantized").when(~F.col("_rev"), "revision_differs").when(~F.col("_all"), "artifact_changed")
+    return row.withColumn("error_code", error).drop("_all", "_rev", "_q")

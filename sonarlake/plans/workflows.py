@@ -81,3 +81,11 @@ def calibration(samples: DataFrame, threshold: float) -> DataFrame:
 def system_report(styles: DataFrame) -> DataFrame:
     """Counts that a health check shows."""
     return styles.agg(F.count("*").alias("references"), report.short_references(F.col("duration")).alias("short_references"))
+
+
+def inspect_qc(clips: DataFrame, reference: bool = False) -> DataFrame:
+    """Decoded clips (``sources.readers.waveforms``) with ``stats`` and ``qc``. Peak and clipping see every channel."""
+    known = F.col("samples").isNotNull()
+    own = signal.stats(F.col("samples"), F.col("sample_rate"), F.col("channels"), F.col("subtype"))
+    rows = clips.withColumn("stats", F.when(known, own.withField("peak", F.col("peak_all")).withField("clipping", F.col("peak_all") >= signal.CLIP)))
+    return rows.withColumn("qc", F.when(known, signal.audio_qc(F.col("stats"), reference=reference)))

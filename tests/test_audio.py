@@ -127,3 +127,21 @@ def test_identity(one):
     assert one(identity.verified_artifact(F.lit("abc").cast("binary"), F.lit(blob))) is True
     assert one(identity.verified_artifact(F.lit("abc").cast("binary"), F.lit(hashlib.sha256(b"abc").hexdigest()))) is True
     assert one(identity.lock_error(F.lit("r"), "r", F.lit("bf16"), "bf16", F.lit("a" * 40 + "\n"))) == "model_lock_invalid"
+
+
+def test_resample():
+    tone = lambda rate, n: [math.sin(2 * math.pi * 440 * k / rate) for k in range(n)]
+    for rate in (16000, 44100, 96000):
+        out = signal._resampled(tone(rate, rate // 10), rate)
+        want = tone(48000, len(out))
+        assert len(out) == 4800 and max(abs(a - b) for a, b in zip(out[600:-600], want[600:-600], strict=True)) < 0.01
+    assert signal._resampled(None, 8000) is None and signal._resampled([], 8000) == [] and signal._resampled([0.5], 48000) == [0.5]
+
+
+def test_inspect_files(spark, tmp_path):
+    from sonarlake.plans.workflows import inspect_qc
+    from sonarlake.sources import readers
+
+    (tmp_path / "a.wav").write_bytes(encode_wav([0.1 * math.sin(k / 3) for k in range(4800)], 48000))
+    row = inspect_qc(readers.waveforms(spark, str(tmp_path))).first()
+    assert row["qc"]["status"] == "PASS" and row["stats"]["duration"] == 0.1

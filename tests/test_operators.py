@@ -212,3 +212,20 @@ def test_calibration(spark):
     assert row["reviewed_samples"] == 31 and row["false_retry_rate"] == pytest.approx(1 / 31)
     assert workflows.benchmark_plan(spark.createDataFrame([("c", "失落")], "id string, emotion string"), [10, 20]).count() == 2
     assert align.LIMIT == 5000
+
+
+def test_model_identity(spark):
+    import hashlib
+
+    from sonarlake.functions.identity import runtime_versions
+
+    etag = hashlib.sha256(b"abc").hexdigest()
+    artifacts = spark.createDataFrame([("a", bytearray(b"abc"))], "path string, content binary")
+    receipts = spark.createDataFrame([("a", "r1", etag)], "path string, revision string, etag string")
+    config = spark.createDataFrame([('{"x": 1}',)], "json string")
+    good = lifecycle.verify_receipts(artifacts, receipts)
+    assert lifecycle.model_identity(good, "r1", config).first()["error_code"] is None
+    assert lifecycle.model_identity(good, "r2", config).first()["error_code"] == "revision_differs"
+    assert lifecycle.model_identity(lifecycle.verify_receipts(artifacts.limit(0), receipts), "r1", config).first()["error_code"] == "artifact_changed"
+    assert lifecycle.model_identity(good, "r1", spark.createDataFrame([('{"quantization": {}}',)], "json string")).first()["error_code"] == "model_quantized"
+    assert spark.range(1).select(*(c.alias(k) for k, c in runtime_versions(("pyspark", "no-such")).items())).first()["no-such"] is None
