@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from sonarlake import ship
+
 #: Rows of a batch that a Python stage works on at once.
 SLICE = 256
 
@@ -40,6 +42,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def map_slices(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose batches are cut to at most SLICE rows, so that long texts don't pile up."""
 
+    ship(df.sparkSession)
+
     def sliced(batches):
         def cut():
             for b in batches:
