@@ -1,6 +1,7 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
-Training compares in how many toxic and clean labelled documents each token stands: log-odds under a Dirichlet prior
+Training compares in how many toxic and clean labelled documents each token stands, and then, for the
+tokens that differ, in how many different surroundings (so copies of a text don't count again): log-odds under a Dirichlet prior
 that is the pooled distribution. A linear-time scan then finds every maximal-scoring segment of a text
 (all of them, not the best only); a segment's score is made comparable between texts by extreme-value
 statistics: under the background distribution the best of a text of m tokens follows a Gumbel law with
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonarlake.llm.session import checkpointed, map_slices
+from sonarlake.llm.text import stable_hash
 
 STEM = 4
 #: Labelled rows that training reads at most, the bound of its vocabulary, and the least z of a kept token.
@@ -43,6 +45,10 @@ THRESHOLD = 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def hash_of(text: str) -> int:
+    return stable_hash(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def tokens_of(text: str | None) -> list[str]:
     return [w[:STEM] for w in _LETTERS.findall((text or "").lower())]
 
@@ -144,18 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id: str = "doc_id", t
     totals = per.agg(F.sum("t"), F.sum("c")).first()
     if not totals[0] or not totals[1]:
         return ToxicityModel()
-    nt, nc = F.lit(float(totals[0])), F.lit(float(totals[1]))
-    # The half keeps the variance of a token that one side lacks in bounds.
-    prior = 0.5 + PRIOR * (F.col("t") + F.col("c")) / (nt + nc)
-    odds = F.log((F.col("t") + prior) / (nt + PRIOR - F.col("t") - prior)) - F.log((F.col("c") + prior) / (nc + PRIOR - F.col("c") - prior))
-    z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    kept = per.select("w", "t", "c", odds.alias("o"), z.alias("z")).where(F.col("z") >= MIN_Z)
-    got = kept.orderBy(F.col("z").desc(), "w").limit(MAX_TOKENS + 1).collect()
-    if len(got) > MAX_TOKENS:
+    nt, nc = float(totals[0]), float(totals[1])
+    likely = _significant(per, nt, nc).orderBy(F.col("z").desc(), "w").limit(MAX_TOKENS + 1).collect()
+    if len(likely) > MAX_TOKENS:
         raise ValueError(f"more than {MAX_TOKENS} significant tokens; raise MIN_Z or lower max_labelled")
+    got = _significant(_contexts(sample, {r["w"] for r in likely}), nt, nc).orderBy("w").collect() if likely else []
     if not got:
         return ToxicityModel()
-    clean_total = float(totals[1])
+    clean_total = nc
     model = ToxicityModel({r["w"]: r["o"] for r in got})
     p_hit = sum(r["c"] for r in got) / clean_total
     # A token without weight costs what it says for the clean side, at least enough that the background drifts down.
@@ -180,6 +182,35 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id: str = "doc_id", t
     return model
 
 
+def _significant(counts: DataFrame, nt: float, nc: float) -> DataFrame:
+    """Tokens (w, t, c) whose log-odds ``o`` of toxic against clean are significant."""
+    t, c = F.col("t"), F.col("c")
+    # The half keeps the variance of a token that one side lacks in bounds.
+    prior = 0.5 + PRIOR * (t + c) / (nt + nc)
+    odds = F.log((t + prior) / F.greatest(F.lit(0.5), nt + PRIOR - t - prior)) - F.log((c + prior) / F.greatest(F.lit(0.5), nc + PRIOR - c - prior))
+    z = odds / F.sqrt(1 / (t + prior) + 1 / (c + prior))
+    return counts.select("w", "t", "c", odds.alias("o"), z.alias("z")).where(F.col("z") >= MIN_Z)
+
+
+def _contexts(sample: DataFrame, tokens: set[str]) -> DataFrame:
+    """For each token (w) in how many different surroundings it stands on either side: t, c.
+
+    Copies of a document have the same surroundings, so a text that was copied often counts once.
+    """
+
+    def work(batches):
+        for b in batches:
+            rows = set()
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = ["", *_LETTERS.findall((t or "").lower()), ""]
+                rows |= {(y, w[:STEM], hash_of(words[i - 1] + " " + w + " " + words[i + 1])) for i, w in enumerate(words) if w[:STEM] in tokens}
+            out = list(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))], ["y", "w", "x"])
+
+    once = map_slices(sample, work, "y int, w string, x long").distinct()
+    return once.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c"))
+
+
 def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with a weak prior that keeps separated data finite."""
     a, b = 1.0, -1.0
