@@ -42,7 +42,9 @@ SPAN, K = 50, 16
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
 #: Bytes of text hashed at once, of text between two emissions of a task, and of text for each bucket.
-CHUNK, FLUSH, BUCKET_BYTES = 1 << 20, 24 << 20, 36 << 20
+CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 16 << 20, 24 << 20
+#: Shares of a bucket that are sorted one after the other.
+SHARES = 16
 PLACE = np.uint64((1 << 24) - 1)
 ASK = np.dtype([("g", "<u8"), ("pos", "<i8"), ("len", "u1"), ("ask", "u1")])
 NO_ID = (1 << 63) - 1
@@ -247,6 +249,21 @@ class _Groups:
         return out[self.group]
 
 
+def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that repeat as a whole, runs whose text is needed to tell, and these with those that answer for them."""
+    left, right = (run >> np.uint64(12)) & np.uint64(4095), run & np.uint64(4095)
+    kinds = _Groups(mix(gram * _M[6] + run), id)
+    full = id > kinds.least
+    asks, wanted = np.zeros(len(id), bool), np.zeros(len(id), bool)
+    for side in (left, right):
+        groups = _Groups(gram << np.uint64(12) | side, id)
+        asking = (side > 0) & (id > groups.least) & ~full
+        asks |= asking
+        # One run of each kind answers for it, where somebody asks.
+        wanted |= kinds.first & (side > 0) & groups.any(asking)
+    return full, asks, asks | wanted
+
+
 def _meet(key, group):
     """Anchors of one bucket: per document the spans that repeat, and the runs whose text is asked for."""
     gram, run, doc, pos, size, ids, keys = [], [], [], [], [], [], []
@@ -259,26 +276,25 @@ def _meet(key, group):
         wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
         gram.append(wide.view("<u8").ravel())
         run.append(np.frombuffer(raw, np.uint64))
-        doc.append(np.repeat(np.arange(n, n + len(i)), counts))
-        pos.append(np.cumsum(step))
+        doc.append(np.repeat(np.arange(n, n + len(i), dtype=np.int32), counts))
+        at = np.cumsum(step)
+        pos.append(at.astype(np.int32) if not len(at) or at.max() < 1 << 31 else at)
         size.append(s)
         ids.append(np.cumsum(i))
         keys.append(np.frombuffer(k, np.int64))
         n += len(i)
         dups += pickle.loads(repeats)
     gram, run, doc, pos, size, ids, keys = (np.concatenate(c) for c in (gram, run, doc, pos, size, ids, keys))
-    id = ids[doc]
-    left, right = (run >> np.uint64(12)) & np.uint64(4095), run & np.uint64(4095)
-    kinds, lefts, rights = _Groups(mix(gram * _M[6] + run), id), _Groups(gram << np.uint64(12) | left, id), _Groups(gram << np.uint64(12) | right, id)
-    full = id > kinds.least
-    by_left, by_right = (left > 0) & (id > lefts.least) & ~full, (right > 0) & (id > rights.least) & ~full
-    asks = by_left | by_right
-    # One run of each kind answers for it, where somebody asks.
-    wanted = asks | (kinds.first & (((left > 0) & lefts.any(by_left)) | ((right > 0) & rights.any(by_right))))
+    full, asks, wanted = (np.zeros(len(gram), bool) for _ in range(3))
+    share = (gram >> np.uint64(32)).astype(np.uint8) % SHARES
+    for k in range(SHARES):
+        rows = np.flatnonzero(share == k)
+        if len(rows):
+            full[rows], asks[rows], wanted[rows] = _decide(gram[rows], run[rows], ids[doc[rows]])
     out: dict[int, list[bytes]] = {}
     rows = np.flatnonzero(full)
     rows = rows[np.lexsort((pos[rows], doc[rows]))]
-    dups += [(int(keys[d]), spans) for d, spans in _spans_of_docs(doc[rows], pos[rows], pos[rows] + size[rows] + SPAN)]
+    dups += [(int(keys[d]), spans) for d, spans in _spans_of_docs(doc[rows], pos[rows], pos[rows].astype(np.int64) + size[rows] + SPAN)]
     for k, spans in dups:
         out.setdefault(k, [b"", b""])[0] += spans
     rows = np.flatnonzero(wanted)
