@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that the quicksort compares, and the size of a part that is sorted directly.
-SHALLOW, SMALL = 24, 48
+SHALLOW, SMALL = 24, 256
 
 
 class BlindTrie:
@@ -20,7 +20,7 @@ class BlindTrie:
     def __init__(self, length: int):
         self.length, self.root = length, None
 
-    def insert(self, s: bytes, value: int) -> None:
+    def insert(self, s: bytes, value) -> None:
         if self.root is None:
             self.root = [s, [value]]
             return
@@ -66,30 +66,30 @@ def _words(text: np.ndarray) -> np.ndarray:
 
 
 def shallow_groups(text: np.ndarray, places: np.ndarray, shallow: int = SHALLOW):
-    """Yields the places in order, as arrays of those that agree in their first ``shallow`` bytes."""
+    """Yields the places in order, as lists of those that agree in their first ``shallow`` bytes."""
     words = _words(text)
     whole = text.tobytes()
     stack = [(places, 0)]
     while stack:
         part, depth = stack.pop()
         if len(part) == 1 or depth >= shallow:
-            yield part
-            continue
-        if len(part) <= SMALL:
-            keyed = sorted((whole[p + depth : p + shallow], p) for p in part.tolist())
-            run = [keyed[0][1]]
-            for (a, _), (b, p) in zip(keyed, keyed[1:], strict=False):
-                if a != b:
-                    yield np.array(run)
-                    run = []
+            yield part.tolist()
+        elif len(part) <= SMALL:
+            keyed = sorted([(whole[p + depth : p + shallow], p) for p in part.tolist()])
+            last, run = keyed[0][0], []
+            for key, p in keyed:
+                if key != last:
+                    yield run
+                    last, run = key, []
                 run.append(p)
-            yield np.array(run)
-            continue
-        key = words[part + depth]
-        pivot = np.sort(key[:: max(1, len(key) // 9)])[len(key[:: max(1, len(key) // 9)]) // 2]
-        less, more = key < pivot, key > pivot
-        same = ~(less | more)
-        stack += [(p, d) for p, d in ((part[more], depth), (part[same], depth + 8), (part[less], depth)) if len(p)]
+            yield run
+        else:
+            key = words[part + depth]
+            some = np.sort(key[:: max(1, len(key) // 9)])
+            pivot = some[len(some) // 2]
+            less, more = key < pivot, key > pivot
+            same = ~(less | more)
+            stack += [(p, d) for p, d in ((part[more], depth), (part[same], depth + 8), (part[less], depth)) if len(p)]
 
 
 def equal_windows(text: np.ndarray, places: np.ndarray, length: int, shallow: int = SHALLOW):
@@ -98,9 +98,16 @@ def equal_windows(text: np.ndarray, places: np.ndarray, length: int, shallow: in
     for group in shallow_groups(text, places, min(shallow, length)):
         if len(group) < 2:
             continue
+        # Strings that agree throughout are one; the trie orders those that differ.
+        same: dict[bytes, list[int]] = {}
+        for p in group:
+            same.setdefault(whole[p : p + length], []).append(p)
+        if len(same) == 1:
+            yield group
+            continue
         trie = BlindTrie(length)
-        for p in group.tolist():
-            trie.insert(whole[p : p + length], p)
+        for s, at in same.items():
+            if len(at) > 1:
+                trie.insert(s, at)
         for leaf in trie.leaves():
-            if len(leaf) > 1:
-                yield leaf
+            yield leaf[0]
