@@ -21,7 +21,7 @@ from sonarlake.llm.session import map_slices
 from sonarlake.llm.tokens import encoder
 
 #: Lengths of a block of suffix sums.
-BLOCK = 4096
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
