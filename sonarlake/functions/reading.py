@@ -77,6 +77,16 @@ def _read_signed(text: Column) -> Column:
     return F.when(digits.rlike(r"^\d+$"), F.concat(F.when(text.startswith("-") & (short != "0"), F.lit(MINUS)).otherwise(F.lit("")), read))
 
 
+def _two_digits(n: int) -> str:
+    tens, ones = divmod(n, 10)
+    return DIGITS[n] if not tens else (DIGITS[tens] if tens > 1 else "") + TEN + (DIGITS[ones] if ones else "")
+
+
+def small_reading(n: Column) -> Column:
+    """A number below 100, by a table that the optimizer folds to a constant; null beyond."""
+    return F.get(F.array(*(F.lit(_two_digits(k)) for k in range(100))), n.cast("int"))
+
+
 def number_reading(value: Column) -> Column:
     """Sign, integer part and the digits of the fraction."""
     text = value.cast("string")
@@ -87,7 +97,7 @@ def number_reading(value: Column) -> Column:
 
 
 def date_reading(date: Column) -> Column:
-    return F.concat(digit_reading(F.year(date).cast("string")), F.lit(YEAR), integer_reading(F.month(date)), F.lit(MONTH), integer_reading(F.dayofmonth(date)), F.lit(DAY))
+    return F.concat(digit_reading(F.year(date).cast("string")), F.lit(YEAR), small_reading(F.month(date)), F.lit(MONTH), small_reading(F.dayofmonth(date)), F.lit(DAY))
 
 
 def checked_date_reading(text: Column) -> Column:
@@ -100,9 +110,9 @@ def time_reading(hour: Column, minute: Column, second: Column | None = None) ->
     """Null where a part is out of range; a missing second isn't read."""
     second = F.lit(None).cast("int") if second is None else second
     read = F.concat(
-        integer_reading(hour), F.lit(HOUR),
-        F.when(minute == 0, F.lit(SHARP)).otherwise(F.concat(F.when(minute < 10, F.lit("零")).otherwise(F.lit("")), integer_reading(minute), F.lit(MINUTE))),
-        F.when(second.isNull(), F.lit("")).otherwise(F.concat(integer_reading(second), F.lit(SECOND))),
+        small_reading(hour), F.lit(HOUR),
+        F.when(minute == 0, F.lit(SHARP)).otherwise(F.concat(F.when(minute < 10, F.lit("零")).otherwise(F.lit("")), small_reading(minute), F.lit(MINUTE))),
+        F.when(second.isNull(), F.lit("")).otherwise(F.concat(small_reading(second), F.lit(SECOND))),
     )
     return F.when((hour <= 23) & (minute <= 59) & (F.coalesce(second, F.lit(0)) <= 59), read)
 
