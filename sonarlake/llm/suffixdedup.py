@@ -29,6 +29,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 16 << 20, 24 << 20
 #: Shares of a bucket that are sorted one after the other.
 SHARES = 16
 PLACE = np.uint64((1 << 24) - 1)
-ASK = np.dtype([("g", "<u8"), ("pos", "<i8"), ("len", "u1"), ("ask", "u1")])
+#: A finding of a bucket: a span of document ``k`` that repeats (g < 0), or one whose text is needed, with its K-gram.
+FOUND = "k long, start long, end long, g long, ask boolean"
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240229)
@@ -291,23 +293,25 @@ def _meet(key, group):
         rows = np.flatnonzero(share == k)
         if len(rows):
             full[rows], asks[rows], wanted[rows] = _decide(gram[rows], run[rows], ids[doc[rows]])
-    out: dict[int, list[bytes]] = {}
-    rows = np.flatnonzero(full)
-    rows = rows[np.lexsort((pos[rows], doc[rows]))]
-    dups += [(int(keys[d]), spans) for d, spans in _spans_of_docs(doc[rows], pos[rows], pos[rows].astype(np.int64) + size[rows] + SPAN)]
-    for k, spans in dups:
-        out.setdefault(k, [b"", b""])[0] += spans
-    rows = np.flatnonzero(wanted)
-    rows_ask = asks[wanted]
-    by_doc = np.argsort(doc[rows], kind="stable")
-    rows, rows_ask = rows[by_doc], rows_ask[by_doc]
-    packed = np.zeros(len(rows), ASK)
-    packed["g"], packed["pos"], packed["len"], packed["ask"] = gram[rows], pos[rows], size[rows], rows_ask
-    cuts = np.flatnonzero(np.diff(doc[rows])) + 1
-    for part in np.split(np.arange(len(rows)), cuts):
-        if len(part):
-            out.setdefault(int(keys[doc[rows[part[0]]]]), [b"", b""])[1] += packed[part].tobytes()
-    return pa.table({"k": pa.array(list(out), pa.int64()), "dups": pa.array([v[0] for v in out.values()], pa.binary()), "asks": pa.array([v[1] for v in out.values()], pa.binary())})
+    own = [np.frombuffer(spans, "<i8").reshape(-1, 2) for _, spans in dups]
+    each = np.repeat(np.array([k for k, _ in dups], np.int64), [len(x) for x in own]) if own else np.zeros(0, np.int64)
+    own = np.concatenate([*own, np.zeros((0, 2), np.int64)])
+    rows = np.concatenate([np.flatnonzero(full), np.flatnonzero(wanted)])
+    start = pos[rows].astype(np.int64)
+    g = np.where(np.arange(len(rows)) < full.sum(), -1, gram[rows].astype(np.int64))
+    return pa.table({
+        "k": np.concatenate([each, keys[doc[rows]]]), "start": np.concatenate([own[:, 0], start]), "end": np.concatenate([own[:, 1], start + size[rows] + SPAN]),
+        "g": np.concatenate([np.full(len(each), -1), g]), "ask": np.concatenate([np.zeros(len(each), bool), asks[rows]]),
+    })
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Edges of the lists of a column, and all that is in them."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64), column.flatten()
+
+
+def _fields(column: pa.StructArray, *names: str) -> list[np.ndarray]:
+    return [pc.struct_field(column, n).to_numpy(zero_copy_only=False) for n in names]
 
 
 def _texts(asked: DataFrame, buckets: int) -> DataFrame:
@@ -315,11 +319,14 @@ def _texts(asked: DataFrame, buckets: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
+            edges, flat = _lists(b.column("__asks"))
+            start, end, g, ask = _fields(flat, "start", "end", "g", "ask")
             rows = []
-            for id, k, t, asks in zip(*(b.column(c).to_pylist() for c in ("__id", "__k", "__t", "__asks")), strict=True):
-                for a in () if not any(asks) else np.frombuffer(b"".join(asks), ASK):
-                    at, end = int(a["pos"]), int(a["pos"]) + int(a["len"]) + SPAN
-                    rows.append((int(a["g"]) % buckets, NO_ID if id is None else id, k, at, bool(a["ask"]), t[at:end]))
+            for n, (id, k) in enumerate(zip(b.column("__id").to_pylist(), b.column("__k").to_pylist(), strict=True)):
+                if edges[n] < edges[n + 1]:
+                    t = b.column("__t")[n].as_py()
+                    for a in range(edges[n], edges[n + 1]):
+                        rows.append((int(g[a]) % buckets, NO_ID if id is None else id, k, int(start[a]), bool(ask[a]), t[start[a] : end[a]]))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], ["b", "id", "k", "pos", "ask", "x"])
 
@@ -366,8 +373,9 @@ def _with_spans(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFra
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
     rows = docs.select(*keep, F.col(id).cast("long").alias("__id"), key.alias("__k"), body.cast("binary").alias("__t"))
-    met = _anchor_rows(rows, buckets).groupBy("bucket").applyInArrow(_meet, "k long, dups binary, asks binary")
-    per = met.groupBy("k").agg(F.collect_list("dups").alias("__dups"), F.collect_list("asks").alias("__asks")).withColumnRenamed("k", "__a")
+    met = _anchor_rows(rows, buckets).groupBy("bucket").applyInArrow(_meet, FOUND)
+    dup, ask = F.when(F.col("g") < 0, F.struct("start", "end")), F.when(F.col("g") >= 0, F.struct("start", "end", "g", "ask"))
+    per = met.groupBy("k").agg(F.collect_list(dup).alias("__dups"), F.collect_list(ask).alias("__asks")).withColumnRenamed("k", "__a")
     # Texts and findings move once: both uses of ``whole`` read the same columns, so Spark reuses the exchanges.
     whole = rows.join(per, F.col("__k") == F.col("__a"), "left").drop("__a")
     whole = whole.withColumns({c: F.coalesce(c, F.array()) for c in ("__dups", "__asks")})
@@ -376,11 +384,15 @@ def _with_spans(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFra
     return whole.join(late, F.col("__k") == F.col("__b"), "left").drop("__b").withColumn("__late", F.coalesce("__late", F.array()))
 
 
-def _fragments(t: bytes, *packed: list[bytes]) -> tuple[list[bytes], int]:
-    """What stays of a text, and how many spans go."""
-    spans = np.frombuffer(b"".join(x for p in packed for x in p), "<i8").reshape(-1, 2)
-    s, e = merge(spans[:, 0], spans[:, 1])
-    return [t[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True)], len(s)
+def _fragments(b: pa.RecordBatch):
+    """For each row of a batch, its text's bytes, what stays of them, and how many spans go."""
+    edges, flat = _lists(b.column("__dups"))
+    start, end = _fields(flat, "start", "end")
+    for n, (t, late) in enumerate(zip(b.column("__t").to_pylist(), b.column("__late").to_pylist(), strict=True)):
+        more = np.frombuffer(b"".join(late), "<i8").reshape(-1, 2)
+        here = slice(edges[n], edges[n + 1])
+        s, e = merge(np.concatenate([start[here], more[:, 0]]).astype(np.int64), np.concatenate([end[here], more[:, 1]]).astype(np.int64))
+        yield t, [t[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True)], len(s)
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -390,8 +402,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     def cut(batches):
         for b in batches:
             out = []
-            for t, dups, late in zip(*(b.column(c).to_pylist() for c in ("__t", "__dups", "__late")), strict=True):
-                parts, n = _fragments(t, dups, late)
+            for t, parts, n in _fragments(b):
                 kept = b"".join(parts)
                 out.append((len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -413,8 +424,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     def cut(batches):
         for b in batches:
             out = []
-            for t, dups, late, null in zip(*(b.column(c).to_pylist() for c in ("__t", "__dups", "__late", "__null")), strict=True):
-                out.append(None if null else "".join(p.decode("utf-8", "ignore") for p in _fragments(t, dups, late)[0]))
+            for (_, parts, _), null in zip(_fragments(b), b.column("__null").to_pylist(), strict=True):
+                out.append(None if null else "".join(p.decode("utf-8", "ignore") for p in parts))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(out, pa.string())], [*others, text])
 
     return map_slices(whole, cut, T.StructType([*(docs.schema[c] for c in others), docs.schema[text]])).select(*docs.columns)

@@ -54,24 +54,24 @@ def test_small_pieces_against_brute_force(docs, monkeypatch):
     emitted += list(flush.emit())
     import pyarrow as pa
 
-    dups, asks = {}, {}
+    texts = {i + 100: (i, t.encode()) for i, t in rows}
+    dups, asked = {}, []
     for b in range(3):
         mine = [e for e in emitted if e[0] == b]
-        t = suffixdedup._meet(None, pa.table({"anchors": pa.array([e[1] for e in mine], pa.binary()), "repeats": pa.array([e[2] for e in mine], pa.binary())})).to_pylist()
-        for r in t:
-            dups[r["k"]] = dups.get(r["k"], b"") + r["dups"]
-            asks[r["k"]] = asks.get(r["k"], b"") + r["asks"]
-    asked = []
-    for i, t in rows:
-        for a in np.frombuffer(asks.get(i + 100, b""), suffixdedup.ASK):
-            asked.append({"id": i, "k": i + 100, "pos": int(a["pos"]), "ask": bool(a["ask"]), "x": t.encode()[int(a["pos"]) : int(a["pos"]) + int(a["len"]) + 50]})
+        found = suffixdedup._meet(None, pa.table({"anchors": pa.array([e[1] for e in mine], pa.binary()), "repeats": pa.array([e[2] for e in mine], pa.binary())}))
+        for r in found.to_pylist():
+            if r["g"] < 0:
+                dups.setdefault(r["k"], []).append((r["start"], r["end"]))
+            else:
+                asked.append({"id": texts[r["k"]][0], "k": r["k"], "pos": r["start"], "ask": r["ask"], "x": texts[r["k"]][1][r["start"] : r["end"]]})
     for r in suffixdedup._sort_windows(None, pa.Table.from_pylist(asked)).to_pylist():
-        dups[r["k"]] = dups.get(r["k"], b"") + r["dups"]
+        dups.setdefault(r["k"], []).extend(map(tuple, np.frombuffer(r["dups"], "<i8").reshape(-1, 2).tolist()))
     got = []
-    for i, t in rows:
-        parts, n = suffixdedup._fragments(t.encode(), [dups.get(i + 100, b"")])
-        kept = b"".join(parts)
-        got.append((i, len(t.encode()), len(t.encode()) - len(kept), n, hashlib.sha256(kept).hexdigest()))
+    for k, (i, t) in texts.items():
+        spans = np.array(dups.get(k, []), np.int64).reshape(-1, 2)
+        s, e = suffixdedup.merge(spans[:, 0], spans[:, 1])
+        kept = b"".join(t[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True))
+        got.append((i, len(t), len(t) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
     assert sorted(got, key=str) == plain(rows)
 
 
