@@ -379,7 +379,7 @@ def _with_spans(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFra
     # Texts and findings move once: both uses of ``whole`` read the same columns, so Spark reuses the exchanges.
     whole = rows.join(per, F.col("__k") == F.col("__a"), "left").drop("__a")
     whole = whole.withColumns({c: F.coalesce(c, F.array()) for c in ("__dups", "__asks")})
-    late = _texts(whole, buckets).groupBy("b").applyInArrow(_sort_windows, "k long, dups binary")
+    late = _texts(whole, 8 * buckets).groupBy("b").applyInArrow(_sort_windows, "k long, dups binary")
     late = late.groupBy("k").agg(F.collect_list("dups").alias("__late")).withColumnRenamed("k", "__b")
     return whole.join(late, F.col("__k") == F.col("__b"), "left").drop("__b").withColumn("__late", F.coalesce("__late", F.array()))
 
