@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.llm import decontam, lm, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc
+from sonarlake.llm import decontam, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
 
 #: The rules that op2 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.pseudo_likelihood(docs, lm.train(docs))
+    return wordlm.corpus_likelihood(docs)
 
 
 def learnable(doc_id):
