@@ -42,3 +42,14 @@ def test_pipeline_stage_drops_appended_copy(spark, docs):
     text = prose(random.Random(1), 70)
     d = docs([(1, text), (1000, text), (1001, text + " more"), (1005, None)]).select(*corpus_pipeline.COLUMNS)
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()} == {1, 1005}
+
+
+def test_one_row_of_each_group_stays(spark, docs):
+    """Rows that repeat an id with another text, whose group has a smaller id, or that have none."""
+    rng = random.Random(9)
+    a, b, c, e = (prose(rng, 80) for _ in range(4))
+    rows = [(7, a), (7, a + " more"), (3, a + " still more"), (7, b), (None, c), (None, c), (None, c + " more"), (None, e), (9, e), (9, e), (None, None), (None, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(rows).select(*corpus_pipeline.COLUMNS), "").collect()
+    ids = sorted((str(r["doc_id"]), (r["text"] or "")[:40]) for r in kept)
+    assert ids == sorted([("3", a[:40]), ("7", b[:40]), ("None", c[:40]), ("9", e[:40]), ("None", "")])
+    assert neardup.keep_first(docs([])).count() == 0
