@@ -9,7 +9,7 @@ the same one. About one place in eighteen is an anchor, with the run of windows
    least id of the task go on; the others are repeats already. So a passage that a third of the rows
    share leaves each task once.
 2. Anchors meet by the hash of their K-gram. Runs that agree with a run of a smaller id are repeats as a
-   whole (K-gram, run and side hashes, over 100 bits, agree). A window shared in part of a run reaches SIDE
+   whole (a 64-bit mix of K-gram, run and side hashes agrees). A window shared in part of a run reaches SIDE
    bytes beyond the anchor on one side at least; where a side agrees with a smaller id, the run's text is
    asked for, with the text of one run of each other kind.
 3. The texts asked for are sorted as suffix arrays by deep-shallow sorting; among windows that agree in
