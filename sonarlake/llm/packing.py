@@ -7,9 +7,14 @@ the free room finds it in logarithmic time. What room is left is then filled by
 the emptiest sequences, and the one sequence that stays partly filled is cut at powers of two, which
 need no padding.
 
-Defined cases: a null or empty text is the closing id alone. Repeated rows are packed once each. Very
-long texts are spread over many sequences. An empty table gives no rows. Only the id and text columns
-are read, so other columns can have any names. ``sequence_id`` holds the group in its upper bits.
+A document's group is a seeded hash of its id and text, so a task that runs again deals every row as before,
+in whatever order rows come; within a group rows are sorted by id, then text.
+
+Defined cases: a null or empty text is the closing id alone. Repeated rows are packed once each, in one
+group. Documents of equal length go in the order of their ids (null first). Very long texts are spread
+over many sequences. An empty table gives no rows. Only the id and text columns are read, so other columns
+can have any names. Ids are longs; text that is no number stops the query with Spark's cast error.
+``sequence_id`` holds the group in its upper bits.
 """
 
 from __future__ import annotations
@@ -124,10 +129,11 @@ def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", room
     # Groups are as many as the documents and bytes ask for, so a group stays small at any size.
     n, size = rows.agg(F.count("*"), F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()
     groups = max(1, math.ceil(n / GROUP_DOCS), math.ceil((size or 0) / (GROUP_DOCS * 4096)))
-    dealt = rows.withColumn("g", F.floor(F.rand(seed) * groups).cast("long"))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
 
     def work(key, group):
         enc, ids, owners = encoder(vocabulary), [], []
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         for b in group.to_batches():
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)

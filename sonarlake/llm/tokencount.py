@@ -5,8 +5,12 @@ every context limit at once, how many documents are longer, how many tokens ther
 remain when each document is cut at the limit. Suffix sums are taken in blocks of lengths: the totals of
 blocks are summed over a few rows, the rest within each block, so no task gets all lengths.
 
-Defined cases: null and empty texts have length 0 (plus any closing ids). Repeated rows count once each.
-An empty table gives an empty histogram. Only the text column is read.
+The corpus is encoded once: ``suffix_sums`` keeps the histogram, a row for each distinct length, in a
+checkpoint and reads it twice.
+
+Defined cases: null and empty texts have length 0. Documents of equal length are one row. Repeated rows
+count once each. A very long text is encoded whole, by one task. An empty table gives an empty histogram,
+no quantile, and 0 for every limit. Only the text column is read, so other columns can have any names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonarlake.llm.session import map_slices
+from sonarlake.llm.session import checkpointed, map_slices
 from sonarlake.llm.tokens import encoder
 
 #: Lengths of a block of suffix sums.
@@ -49,7 +53,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     of min(length, limit) over all documents with this length as limit; ``share_at_most`` is the exact
     cumulative share of documents, so quantiles are read off by the first row that reaches it.
     """
-    own = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    own = checkpointed(hist).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = own.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -70,15 +74,26 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """Documents and tokens that each context limit keeps, from the suffix sums alone."""
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    # The longest length within the limit stands for it; limits below all lengths keep limit tokens of each.
-    total = sums.agg(F.max("total_docs").alias("d"))
-    best = (
-        sums.join(F.broadcast(wanted), F.col("n_tokens") <= F.col("context_limit"))
-        .groupBy("context_limit").agg(F.max_by(F.struct("total_docs", "total_tokens", "docs_longer", "tokens_longer"), "n_tokens").alias("x"))
+    """Documents and tokens that each context limit keeps, from the suffix sums alone.
+
+    The longest length within a limit stands for it; a limit below all lengths keeps that many tokens of each.
+    """
+    wanted = sorted({int(x) for x in limits})
+    below = lambda x: F.max(F.when(F.col("n_tokens") <= x, F.struct("n_tokens", "docs_longer", "tokens_longer")))
+    one = sums.agg(F.max("total_docs").alias("d"), F.max("total_tokens").alias("t"), F.array(*(below(x) for x in wanted)).alias("best"))
+    rows = one.select("d", "t", F.explode(F.arrays_zip(F.array(*(F.lit(x).cast("long") for x in wanted)).alias("context_limit"), "best")).alias("x"))
+    zero, longer = F.lit(0).cast("long"), F.coalesce("x.best.docs_longer", "d", F.lit(0).cast("long"))
+    within = F.coalesce(F.col("t") - F.col("x.best.tokens_longer"), zero)
+    return rows.select(
+        F.col("x.context_limit").alias("context_limit"), (F.coalesce("d", zero) - longer).alias("docs_whole"), longer.alias("docs_cut"),
+        (within + F.col("x.context_limit") * longer).alias("tokens_kept"),
     )
-    joined = wanted.join(best, "context_limit", "left").join(F.broadcast(total))
-    longer, tail = F.coalesce("x.docs_longer", "d"), F.coalesce(F.col("x.total_tokens") - F.col("x.tokens_longer"), F.lit(0))
-    return joined.select("context_limit", (F.col("d") - longer).alias("docs_whole"), longer.alias("docs_cut"), (tail + F.col("context_limit") * longer).alias("tokens_kept"))
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """share, n_tokens: the least length that at least this share of the documents doesn't exceed."""
+    wanted = sorted({float(x) for x in shares})
+    first = lambda q: F.min(F.when(F.col("total_docs") - F.col("docs_longer") >= F.ceil(F.lit(q) * F.col("total_docs")), F.col("n_tokens")))
+    one = sums.agg(F.array(*(first(q) for q in wanted)).alias("n"))
+    rows = one.select(F.explode(F.arrays_zip(F.array(*(F.lit(q) for q in wanted)).alias("share"), F.col("n").alias("n"))).alias("x"))
+    return rows.select("x.share", F.col("x.n").alias("n_tokens")).where("n_tokens IS NOT NULL")

@@ -1,8 +1,9 @@
 """WARC archives of gzip members: a writer, and a reader that splits archives at any byte.
 
-Writer: each task writes its records to archives of its own, one gzip member per record, and moves them
-to their name when complete, so a task that runs again replaces its archive by an equal one. Of records
-with equal payloads of at least ``min_payload`` bytes the one with the largest id is a response, and the
+Writer: each task writes its records to archives of its own, one gzip member per record, under names that
+hold the number of the attempt. An attempt's archives are never replaced: only those that a finished
+attempt lists are read, and ``round_trip`` keeps that list in a checkpoint, so a task that runs again
+after an executor was lost can't change what a reader sees. Of records with equal payloads of at least ``min_payload`` bytes the one with the largest id is a response, and the
 others are revisits that name it and carry no payload.
 
 Reader: archives are cut into byte ranges, one task item each. A task looks for the gzip magic in its
@@ -13,7 +14,10 @@ Archives go through ``pyarrow.fs`` to the session's shared folder, which may be
 
 Defined cases: a null payload is an empty one. A null URL gives no Target-URI. Rows with a null id are
 responses to themselves, and never referred to. Rows that repeat an id and payload are each written with
-the same type. An empty table gives no archive and no row. Columns but id, URL and payload are not read.
+the same type. Equal payloads of equal ids are all responses (a tie has no later one to name). A very long
+payload is held by one task at a time, and compressed as one member that a range's owner reads to its end.
+An empty table gives no archive and no row. Columns but id, URL and payload are not read. Ids are longs;
+text that is no number stops the query with Spark's cast error.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonarlake.llm.session import fresh_dir, map_slices
+from sonarlake.llm.session import checkpointed, fresh_dir, map_slices
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive before the writer starts another, of a range, and of one read.
@@ -140,22 +144,20 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         fs.create_dir(top, recursive=True)
-        out = temp = None
+        out = path = None
         seq = size = n = 0
 
         def close():
             nonlocal out, seq
             out.close()
-            path = f"{top}/part-{part:06d}-{seq:04d}.warc.gz"
-            fs.move(temp, path)
             out, seq = None, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["path", "bytes", "records"])
 
         for b in batches:
             for i, u, p, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
-                    temp = f"{top}/.{part:06d}-{seq:04d}-{attempt}"
-                    out, size, n = fs.open_output_stream(temp), 0, 0
+                    path = f"{top}/part-{part:06d}-{seq:04d}-{attempt}.warc.gz"
+                    out, size, n = fs.open_output_stream(path, compression=None), 0, 0
                 data = member(record(i, u, p, r))
                 out.write(data)
                 size, n = size + len(data), n + 1
@@ -197,6 +199,6 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes pages to archives and reads these back, in one plan."""
+    """Writes pages to archives and reads back those that the finished attempts list."""
     folder = folder or fresh_dir(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder, **options), folder)
+    return read_archives(checkpointed(write_archives(pages, folder, **options)), folder)

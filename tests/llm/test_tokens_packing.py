@@ -5,7 +5,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 from llm_helpers import edge_texts, mixed, prose
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sonarlake.llm import packing, tokencount
@@ -112,4 +111,25 @@ def test_histogram_and_limits(spark, docs):
     for r in tokencount.at_limits(sums, limits).collect():
         n = r["context_limit"]
         assert (r["docs_whole"], r["docs_cut"], r["tokens_kept"]) == (sum(x <= n for x in lengths), sum(x > n for x in lengths), sum(min(x, n) for x in lengths))
-    assert tokencount.suffix_sums(tokencount.length_histogram(docs([]))).count() == 0 and F.lit(1) is not None
+    ordered = sorted(lengths)
+    got = {r["share"]: r["n_tokens"] for r in tokencount.quantiles(sums, [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
+    assert got == {q: ordered[max(0, math.ceil(q * len(ordered)) - 1)] for q in (0.0, 0.1, 0.5, 0.9, 1.0)}
+    none = tokencount.suffix_sums(tokencount.length_histogram(docs([])))
+    assert none.count() == 0 and tokencount.quantiles(none, [0.5]).count() == 0
+    assert [tuple(r) for r in tokencount.at_limits(none, [4]).collect()] == [(4, 0, 0, 0)]
+
+
+def test_texts_are_encoded_once(docs, monkeypatch):
+    seen = []
+    real = tokencount.checkpointed
+    monkeypatch.setattr(tokencount, "checkpointed", lambda df: seen.append(df._jdf.queryExecution().toString().count("MapInArrow")) or real(df))
+    sums = tokencount.suffix_sums(tokencount.length_histogram(docs(mixed(1, 5))))
+    assert seen and seen[0] and "MapInArrow" not in sums._jdf.queryExecution().toString()
+
+
+def test_groups_do_not_follow_the_order_of_rows(docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 20)
+    rows = mixed(12, 40) + [(None, "a b"), (None, None), (3, "again"), (3, "again")]
+    backwards = docs(rows[::-1]).repartition(7)
+    a, b = (sorted(map(tuple, packing.pack_documents(d).collect()), key=str) for d in (docs(rows), backwards))
+    assert a == b and len({r[5] >> packing.GROUP_BITS for r in a}) > 3
