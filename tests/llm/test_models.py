@@ -1,11 +1,9 @@
 import random
 
-import numpy as np
-import pytest
-from llm_helpers import edge_texts, mixed, prose
+from llm_helpers import edge_texts, prose
 from pyspark.sql import functions as F
 
-from sonarlake.llm import lm, queries, toxicity
+from sonarlake.llm import queries, toxicity
 
 
 def plain_segments(scores):
@@ -74,55 +72,3 @@ def test_labels_of_held_out_rows_are_not_read(spark, docs):
     flipped = labels.withColumn("toxic", F.when(queries.learnable(F.col("doc_id")), F.col("toxic")).otherwise(1 - F.col("toxic")))
     a, b = (toxicity.train(docs(rows), x, queries.learnable) for x in (labels, flipped))
     assert a.weights == b.weights and (a.a, a.b) == (b.a, b.b)
-
-
-def test_network_gradient_and_table():
-    rng = np.random.default_rng(1)
-    counts = np.zeros((lm.V**2, lm.V), np.float32)
-    ctx = rng.choice(lm.V**2, 60, replace=False)
-    for c in ctx:
-        counts[c, (c // lm.V + c % lm.V) % 7 + 1] = 20  # both sides are needed to tell
-    table = lm.WindowNetwork.fit(counts, epochs=300).table().reshape(lm.V**2, lm.V)
-    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-4)
-    right = [(c // lm.V + c % lm.V) % 7 + 1 for c in ctx]
-    assert np.mean(table[ctx].argmax(axis=1) == right) > 0.95
-
-
-def test_counts_and_scores_against_brute_force(spark, docs):
-    rows = mixed(7, 40)
-    d = docs(rows).repartition(3)
-    vocab = lm.vocabulary(d)
-    counts = lm.window_counts(d, vocab)
-    plain = np.zeros_like(counts)
-    for _, t in rows:
-        seq = [0, *(vocab[w] for w in lm.words_lower(t)), 0]
-        for i in range(1, len(seq) - 1):
-            plain[seq[i - 1] * lm.V + seq[i + 1], seq[i]] += 1
-    assert (counts == plain).all()
-    model = lm.PseudoLikelihood(vocab, lm.WindowNetwork.fit(counts, epochs=2).table())
-    got = {r["doc_id"]: r for r in lm.pseudo_likelihood(d, model).collect()}
-    for i, t in rows:
-        seq = [0, *(vocab[w] for w in lm.words_lower(t)), 0]
-        want = sum(float(model.table[(seq[k - 1] * lm.V + seq[k + 1]) * lm.V + seq[k]]) for k in range(1, len(seq) - 1))
-        assert got[i]["n_tokens"] == len(seq) - 2 and got[i]["log_likelihood"] == pytest.approx(want, rel=1e-6, abs=1e-6)
-        assert (got[i]["mean_log_likelihood"] is None) == (len(seq) == 2)
-
-
-def test_likelihood_prefers_order(spark):
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = lm.train(d)
-    texts = [r["text"] for r in d.where("lang = 'en' AND n_chars > 800").limit(30).collect()]
-    rng = random.Random(1)
-    n, real = model.score(texts)
-    junk = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
-    _, mixed_up = model.score(junk)
-    assert (real - mixed_up).mean() > 0 and (n > 0).all()
-    _, garbled = model.score(["".join(rng.sample(t, len(t))) for t in texts])
-    assert (real > garbled).mean() > 0.9
-    # Seeing both sides must say more than how often each token is.
-    counts = lm.window_counts(d, model.vocab).sum(axis=0)
-    alone = np.log((counts + 1) / (counts.sum() + lm.V))
-    unigram = [sum(alone[model.vocab[w]] for w in lm.words_lower(t)) for t in texts]
-    assert (real > unigram).mean() > 0.9
-    empty = lm.train(d.limit(0))
-    assert empty.score([None])[0].tolist() == [0] and lm.pseudo_likelihood(d.limit(0), model).count() == 0
