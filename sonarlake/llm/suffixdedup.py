@@ -5,21 +5,29 @@ Sorting all suffixes of a corpus would move every byte many times, so suffixes a
 anchors: of each window of SPAN bytes the least hash of its K-grams picks a place, and equal windows pick
 the same one. About one place in eighteen is an anchor, with the run of windows that picked it.
 
-1. A task finds the anchors of its texts. Of runs that agree over their whole text, only those of the
-   least id of the task go on; the others are repeats already. So a passage that a third of the rows
-   share leaves each task once.
-2. Anchors meet by the hash of their K-gram. Runs that agree with a run of a smaller id are repeats as a
-   whole (a 64-bit mix of K-gram, run and side hashes agrees). A window shared in part of a run reaches SIDE
-   bytes beyond the anchor on one side at least; where a side agrees with a smaller id, the run's text is
-   asked for, with the text of one run of each other kind.
-3. The texts asked for are sorted as suffix arrays by deep-shallow sorting; among windows that agree in
-   SPAN bytes, those of an id above the least are repeats.
+1. A task finds the anchors of its texts. Runs whose hashes agree are sorted as suffixes of the task's text;
+   of those that agree throughout, only the ones of the least id go on, and the others are repeats. So a
+   passage that a third of the rows share leaves each task once.
+2. Anchors meet by the hash of their K-gram. Here hashes say which texts to compare, and decide nothing: a run
+   that seems to repeat one of a smaller id as a whole names that run, and neighbouring runs that name
+   neighbouring ones become one long piece. A window shared in part of a run reaches SIDE bytes beyond the
+   anchor on one side at least; where a side agrees with a smaller id, the run's text is asked for, with the
+   text of one run of each other kind.
+3. Texts asked for are sorted as suffix arrays by deep-shallow sorting, and neighbours in that order that agree
+   are the repeats: long pieces with the text that they name (the long common prefixes that blind tries are
+   for), and all windows of the runs that agree in part. A piece that very many documents have meets the text
+   that it names in several shares.
 4. Spans of each document are united and cut from it.
 
+A run whose hashes (104 bits) agree with another's by chance is found to differ and stays; so hashes never remove
+a byte.
+
 Defined cases: a null text is empty; texts shorter than SPAN lose nothing. A null id counts as larger
 than all others, and two null ids as equal. Rows that repeat an id don't remove each other's bytes.
-Identical rows are each returned. An empty table gives no rows. Columns other than id and text are kept
-by ``remove_repeats``.
+Identical rows are each returned. Very long texts are hashed piece by piece, and their repeats are cut into blocks.
+An empty table gives no rows. Columns other than id and text are kept by ``remove_repeats``; names that begin with
+two underscores are refused, as the plan uses such. Ids are longs; text that is no number stops the query with
+Spark's cast error.
 """
 
 from __future__ import annotations
@@ -36,19 +44,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonarlake.llm.session import map_slices
-from sonarlake.llm.suffixes import equal_windows
+from sonarlake.llm.suffixes import equal_strings
 from sonarlake.llm.text import mix, sliding_min
 
 SPAN, K = 50, 16
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
 #: Bytes of text hashed at once, of text between two emissions of a task, and of text for each bucket.
-CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 16 << 20, 24 << 20
+CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 16 << 20, 16 << 20
+#: Bytes of a document that pieces of others name together, and pieces that meet it at once.
+BLOCK, FAN = 1 << 15, 256
 #: Shares of a bucket that are sorted one after the other.
 SHARES = 16
 PLACE = np.uint64((1 << 24) - 1)
-#: A finding of a bucket: a span of document ``k`` that repeats (g < 0), or one whose text is needed, with its K-gram.
-FOUND = "k long, start long, end long, g long, ask boolean"
+#: A finding of a bucket: a span of document ``k`` and what it is; runs have their K-gram, whole ones the document and place
+#: of the run that they seem to repeat, and how many runs agree.
+FOUND = "k long, start long, end long, role int, g long, ask boolean, rk long, rs long, fan int"
+REPEATS, PART, WHOLE, NAMED = range(4)
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240229)
@@ -143,6 +155,7 @@ class _Flush:
         self.bytes = 0
         self.docs: list[tuple[int, int]] = []  # id, key
         self.runs: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[bytes] = []
         self.text: list[bytes] = []
         self.held = 0
 
@@ -150,6 +163,7 @@ class _Flush:
         text = text or b""
         self.docs.append((NO_ID if id is None else id, key))
         self.bytes += len(text)
+        self.texts.append(text)
         self.text.append(text)
         self.held += len(text)
         if self.held >= CHUNK:
@@ -180,6 +194,19 @@ class _Flush:
         doc = np.searchsorted(starts, first, "right") - 1
         self.runs.append((gram, run, sides, doc + base, first - starts[doc] + shift, (last - first).astype(np.uint8)))
 
+    def repeated(self, both: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Runs whose text is that of a run of a smaller id here; only runs of equal hashes are sorted."""
+        kinds = _Groups(both, ids[doc])
+        some = np.flatnonzero(kinds.any(ids[doc] > kinds.least))
+        out = np.zeros(len(doc), bool)
+        sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        places = (np.cumsum(sizes) - sizes)[doc[some]] + pos[some]
+        who = ids[doc[some]]
+        for group in equal_strings(np.frombuffer(b"".join(self.texts), np.uint8), places, size[some].astype(np.int64) + SPAN):
+            group = np.array(group)
+            out[some[group[who[group] > who[group].min()]]] = True
+        return out
+
     def emit(self):
         """(bucket, anchors, repeats) rows."""
         self.hash_held()
@@ -187,26 +214,23 @@ class _Flush:
             gram, run, sides, doc, pos, size = (np.concatenate(c) for c in zip(*self.runs, strict=True))
             ids = np.array([d[0] for d in self.docs], np.int64)
             keys = np.array([d[1] for d in self.docs], np.int64)
-            both = mix(gram + run * _M[6])
-            order = np.argsort(both, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
-            least = np.empty(len(doc), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(ids[doc][order], heads), np.diff(np.append(heads, len(order))))
-            here = ids[doc] > least
-            spans = list(_spans_of_docs(doc[here], pos[here], pos[here] + size[here] + SPAN))
-            bucket = ((gram >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
-            own = np.array([keys[d] % self.buckets for d, _ in spans], np.int64)
-            for b in range(self.buckets):
-                mine = np.flatnonzero(~here & (bucket == b))
-                found = [(int(keys[spans[k][0]]), spans[k][1]) for k in np.flatnonzero(own == b)]
-                if not len(mine) and not found:
-                    continue
-                used, which, counts = np.unique(doc[mine], return_inverse=True, return_counts=True)
+            here = self.repeated(mix(gram + run * _M[6]), doc, pos, size, ids)
+            found: dict[int, list] = {}
+            for d, spans in _spans_of_docs(doc[here], pos[here], pos[here] + size[here] + SPAN):
+                found.setdefault(int(keys[d]) % self.buckets, []).append((int(keys[d]), spans))
+            rest = np.flatnonzero(~here)
+            bucket = ((gram[rest] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
+            rest = rest[np.argsort(bucket, kind="stable")]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1))])
+            used = np.flatnonzero(np.diff(edges))
+            for b in sorted({*used.tolist(), *found}):
+                mine = rest[edges[b] : edges[b + 1]] if b + 1 < len(edges) else rest[:0]
+                docs, counts = np.unique(doc[mine], return_counts=True)
                 low = gram[mine].view(np.uint8).reshape(-1, 8)[:, :5]
                 # Five bytes of the run's hash above three of its sides.
                 kind = ((run[mine] << np.uint64(24)) | sides[mine].astype(np.uint64)).astype("<u8")
                 step = np.diff(pos[mine], prepend=0)
-                yield b, pickle.dumps((low.tobytes(), kind.tobytes(), keys[used].tobytes(), _squeeze(np.diff(ids[used], prepend=0), counts, step, size[mine]))), pickle.dumps(found)
+                yield b, pickle.dumps((low.tobytes(), kind.tobytes(), keys[docs].tobytes(), _squeeze(np.diff(ids[docs], prepend=0), counts, step, size[mine]))), pickle.dumps(found.get(b, []))
         self.clear()
 
 
@@ -251,11 +275,17 @@ class _Groups:
         return out[self.group]
 
 
-def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs that repeat as a whole, runs whose text is needed to tell, and these with those that answer for them."""
+def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each run: the one of a smaller id that it seems to repeat as a whole (or -1) and how many agree; whether its text
+    is needed to tell in part; whether it is wanted for that, by itself or as an answer."""
     left, right = (run >> np.uint64(12)) & np.uint64(4095), run & np.uint64(4095)
     kinds = _Groups(mix(gram * _M[6] + run), id)
     full = id > kinds.least
+    first = np.flatnonzero(kinds.first)
+    named = np.zeros(len(id), np.int64)
+    named[kinds.group[first]] = first  # by group
+    names = np.where(full, named[kinds.group], -1)
+    fan = np.bincount(kinds.group)[kinds.group]
     asks, wanted = np.zeros(len(id), bool), np.zeros(len(id), bool)
     for side in (left, right):
         groups = _Groups(gram << np.uint64(12) | side, id)
@@ -263,7 +293,7 @@ def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarr
         asks |= asking
         # One run of each kind answers for it, where somebody asks.
         wanted |= kinds.first & (side > 0) & groups.any(asking)
-    return full, asks, asks | wanted
+    return names, fan, asks, asks | wanted
 
 
 def _meet(key, group):
@@ -287,21 +317,33 @@ def _meet(key, group):
         n += len(i)
         dups += pickle.loads(repeats)
     gram, run, doc, pos, size, ids, keys = (np.concatenate(c) for c in (gram, run, doc, pos, size, ids, keys))
-    full, asks, wanted = (np.zeros(len(gram), bool) for _ in range(3))
+    names, fan = np.full(len(gram), -1, np.int64), np.zeros(len(gram), np.int64)
+    asks, wanted = (np.zeros(len(gram), bool) for _ in range(2))
     share = (gram >> np.uint64(32)).astype(np.uint8) % SHARES
     for k in range(SHARES):
         rows = np.flatnonzero(share == k)
         if len(rows):
-            full[rows], asks[rows], wanted[rows] = _decide(gram[rows], run[rows], ids[doc[rows]])
+            n, fan[rows], asks[rows], wanted[rows] = _decide(gram[rows], run[rows], ids[doc[rows]])
+            names[rows] = np.where(n < 0, -1, rows[n])
     own = [np.frombuffer(spans, "<i8").reshape(-1, 2) for _, spans in dups]
     each = np.repeat(np.array([k for k, _ in dups], np.int64), [len(x) for x in own]) if own else np.zeros(0, np.int64)
     own = np.concatenate([*own, np.zeros((0, 2), np.int64)])
-    rows = np.concatenate([np.flatnonzero(full), np.flatnonzero(wanted)])
+    whole, part = np.flatnonzero(names >= 0), np.flatnonzero(wanted)
+    named = np.unique(names[whole])
+    rows = np.concatenate([part, whole, named])
+    role = np.repeat([REPEATS, PART, WHOLE, NAMED], [len(each), len(part), len(whole), len(named)])
     start = pos[rows].astype(np.int64)
-    g = np.where(np.arange(len(rows)) < full.sum(), -1, gram[rows].astype(np.int64))
+    none, other = np.zeros(len(each), np.int64), names[whole]
+
+    def spread(at, values):
+        out = np.zeros(len(role), np.int64)
+        out[role == at] = values
+        return out
+
     return pa.table({
         "k": np.concatenate([each, keys[doc[rows]]]), "start": np.concatenate([own[:, 0], start]), "end": np.concatenate([own[:, 1], start + size[rows] + SPAN]),
-        "g": np.concatenate([np.full(len(each), -1), g]), "ask": np.concatenate([np.zeros(len(each), bool), asks[rows]]),
+        "role": role.astype(np.int32), "g": spread(PART, gram[part].astype(np.int64)), "ask": spread(PART, asks[part]).astype(bool),
+        "rk": spread(WHOLE, keys[doc[other]]), "rs": spread(WHOLE, pos[other]), "fan": np.concatenate([none, fan[rows]]).astype(np.int32),
     })
 
 
@@ -314,27 +356,63 @@ def _fields(column: pa.StructArray, *names: str) -> list[np.ndarray]:
     return [pc.struct_field(column, n).to_numpy(zero_copy_only=False) for n in names]
 
 
+def _chains(start: np.ndarray, end: np.ndarray, fan: np.ndarray, *same: np.ndarray):
+    """(first place in the order, start, end, fan) of runs joined where all of ``same`` is the same and windows follow each other."""
+    order = np.lexsort((start, *same))
+    start, end = start[order], end[order]
+    new = np.ones(len(order), bool)
+    new[1:] = start[1:] > end[:-1] - SPAN + 1
+    for x in same:
+        new[1:] |= np.diff(x[order]) != 0
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    return [] if not len(order) else list(zip(order[first].tolist(), start[first].tolist(), end[last].tolist(), np.maximum.reduceat(fan[order], first).tolist(), strict=True))
+
+
+def _meeting(k: int, block: int, share: int, buckets: int) -> int:
+    """The group in which pieces meet the block of the document that they name."""
+    x = np.array([k & 0xFFFFFFFFFFFFFFFF], np.uint64) ^ np.uint64((block << 20 | share) & 0xFFFFFFFFFFFFFFFF)
+    return buckets + int(mix(x)[0] % np.uint64(buckets))
+
+
+_TEXTS = "b int, role int, id long, k long, pos long, ask boolean, rk long, rs long, x binary"
+
+
+def _asked_rows(buckets: int, id: int, k: int, t: bytes, start, end, role, g, ask, rk, rs, fan):
+    """Rows of _TEXTS for what is asked of one document."""
+    for a in np.flatnonzero(role == PART).tolist():
+        yield int(g[a]) % buckets, PART, id, k, int(start[a]), bool(ask[a]), 0, 0, t[start[a] : end[a]]
+    mine = np.flatnonzero(role == WHOLE)
+    for at, s, e, n in _chains(start[mine], end[mine], fan[mine], rs[mine] // BLOCK, rs[mine] - start[mine], rk[mine]):
+        other, place = int(rk[mine][at]), int(rs[mine][at])
+        yield _meeting(other, place // BLOCK, k % -(-n // FAN), buckets), WHOLE, id, k, s, True, other, place, t[s:e]
+    mine = np.flatnonzero(role == NAMED)
+    for _, s, e, n in _chains(start[mine], end[mine], fan[mine], start[mine] // BLOCK):
+        for share in range(-(-n // FAN)):
+            yield _meeting(k, s // BLOCK, share, buckets), NAMED, id, k, s, False, 0, 0, t[s:e]
+
+
 def _texts(asked: DataFrame, buckets: int) -> DataFrame:
-    """The text of each run that was asked for."""
+    """The text of each run that was asked for, and of each piece with what it names."""
+    names = [x.split()[0] for x in _TEXTS.split(", ")]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
 
     def work(batches):
         for b in batches:
             edges, flat = _lists(b.column("__asks"))
-            start, end, g, ask = _fields(flat, "start", "end", "g", "ask")
+            fields = _fields(flat, "start", "end", "role", "g", "ask", "rk", "rs", "fan")
             rows = []
             for n, (id, k) in enumerate(zip(b.column("__id").to_pylist(), b.column("__k").to_pylist(), strict=True)):
                 if edges[n] < edges[n + 1]:
-                    t = b.column("__t")[n].as_py()
-                    for a in range(edges[n], edges[n + 1]):
-                        rows.append((int(g[a]) % buckets, NO_ID if id is None else id, k, int(start[a]), bool(ask[a]), t[start[a] : end[a]]))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], ["b", "id", "k", "pos", "ask", "x"])
+                    mine = slice(edges[n], edges[n + 1])
+                    rows += _asked_rows(buckets, NO_ID if id is None else id, k, b.column("__t")[n].as_py(), *(f[mine] for f in fields))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names)
 
-    return map_slices(asked, work, "b int, id long, k long, pos long, ask boolean, x binary")
+    return map_slices(asked, work, _TEXTS)
 
 
-def _sort_windows(key, group):
-    """Windows of the asked runs that repeat one of a smaller id, by a suffix array of the bucket's texts."""
+def _window_hits(group: pa.Table):
+    """(k, start, end) of the windows of asked runs that repeat one of a smaller id, by a suffix array of the texts."""
     texts = group.column("x").to_pylist()
     ids, pos = group.column("id").to_numpy(), group.column("pos").to_numpy()
     ask = group.column("ask").to_numpy(zero_copy_only=False)
@@ -343,43 +421,71 @@ def _sort_windows(key, group):
     windows = sizes - SPAN + 1
     owner = np.repeat(np.arange(len(texts)), windows)
     places = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[owner]
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    at_owner = np.zeros(len(text), np.int32)
-    at_owner[places] = owner
-    hit = []
-    for leaf in equal_windows(text, places, SPAN):
-        who = at_owner[leaf]
-        i = ids[who]
+    hit = [np.zeros(0, np.int64)]
+    for leaf in equal_strings(np.frombuffer(b"".join(texts), np.uint8), places, SPAN):
+        i = ids[owner[leaf]]
         later = i > i.min()
         if later.any():
             hit.append(np.array(leaf)[later])
-    if not hit:
-        return pa.table({"k": pa.array([], pa.int64()), "dups": pa.array([], pa.binary())})
     hit = np.concatenate(hit)
-    who = at_owner[hit]
-    good = ask[who]
-    hit, who = hit[good], who[good]
-    where = pos[who] + hit - starts[who]
-    keys = group.column("k").to_numpy()[who]
-    order = np.lexsort((where, keys))
-    out = list(_spans_of_docs(keys[order], where[order], where[order] + SPAN))
+    hit = hit[ask[owner[hit]]]
+    who = owner[hit]
+    where = pos[who] + places[hit] - starts[who]
+    return group.column("k").to_numpy()[who], where, where + SPAN
+
+
+def _piece_hits(group: pa.Table):
+    """(k, start, end) of the pieces that are the text which they name, of a smaller id: both are sorted, and neighbours compared."""
+    role, ids, keys, pos, texts = group.column("role").to_numpy(), group.column("id").to_numpy(), group.column("k").to_numpy(), group.column("pos").to_numpy(), group.column("x").to_pylist()
+    named: dict[int, list[int]] = {}
+    for n in np.flatnonzero(role == NAMED).tolist():
+        named.setdefault(int(keys[n]), []).append(n)
+    pieces = np.flatnonzero(role == WHOLE).tolist()
+    strings, owner, there = [texts[n] for n in pieces], list(pieces), set()
+    for n, k, at in zip(pieces, group.column("rk").to_numpy()[pieces].tolist(), group.column("rs").to_numpy()[pieces].tolist(), strict=True):
+        size = len(texts[n])
+        m = next((m for m in named.get(k, ()) if pos[m] <= at and at + size <= pos[m] + len(texts[m])), None)
+        if m is not None and (k, at, size) not in there:
+            there.add((k, at, size))
+            strings.append(texts[m][at - int(pos[m]) : at - int(pos[m]) + size])
+            owner.append(m)
+    owner = np.array(owner, np.int64)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    hit = [np.zeros(0, np.int64)]
+    for leaf in equal_strings(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes):
+        who = owner[leaf]
+        hit.append(who[(ids[who] > ids[who].min()) & (role[who] == WHOLE)])
+    hit = np.concatenate(hit)
+    return keys[hit], pos[hit], pos[hit] + np.fromiter((len(texts[n]) for n in hit.tolist()), np.int64, len(hit))
+
+
+def _sort_texts(key, group):
+    """Spans that repeat text of a smaller id, of one group of texts."""
+    part = group.column("role").to_numpy() == PART
+    found = [f(group.filter(pa.array(rows))) for f, rows in ((_window_hits, part), (_piece_hits, ~part)) if rows.any()]
+    keys, start, end = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((start, keys))
+    out = list(_spans_of_docs(keys[order], start[order], end[order]))
     return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "dups": pa.array([o[1] for o in out], pa.binary())})
 
 
 def _with_spans(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep``, the text's bytes ``__t``, and the packed spans ``__dups`` and ``__late``."""
+    if taken := [c for c in docs.columns if c.startswith("__") and c != "__null"]:
+        raise ValueError(f"columns {taken}: names that begin with two underscores are the plan's")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(id), body)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
     rows = docs.select(*keep, F.col(id).cast("long").alias("__id"), key.alias("__k"), body.cast("binary").alias("__t"))
     met = _anchor_rows(rows, buckets).groupBy("bucket").applyInArrow(_meet, FOUND)
-    dup, ask = F.when(F.col("g") < 0, F.struct("start", "end")), F.when(F.col("g") >= 0, F.struct("start", "end", "g", "ask"))
+    repeats = F.col("role") == REPEATS
+    dup, ask = F.when(repeats, F.struct("start", "end")), F.when(~repeats, F.struct("start", "end", "role", "g", "ask", "rk", "rs", "fan"))
     per = met.groupBy("k").agg(F.collect_list(dup).alias("__dups"), F.collect_list(ask).alias("__asks")).withColumnRenamed("k", "__a")
     # Texts and findings move once: both uses of ``whole`` read the same columns, so Spark reuses the exchanges.
     whole = rows.join(per, F.col("__k") == F.col("__a"), "left").drop("__a")
     whole = whole.withColumns({c: F.coalesce(c, F.array()) for c in ("__dups", "__asks")})
-    late = _texts(whole, 8 * buckets).groupBy("b").applyInArrow(_sort_windows, "k long, dups binary")
+    late = _texts(whole, 4 * buckets).groupBy("b").applyInArrow(_sort_texts, "k long, dups binary")
     late = late.groupBy("k").agg(F.collect_list("dups").alias("__late")).withColumnRenamed("k", "__b")
     return whole.join(late, F.col("__k") == F.col("__b"), "left").drop("__b").withColumn("__late", F.coalesce("__late", F.array()))
 

@@ -1,9 +1,12 @@
-"""Deep-shallow sorting of text positions, for one task's worth of text.
+"""Deep-shallow sorting of strings in a text, for one task's worth of text.
 
-A multikey quicksort orders positions by eight bytes at a time down to a shallow depth. Positions that
-still agree share a long prefix; those groups go into a blind trie each, which keeps branching depths
-only: a string walks down blindly, is compared once with the leaf it meets, and branches off where the
-two first differ. Positions that agree over the whole window end in one leaf.
+A multikey quicksort orders strings by eight bytes at a time down to a shallow depth. Strings that still agree
+share a long prefix; those groups go into a blind trie each, which keeps branching depths only: a string walks
+down blindly, is compared once with the leaf it meets, and branches off where the two first differ. Strings that
+agree throughout end in one leaf, so equal strings are found as neighbours in the sorted order and nowhere else.
+
+Defined cases: a string that begins another comes before it; equal strings keep the order of their places; no
+strings give no groups; strings may be of any length from SHALLOW bytes on.
 """
 
 from __future__ import annotations
@@ -12,34 +15,55 @@ import numpy as np
 
 #: Bytes that the quicksort compares, and the size of a part that is sorted directly.
 SHALLOW, SMALL = 24, 256
+#: What stands after the end of a string.
+_END = -1
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, step = 0, 64
+    while a[low : low + step] == b[low : low + step]:
+        low += step
+        step *= 2
+    while step > 1:  # the first difference is within step bytes from low
+        step //= 2
+        if a[low : low + step] == b[low : low + step]:
+            low += step
+    return low
 
 
 class BlindTrie:
-    """Strings of one length that share their first ``depth`` bytes, in order, equal ones together."""
+    """Strings in order, equal ones together."""
 
-    def __init__(self, length: int):
-        self.length, self.root = length, None
+    def __init__(self):
+        self.root = None
 
     def insert(self, s: bytes, value) -> None:
-        if self.root is None:
+        node = self.root
+        if node is None:
             self.root = [s, [value]]
             return
-        node = self.root
+        n = len(s)
         while isinstance(node, tuple):
-            node = node[1].get(s[node[0]]) or next(iter(node[1].values()))
+            depth, children = node
+            node = children.get(s[depth] if depth < n else _END) or next(iter(children.values()))
         leaf = node[0]
         if leaf == s:
             node[1].append(value)
             return
-        at = next(i for i in range(self.length) if leaf[i] != s[i])
+        at = common_prefix(leaf, s)
+        old = leaf[at] if at < len(leaf) else _END
+        own = s[at] if at < n else _END
         node, parent = self.root, None
         while isinstance(node, tuple) and node[0] < at:
             parent, node = node, node[1][s[node[0]]]
         new = [s, [value]]
         if isinstance(node, tuple) and node[0] == at:
-            node[1][s[at]] = new
+            node[1][own] = new
             return
-        split = (at, {leaf[at]: node, s[at]: new})
+        split = (at, {old: node, own: new})
         if parent is None:
             self.root = split
         else:
@@ -56,35 +80,31 @@ class BlindTrie:
                 yield node[1]
 
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """Big-endian value of the eight bytes at each place; zeros stand after the end."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
-    return out
+def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Big-endian value of the eight bytes at each of some places."""
+    return text[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
 
 
 def shallow_groups(text: np.ndarray, places: np.ndarray, shallow: int = SHALLOW):
-    """Yields the places in order, as lists of those that agree in their first ``shallow`` bytes."""
-    words = _words(text)
+    """Yields the numbers of the places in the order of their text, as lists that agree in their first ``shallow`` bytes."""
     whole = text.tobytes()
-    stack = [(places, 0)]
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    stack = [(np.arange(len(places)), 0)]
     while stack:
         part, depth = stack.pop()
         if len(part) == 1 or depth >= shallow:
             yield part.tolist()
         elif len(part) <= SMALL:
-            keyed = sorted([(whole[p + depth : p + shallow], p) for p in part.tolist()])
+            keyed = sorted([(whole[p + depth : p + shallow], k) for p, k in zip(places[part].tolist(), part.tolist(), strict=True)])
             last, run = keyed[0][0], []
-            for key, p in keyed:
+            for key, k in keyed:
                 if key != last:
                     yield run
                     last, run = key, []
-                run.append(p)
+                run.append(k)
             yield run
         else:
-            key = words[part + depth]
+            key = _words(padded, places[part] + depth)
             some = np.sort(key[:: max(1, len(key) // 9)])
             pivot = some[len(some) // 2]
             less, more = key < pivot, key > pivot
@@ -92,22 +112,20 @@ def shallow_groups(text: np.ndarray, places: np.ndarray, shallow: int = SHALLOW)
             stack += [(p, d) for p, d in ((part[more], depth), (part[same], depth + 8), (part[less], depth)) if len(p)]
 
 
-def equal_windows(text: np.ndarray, places: np.ndarray, length: int, shallow: int = SHALLOW):
-    """Yields, in the order of their text, the groups of at least two places whose next ``length`` bytes agree."""
+def equal_strings(text: np.ndarray, places: np.ndarray, sizes: np.ndarray | int, shallow: int = SHALLOW):
+    """Yields, in the order of their text, the groups of at least two places (by number) whose strings agree.
+
+    sizes: the bytes of each string from its place on, or of all of them.
+    """
     whole = text.tobytes()
-    for group in shallow_groups(text, places, min(shallow, length)):
+    at, ends = places.tolist(), (places + sizes).tolist()
+    least = int(np.min(sizes)) if len(places) else 0
+    for group in shallow_groups(text, places, min(shallow, least)):
         if len(group) < 2:
             continue
-        # Strings that agree throughout are one; the trie orders those that differ.
-        same: dict[bytes, list[int]] = {}
-        for p in group:
-            same.setdefault(whole[p : p + length], []).append(p)
-        if len(same) == 1:
-            yield group
-            continue
-        trie = BlindTrie(length)
-        for s, at in same.items():
-            if len(at) > 1:
-                trie.insert(s, at)
+        trie = BlindTrie()
+        for k in group:
+            trie.insert(whole[at[k] : ends[k]], k)
         for leaf in trie.leaves():
-            yield leaf[0]
+            if len(leaf) > 1:
+                yield leaf

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import mixed, prose
 
@@ -39,40 +40,68 @@ def test_against_brute_force(docs, monkeypatch, seed):
     assert got == plain(rows)
 
 
-def test_small_pieces_against_brute_force(docs, monkeypatch):
-    """Long texts in pieces and many emissions, on the driver's side of the map stage."""
-    monkeypatch.setattr(suffixdedup, "CHUNK", 300)
-    rng = random.Random(4)
-    passage = prose(rng, 60)
-    rows = [(i, prose(rng, rng.randrange(1, 150)) + " " + passage[rng.randrange(80) : -rng.randrange(1, 80)] + " " + prose(rng, 5)) for i in range(25)]
-    flush = suffixdedup._Flush(3)
-    emitted = []
+def local(rows, buckets, flush_docs):
+    """All stages without Spark: rows of (id, text), several emissions."""
+    texts = {k: ((suffixdedup.NO_ID if i is None else i), (t or "").encode()) for k, (i, t) in enumerate(rows)}
+    flush, emitted = suffixdedup._Flush(buckets), []
     for k, (i, t) in enumerate(rows):
-        flush.add(i, i + 100, t.encode())
-        if k % 7 == 6:
+        flush.add(i, k, (t or "").encode())
+        if k % flush_docs == flush_docs - 1:
             emitted += list(flush.emit())
     emitted += list(flush.emit())
-    import pyarrow as pa
-
-    texts = {i + 100: (i, t.encode()) for i, t in rows}
-    dups, asked = {}, []
-    for b in range(3):
-        mine = [e for e in emitted if e[0] == b]
-        found = suffixdedup._meet(None, pa.table({"anchors": pa.array([e[1] for e in mine], pa.binary()), "repeats": pa.array([e[2] for e in mine], pa.binary())}))
-        for r in found.to_pylist():
-            if r["g"] < 0:
-                dups.setdefault(r["k"], []).append((r["start"], r["end"]))
-            else:
-                asked.append({"id": texts[r["k"]][0], "k": r["k"], "pos": r["start"], "ask": r["ask"], "x": texts[r["k"]][1][r["start"] : r["end"]]})
-    for r in suffixdedup._sort_windows(None, pa.Table.from_pylist(asked)).to_pylist():
-        dups.setdefault(r["k"], []).extend(map(tuple, np.frombuffer(r["dups"], "<i8").reshape(-1, 2).tolist()))
-    got = []
-    for k, (i, t) in texts.items():
-        spans = np.array(dups.get(k, []), np.int64).reshape(-1, 2)
-        s, e = suffixdedup.merge(spans[:, 0], spans[:, 1])
+    found = []
+    for b in range(buckets):
+        if mine := [e for e in emitted if e[0] == b]:
+            found += suffixdedup._meet(None, pa.table({"anchors": pa.array([e[1] for e in mine], pa.binary()), "repeats": pa.array([e[2] for e in mine], pa.binary())})).to_pylist()
+    spans, asks, roles = {}, {}, set()
+    for r in found:
+        roles.add(r["role"])
+        if r["role"] == suffixdedup.REPEATS:
+            spans.setdefault(r["k"], []).append((r["start"], r["end"]))
+        else:
+            asks.setdefault(r["k"], []).append([r[c] for c in ("start", "end", "role", "g", "ask", "rk", "rs", "fan")])
+    groups = {}
+    for k, a in asks.items():
+        fields = [np.array(c) for c in zip(*a, strict=True)]
+        for row in suffixdedup._asked_rows(2, texts[k][0], k, texts[k][1], *fields):
+            groups.setdefault(row[0], []).append(dict(zip(("b", "role", "id", "k", "pos", "ask", "rk", "rs", "x"), row, strict=True)))
+    for group in groups.values():
+        for r in suffixdedup._sort_texts(None, pa.Table.from_pylist(group)).to_pylist():
+            spans.setdefault(r["k"], []).extend(map(tuple, np.frombuffer(r["dups"], "<i8").reshape(-1, 2).tolist()))
+    out = []
+    for k, (i, t) in enumerate(rows):
+        t = (t or "").encode()
+        have = np.array(spans.get(k, []), np.int64).reshape(-1, 2)
+        s, e = suffixdedup.merge(have[:, 0], have[:, 1])
         kept = b"".join(t[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True))
-        got.append((i, len(t), len(t) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
-    assert sorted(got, key=str) == plain(rows)
+        out.append((i, len(t), len(t) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str), roles
+
+
+def test_small_pieces_against_brute_force(monkeypatch):
+    """Long texts in pieces, many emissions, small blocks that several shares meet."""
+    for name, n in (("CHUNK", 300), ("BLOCK", 200), ("FAN", 2)):
+        monkeypatch.setattr(suffixdedup, name, n)
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, rng.randrange(1, 150)) + " " + passage[rng.randrange(80) : -rng.randrange(1, 80)] + " " + prose(rng, 5)) for i in range(25)]
+    got, roles = local(rows, 3, 7)
+    assert got == plain(rows) and roles == {suffixdedup.REPEATS, suffixdedup.PART, suffixdedup.WHOLE, suffixdedup.NAMED}
+
+
+def test_random_corpora_against_brute_force(monkeypatch):
+    for seed in range(150):
+        rng = random.Random(seed)
+        for name, n in (("CHUNK", rng.choice([120, 1 << 18])), ("BLOCK", rng.choice([64, 500, 1 << 15])), ("FAN", rng.choice([1, 2, 256]))):
+            monkeypatch.setattr(suffixdedup, name, n)
+        letters = rng.choice(["a", "ab", "abc ", "abcdefgh é"])
+        stock = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 400))) for _ in range(4)]
+        rows = []
+        for i in range(rng.randrange(2, 14)):
+            t = "".join(rng.choice([rng.choice(stock), rng.choice(stock)[rng.randrange(15) : -rng.randrange(1, 15)], "".join(rng.choice(letters) for _ in range(rng.randrange(80)))]) for _ in range(rng.randrange(5)))
+            rows.append((rng.choice([i, i, i, rng.randrange(5), None]), t))
+        got, _ = local(rows, rng.choice([1, 3]), rng.randrange(1, 6))
+        assert got == plain(rows), seed
 
 
 def test_removal_keeps_columns_and_characters(docs):
@@ -91,14 +120,46 @@ def test_deep_shallow_order():
     text += text[500:900]
     raw = np.frombuffer(text.encode(), np.uint8)
     places = np.arange(len(raw) - 50)
-    got = [sorted(g) for g in suffixes.equal_windows(raw, places, 50)]
+    got = [sorted(g) for g in suffixes.equal_strings(raw, places, 50)]
     seen = {}
     for p in places.tolist():
         seen.setdefault(text[p : p + 50], []).append(p)
     assert got == [seen[w] for w in sorted(seen) if len(seen[w]) > 1]
     order = [p for g in suffixes.shallow_groups(raw, places, 24) for p in g]
     assert [text[p : p + 24] for p in order] == sorted(text[p : p + 24] for p in places.tolist())
-    trie = suffixes.BlindTrie(4)
-    for v, s in enumerate((b"abcd", b"abce", b"aacd", b"abcd", b"zbcd", b"abxd")):
+    sizes = np.array([rng.randrange(24, 400) for _ in places])
+    sizes = np.minimum(sizes, len(raw) - places)
+    seen = {}
+    for p, n in zip(places.tolist(), sizes.tolist()):
+        seen.setdefault(text[p : p + n], []).append(p)
+    assert [sorted(g) for g in suffixes.equal_strings(raw, places, sizes)] == [seen[w] for w in sorted(seen) if len(seen[w]) > 1]
+    trie = suffixes.BlindTrie()
+    for v, s in enumerate((b"abcd", b"abce", b"aacd", b"abcd", b"zbcd", b"abxd", b"ab", b"abcdef", b"ab")):
         trie.insert(s, v)
-    assert list(trie.leaves()) == [[2], [0, 3], [1], [5], [4]]
+    assert list(trie.leaves()) == [[2], [6, 8], [0, 3], [7], [1], [5], [4]]
+    for _ in range(200):
+        a = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 300)))
+        b = a[: rng.randrange(len(a) + 1)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(5)))
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert suffixes.common_prefix(a, b) == n
+
+
+def test_hashes_remove_nothing(docs, monkeypatch):
+    """Where all hashes agree by chance, texts are compared and stay."""
+    monkeypatch.setattr(suffixdedup, "_decide", lambda gram, run, id: (np.where(id > id.min(), id.argmin(), -1), np.full(len(id), len(id)), np.zeros(len(id), bool), np.zeros(len(id), bool)))
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60)) for i in range(12)]
+    texts = {i: t.encode() for i, t in rows}
+    flush = suffixdedup._Flush(1)
+    for i, t in texts.items():
+        flush.add(i, i, t)
+    out = list(flush.emit())
+    found = suffixdedup._meet(None, pa.table({"anchors": pa.array([e[1] for e in out], pa.binary()), "repeats": pa.array([e[2] for e in out], pa.binary())})).to_pylist()
+    assert sum(r["role"] == suffixdedup.WHOLE for r in found) > 50
+    rows = [{"b": 0, "role": r["role"], "id": r["k"], "k": r["k"], "pos": r["start"], "ask": True, "rk": r["rk"], "rs": r["rs"], "x": texts[r["k"]][r["start"] : r["end"]]} for r in found]
+    assert suffixdedup._sort_texts(None, pa.Table.from_pylist(rows)).num_rows == 0
+
+
+def test_names_of_the_plan_are_refused(docs):
+    with pytest.raises(ValueError, match="underscores"):
+        suffixdedup.repeats(docs([(1, "a")]).withColumnRenamed("k", "__k"))
