@@ -22,13 +22,15 @@ def clauses(sentence: Column) -> Column:
 def _packed(sentence: Column, limit: int) -> Column:
     """Clauses of a sentence, joined greedily up to the limit; null if one clause is longer."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    each = clauses(sentence)
     step = lambda s, c: F.when(
         (s["now"] != "") & (F.length(s["now"]) + F.length(c) > limit),
         F.struct(F.array_append(s["done"], s["now"]).alias("done"), c.alias("now")),
     ).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], c).alias("now")))
     last = lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"])
-    packed = F.aggregate(clauses(sentence), empty, step, last)
-    return F.when(F.exists(clauses(sentence), lambda c: F.length(c) > limit), F.lit(None)).otherwise(packed)
+    # The clauses are found once: a transform over an array of one binds them.
+    packed = lambda cs: F.when(F.exists(cs, lambda c: F.length(c) > limit), F.lit(None)).otherwise(F.aggregate(cs, empty, step, last))
+    return F.element_at(F.transform(F.array(each), packed), 1)
 
 
 def segments(text: Column, max_chars: int = DEFAULT_CHARS) -> Column:
@@ -36,7 +38,8 @@ def segments(text: Column, max_chars: int = DEFAULT_CHARS) -> Column:
     if not MIN_CHARS <= max_chars <= MAX_CHARS:
         raise ValueError(f"max_chars must be {MIN_CHARS} to {MAX_CHARS}")
     each = F.transform(sentences(text), lambda s: F.when(F.length(s) <= max_chars, F.array(s)).otherwise(_packed(s, max_chars)))
-    return F.when(F.btrim(text) != "", F.when(~F.exists(each, lambda e: e.isNull()), F.flatten(each)))
+    # Flattening an array that holds a null gives null.
+    return F.when(F.btrim(text) != "", F.flatten(each))
 
 
 def segment_rows(df: DataFrame, text: str = "text", max_chars: int = DEFAULT_CHARS) -> DataFrame:

@@ -42,6 +42,31 @@ def reference_error(path: Column, root: Column, transcript: Column, recorded_sha
     )
 
 
+def reference_identity(requests: DataFrame, style_rows: DataFrame, clips: DataFrame, character: str = "character_id", style: str = "style") -> DataFrame:
+    """What a request's results depend on: hashes of the reference, its transcript and its voice, and the clip's verdict.
+
+    style_rows: as ``styles`` gives them, with an entry of reference, transcript_text and reference_sha256. clips: path, sha256,
+    stats and qc of decoded references (``workflows.inspect_qc`` with ``reference``). ``error_code`` says why a request has none.
+    """
+    found = resolve_style(requests, style_rows, character, style)
+    voices = style_rows.groupBy(F.col("id").alias("_vid")).agg(
+        F.sha2(F.to_json(F.struct(F.first("name"), F.first("default_style"), F.array_sort(F.collect_list(F.struct("style", "entry"))))), 256).alias("voice_sha256"))
+    there = clips.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha"), F.col("stats").alias("reference_audio"), F.col("qc").alias("reference_qc"))
+    rows = found.join(there, F.col("entry.reference") == F.col("_path"), "left").join(voices, F.col(character) == F.col("_vid"), "left")
+    spoken = F.btrim("entry.transcript_text")
+    error = (
+        F.when(F.col("_sha").isNull(), "reference_missing").when(F.coalesce(spoken, F.lit("")) == "", "transcript_empty")
+        .when(F.col("entry.reference_sha256").isNotNull() & (F.col("entry.reference_sha256") != F.col("_sha")), "reference_changed")
+        .when(F.col("reference_qc.status") == "FAIL", "reference_invalid")
+    )
+    rows = rows.withColumn("error_code", F.coalesce("error_code", error))
+    fine = F.col("error_code").isNull()
+    return rows.withColumns({
+        "resolved_style": F.col("selected_style"), "reference_sha256": F.when(fine, F.col("_sha")), "reference_transcript": F.when(fine, spoken),
+        "reference_transcript_sha256": F.when(fine, F.sha2(spoken, 256)), "voice_sha256": F.when(fine, F.col("voice_sha256")),
+    }).drop("_path", "_sha", "_vid", "entry", "default_style", "selected_style")
+
+
 def audit(rows: DataFrame, rate: int, min_seconds: float = 5.0, max_peak: float = 0.98) -> DataFrame:
     """Errors and warnings of style rows that have ``transcript`` and ``stats``."""
     s = F.col("stats")
@@ -78,9 +103,19 @@ def enrich(voices: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return voices.withColumn("changed", before != after).withColumns(filled)
 
 
+#: Styles of an audition suite at most.
+MAX_SUITE = 1000
+
+
 def audition_plan(characters: DataFrame, styles_: DataFrame | None, candidates: int) -> DataFrame:
-    """Characters by styles by candidate numbers. The style table is a fixed list, so its product is bounded."""
-    rows = characters if styles_ is None else characters.join(F.broadcast(styles_), F.lit(True))
+    """Characters by styles by candidate numbers. The style table is a list of at most MAX_SUITE rows, written into the plan."""
+    rows = characters
+    if styles_ is not None:
+        suite = styles_.limit(MAX_SUITE + 1).collect()
+        if len(suite) > MAX_SUITE:
+            raise ValueError(f"a suite of more than {MAX_SUITE} styles; split it")
+        each = F.array(*(F.struct(*(F.lit(r[c]).cast(kind).alias(c) for c, kind in styles_.dtypes)) for r in suite)) if suite else F.array().cast(f"array<{styles_.schema.simpleString()}>")
+        rows = characters.select("*", F.explode(each).alias("_style")).select(*characters.columns, "_style.*")
     return rows.withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(candidates))))
 
 

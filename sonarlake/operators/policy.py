@@ -65,15 +65,23 @@ def rank_candidates(attempts: DataFrame, line: list[str], position: list[str], q
     return ranked.withColumn("recommended", (F.col("rank") == 1) & eligible)
 
 
-def select_best(attempts: DataFrame, line: list[str], position: list[str], **columns) -> DataFrame:
-    """The recommended attempt of each line."""
-    return rank_candidates(attempts, line, position, **columns).where("recommended")
+def select_best(attempts: DataFrame, line: list[str], position: list[str], qc: str = "qc", transcript: str = "transcript", cer: str = "cer") -> DataFrame:
+    """The recommended attempt of each line: a least key, which tasks find before rows move; lines without an eligible one have none."""
+    key = [-k for k in rank_key(F.col(qc), F.col(transcript), F.col(cer))]
+    order = F.struct(*(k.alias(f"k{n}") for n, k in enumerate(key)), *position)
+    eligible = attempts.where(F.col(qc).isin("PASS", "WARN"))
+    best = eligible.groupBy(*line).agg(F.min_by(F.struct(*attempts.columns), order).alias("_best"))
+    return best.select("_best.*").withColumns({"rank": F.lit(1), "recommended": F.lit(True)})
 
 
-def early_stop(attempts: DataFrame, line: list[str], position: list[str], qc: str = "qc", transcript: str = "transcript") -> DataFrame:
-    """The attempts up to the first that is accepted, which is the last to run."""
+def early_stop(attempts: DataFrame, line: list[str], position: list[str], qc: str = "qc", transcript: str = "transcript", enabled: Column | None = None) -> DataFrame:
+    """The attempts up to the first that is accepted, which is the last to run.
+
+    Where ``enabled`` (a profile's flag) is false or null all attempts run; a schedule without a profile has no flag.
+    """
     before = Window.partitionBy(*line).orderBy(*position).rowsBetween(Window.unboundedPreceding, -1)
-    done = F.max(accepted_automatically(F.col(qc), F.col(transcript))).over(before)
+    accepted = accepted_automatically(F.col(qc), F.col(transcript))
+    done = F.max(accepted if enabled is None else accepted & F.coalesce(enabled, F.lit(False))).over(before)
     return attempts.withColumn("_done", F.coalesce(done, F.lit(False))).where("NOT _done").drop("_done")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions.align import MIN_SAMPLES
+from sonarlake.functions.signal import TARGET_RATE
 from sonarlake.operators.policy import first_occurrence
 
 
@@ -56,6 +57,35 @@ def output_audit(audio: DataFrame, metadata: DataFrame, stem: str = "stem") -> D
     return joined.withColumn(stem, F.coalesce(stem, "_stem")).withColumn("finding", finding).drop("_a", "_m", "_stem")
 
 
+def delivery_audit(audio: DataFrame, metadata: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
+    """Entries of the clips of a folder with ``errors`` and ``warnings`` by name; pairs meet by stem.
+
+    audio: stem, path, sha256, stats and qc (``workflows.inspect_qc``). metadata: stem, output, audio_sha256, model_revision, mode,
+    text and transcript_status. Metadata without a clip isn't an entry.
+    """
+    meta = metadata.select(*(F.col(c).alias(f"_{c}") for c in ("stem", "output", "audio_sha256", "model_revision")), "mode", "text", "transcript_status")
+    rows = audio.join(meta, F.col("stem") == F.col("_stem"), "left")
+    s, paired = F.col("stats"), F.col("_stem").isNotNull()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    unfit = (s["sample_rate"] != rate) | (s["channels"] != 1) | s["has_nan"] | s["has_inf"] | s["clipping"] | (F.col("qc.status") == "FAIL")
+    errors = [
+        (s.isNull() | yes(unfit), "invalid_audio"), (~paired, "metadata_missing"), (paired & ~yes(F.col("_output") == F.col("path")), "output_differs"),
+        (paired & (F.coalesce("_audio_sha256", F.lit("")) != "") & (F.col("_audio_sha256") != F.col("sha256")), "checksum_mismatch"),
+    ]
+    warnings = [(yes((s["peak"] > 0.98) & ~F.isnan(s["peak"])), "near_full_scale"), (paired & (F.coalesce("_model_revision", F.lit("")) == ""), "model_revision_missing")]
+    named = lambda rules: F.array_compact(F.array(*(F.when(c, name) for c, name in rules)))
+    return rows.select(
+        "path", s["duration"].alias("duration"), s["peak"].alias("peak"), s["rms"].alias("rms"), "mode", "text", "qc",
+        F.coalesce("transcript_status", F.lit("UNAVAILABLE")).alias("transcript_status"), named(errors).alias("errors"), named(warnings).alias("warnings"),
+    )
+
+
+def delivery_summary(entries: DataFrame) -> DataFrame:
+    """One row: clips, errors and warnings; no clip at all is an error."""
+    out = entries.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"))
+    return out.withColumn("errors", F.when(F.col("files") == 0, F.lit(1).cast("long")).otherwise(F.col("errors"))).withColumn("passed", F.col("errors") == 0)
+
+
 def short_references(durations: Column, least: float = 5.0) -> Column:
     return F.count_if(durations < least)
 

@@ -87,11 +87,8 @@ def wave_edge_silence(spark, d):
     j AS (SELECT vec_id, abs(s - lag(s) OVER (PARTITION BY vec_id ORDER BY i)) AS jump FROM x)
     SELECT vec_id, round(max(jump), 6) AS jump FROM j GROUP BY vec_id""")
 def wave_jump_lag(spark, d):
-    from pyspark.sql import Window
-
-    rows = _clips(spark, d).select("vec_id", F.posexplode("embedding").alias("i", "s"))
-    jump = F.abs(F.col("s").cast("double") - F.lag(F.col("s").cast("double")).over(Window.partitionBy("vec_id").orderBy("i")))
-    return rows.withColumn("jump", jump).groupBy("vec_id").agg(r6(F.max("jump")).alias("jump"))
+    """The lag within an array needs no shuffle."""
+    return _clips(spark, d).select("vec_id", r6(signal.max_jump(F.col("embedding"))).alias("jump"))
 
 
 @query(f"""
@@ -210,11 +207,16 @@ def candidate_rank(spark, d):
 
 
 @query(f"""
-    WITH a AS ({_ATT}), e AS (SELECT *, max(CASE WHEN qc = 'PASS' AND transcript = 'PASS' THEN 1 ELSE 0 END) OVER
-        (PARTITION BY l_orderkey ORDER BY {", ".join(_POS)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM a)
-    SELECT l_orderkey, l_linenumber, l_partkey, qc, transcript FROM e WHERE coalesce(done, 0) = 0""")
+    WITH a AS ({_ATT}), e AS (SELECT a.*, o_orderpriority <> '5-LOW' AND o_orderkey IS NOT NULL AS stops, max(CASE WHEN qc = 'PASS' AND transcript = 'PASS' THEN 1 ELSE 0 END) OVER
+        (PARTITION BY l_orderkey ORDER BY {", ".join(_POS)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM a LEFT JOIN orders ON l_orderkey = o_orderkey)
+    SELECT l_orderkey, l_linenumber, l_partkey, qc, transcript FROM e WHERE coalesce(done, 0) = 0 OR NOT stops""")
 def candidate_early_stop(spark, d):
-    return policy.early_stop(_attempts(spark, d), ["l_orderkey"], _POS).select("l_orderkey", "l_linenumber", "l_partkey", "qc", "transcript")
+    """Each order's priority names its profile; the one for low priority doesn't stop early."""
+    names = F.create_map(*(F.lit(x) for p in _PRIORITY.items() for x in p))
+    flags = policy.profiles(spark).select(F.col("name").alias("profile"), "early_stop")
+    lines = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), names[F.col("o_orderpriority")].alias("profile")).join(F.broadcast(flags), "profile")
+    attempts = _attempts(spark, d).join(lines, "l_orderkey", "left")
+    return policy.early_stop(attempts, ["l_orderkey"], _POS, enabled=F.col("early_stop")).select("l_orderkey", "l_linenumber", "l_partkey", "qc", "transcript")
 
 
 @query(f"""
@@ -242,13 +244,10 @@ def false_retry_rate(spark, d):
     WITH s AS (SELECT d.doc_id, sha256(d.text) AS audio_sha256 FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND d.lang = 'en' AND trim(d.text) <> '')
     SELECT audio_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM s GROUP BY audio_sha256""")
 def calibration_samples(spark, d):
-    from pyspark.sql import Window
-
     s = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
     usable = validate.calibration_sample(F.col("quality") == 1, F.col("lang"), F.col("text"), F.col("quality") == 1, F.col("text"))
     rows = s.where((F.col("lang") == "en") & usable).select("doc_id", F.sha2("text", 256).alias("audio_sha256"))
-    counted = rows.withColumn("copies", F.count("*").over(Window.partitionBy("audio_sha256")))
-    return policy.first_occurrence(counted, ["audio_sha256"], ["doc_id"]).select("audio_sha256", "doc_id", "copies")
+    return rows.groupBy("audio_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 @query(f"""
@@ -329,14 +328,19 @@ def normalize_documents(spark, d):
     return out.select("doc_id", F.length("n.normalized").alias("chars"), F.size("n.warnings").alias("warnings"), "n.changed", "n.error_code")
 
 
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]*')) AS INTEGER) AS identifiers FROM documents")
+_WORD = r"[\pL\pM\p{Nd}\p{Pc}]"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, regexp_extract_all(text, 'https?://[^\s\pZ\x0B\x85\x1c-\x1f，。！？；]+|(?:{_WORD}|[.+-])+@(?:{_WORD}|[.-])+\.[A-Za-z]{{2,}}|[A-Za-z][A-Za-z0-9_.-]*') AS t FROM documents)
+    SELECT doc_id, CAST(len(t) AS INTEGER) AS identifiers, sha256(array_to_string(t, ' ')) AS sha256 FROM x""")
 def protected_tokens(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_.-]*"), F.lit(0))).alias("identifiers"))
+    tokens = normalize.protected_tokens(F.col("text"))
+    return _t(spark, d, "documents").withColumn("t", tokens).select("doc_id", F.size("t").alias("identifiers"), F.sha2(F.array_join("t", " "), 256).alias("sha256"))
 
 
 @query()
 def normalize_digits_docs(spark, d):
-    rows = _t(spark, d, "documents").where(F.col("text").rlike(r"\d")).select("doc_id", normalize.normalize_text(F.col("text"), "narration").alias("n"))
+    rows = _t(spark, d, "documents").select("doc_id", normalize.normalize_text(F.col("text"), "narration").alias("n"))
     return rows.select("doc_id", F.sha2("n.normalized", 256).alias("sha256"), F.size("n.warnings").alias("warnings"))
 
 
@@ -355,7 +359,15 @@ def lexicon_merge(spark, d):
 _LEXICON = {"the": ("thee", "the", None), "and": ("an", None, None), "de": (None, None, "dé"), "que la": ("kela", None, None)}
 
 
-@query()
+_TOKEN = "CASE WHEN t[i] = 'que' AND t[i + 1] = ' ' AND t[i + 2] = 'la' THEN 1 WHEN i > 1 AND t[i] = ' ' AND t[i - 1] = 'que' AND t[i + 1] = 'la' THEN 2 WHEN i > 2 AND t[i] = 'la' AND t[i - 1] = ' ' AND t[i - 2] = 'que' THEN 2 ELSE 0 END"
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z ]+| ') AS t FROM conversations),
+    k AS (SELECT *, list_transform(range(1, len(t) + 1), lambda i: {_TOKEN}) AS k FROM x),
+    r AS (SELECT conv_id, turn, t, k, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN k[i] = 1 THEN 'kela' WHEN k[i] = 2 THEN '' WHEN t[i] = 'the' THEN 'thee' WHEN t[i] = 'and' THEN 'an' ELSE t[i] END) AS s,
+          list_transform(range(1, len(t) + 1), lambda i: CASE WHEN k[i] = 1 THEN 'kela' WHEN k[i] = 2 THEN '' WHEN t[i] = 'and' THEN 'an' ELSE t[i] END) AS e FROM k)
+    SELECT conv_id, turn, sha256(array_to_string(s, '')) AS spoken, sha256(array_to_string(e, '')) AS expected,
+           CAST(len(list_filter(range(1, len(t) + 1), lambda i: k[i] = 1 OR t[i] IN ('the', 'and', 'de'))) AS INTEGER) AS applied, CAST(len(list_filter(t, lambda x: x = 'de')) AS INTEGER) AS warnings FROM r""")
 def lexicon_apply(spark, d):
     out = _t(spark, d, "conversations").select("conv_id", "turn", lexicon.resolve_pronunciation(F.col("text"), _LEXICON).alias("r"))
     return out.select("conv_id", "turn", F.sha2("r.text", 256).alias("spoken"), F.sha2("r.expected", 256).alias("expected"), F.size("r.applied").alias("applied"), F.size("r.warnings").alias("warnings"))
@@ -429,15 +441,30 @@ def segment_sentences(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(s).alias("sentences"), F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0)).alias("longest"))
 
 
-@query()
+_CLAUSE = "[^，,；;：:]+[，,；;：:]*|[，,；;：:]+"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_SENT}')) AS s, generate_subscripts(regexp_extract_all(text, '{_SENT}'), 1) AS n FROM documents),
+    c AS (SELECT doc_id, n, s, regexp_extract_all(s, '{_CLAUSE}') AS c FROM s),
+    p AS (SELECT doc_id, n, CASE WHEN length(s) <= 500 THEN [s] WHEN list_max(list_transform(c, lambda x: length(x))) > 500 THEN NULL
+              ELSE list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN length(a[len(a)]) + length(x[1]) <= 500 THEN list_concat(a[1:len(a) - 1], [a[len(a)] || x[1]]) ELSE list_concat(a, x) END) END AS p FROM c),
+    g AS (SELECT doc_id, CASE WHEN bool_or(p IS NULL) THEN NULL ELSE flatten(list(p ORDER BY n)) END AS g FROM p GROUP BY doc_id),
+    d AS (SELECT documents.doc_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN NULL ELSE g END AS g, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' WHEN g IS NULL THEN 'clause_too_long' END AS e FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id)
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, 'segment_' || lpad(CAST(i AS VARCHAR), 4, '0') AS segment_id, CAST(length(g[i]) AS INTEGER) AS chars, e AS error_code FROM (SELECT doc_id, g, e, unnest(range(1, len(g) + 1)) AS i FROM d WHERE g IS NOT NULL)
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, e FROM d WHERE g IS NULL""")
 def segment_pack(spark, d):
     rows = segment.segment_rows(_t(spark, d, "documents").select("doc_id", "text"), max_chars=500)
     return rows.select("doc_id", "pos", "segment_id", F.length("segment").alias("chars"), "error_code")
 
 
-@query("SELECT doc_id, true AS preserved FROM documents")
+@query(f"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SENT}')) AS s FROM documents),
+    bad AS (SELECT DISTINCT doc_id FROM s WHERE length(s) > 500 AND list_max(list_transform(regexp_extract_all(s, '{_CLAUSE}'), lambda x: length(x))) > 500)
+    SELECT d.doc_id, CASE WHEN trim(text, ' ') <> '' AND bad.doc_id IS NULL THEN d.doc_id % 3 <> 1 END AS preserved FROM documents d LEFT JOIN bad ON d.doc_id = bad.doc_id""")
 def segment_roundtrip(spark, d):
-    return _t(spark, d, "documents").select("doc_id", segment.preserves(F.col("text"), segment.sentences(F.col("text"))).alias("preserved"))
+    """Segments of at most 500 characters; of every third text the first is left out, so it isn't given back. Blank and uncuttable texts have none."""
+    whole = segment.segments(F.col("text"), 500)
+    parts = F.when(F.col("doc_id") % 3 == 1, F.slice("s", 2, F.size("s"))).otherwise(F.col("s"))
+    return _t(spark, d, "documents").withColumn("s", whole).select("doc_id", segment.preserves(F.col("text"), parts).alias("preserved"))
 
 
 # ---- validation, identity, resume ------------------------------------------------------------------
@@ -497,9 +524,7 @@ def file_hash_dedupe(spark, d):
 
 @query("SELECT r_name, n_name, CAST(c AS INTEGER) AS candidate FROM region, nation, (SELECT unnest([1, 2, 3]) AS c)")
 def cross_suite(spark, d):
-    """Two fixed dimension tables (5 and 25 rows) by three candidates."""
-    suite = _t(spark, d, "region").select("r_name").join(F.broadcast(_t(spark, d, "nation").select("n_name")), F.lit(True))
-    return catalog.audition_plan(suite, None, 3)
+    return catalog.audition_plan(_t(spark, d, "region").select("r_name"), _t(spark, d, "nation").select("n_name"), 3)
 
 
 _SEG = ("AUTOMOBILE", "BUILDING", "HOUSEHOLD")
@@ -603,9 +628,9 @@ def _sql_escape(c: str) -> str:
     return c
 
 
-@query(f"""SELECT page_id, sha256('<article><h2>' || page_id || '</h2><p>' || {_sql_escape('url')} || '</p><audio controls src="' || {_sql_escape('substr(html, 1, 200)')} || '"></audio></article>') AS card FROM pages""")
+@query(f"""SELECT page_id, sha256('<article><h2>' || page_id || '</h2><p>' || {_sql_escape('url')} || '</p><audio controls src="' || {_sql_escape('html')} || '"></audio></article>') AS card FROM pages""")
 def html_cards(spark, d):
-    c = report.card(F.col("page_id").cast("string"), F.col("url"), F.substring("html", 1, 200))
+    c = report.card(F.col("page_id").cast("string"), F.col("url"), F.col("html"))
     return _t(spark, d, "pages").select("page_id", F.sha2(c, 256).alias("card"))
 
 

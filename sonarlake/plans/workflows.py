@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions import align, emotion, lexicon, segment, signal
 from sonarlake.functions.identity import row_fingerprint
-from sonarlake.operators import catalog, policy, report, validate
+from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import adapters
+from sonarlake.shared import checkpointed
+from sonarlake.sources import sinks
 
 # What a request takes where it says nothing.
 EPISODE_DEFAULTS = {"candidates": 3, "profile": "production", "inference_timesteps": 30, "cfg_value": 2.0, "warmup_patches": 0, "max_tokens": 2000}
@@ -44,8 +46,8 @@ def prepare_longform(texts: DataFrame, text: str = "text", max_chars: int = segm
     return segment.segment_rows(texts, text, max_chars)
 
 
-def run_attempts(plan: DataFrame, line: list[str], synthesizer=None, recognizer=None, threshold: float | None = None) -> DataFrame:
-    """Attempts scored through the adapters, cut at the first that is accepted, and ranked."""
+def _scored(plan: DataFrame, synthesizer, recognizer, threshold: float | None) -> DataFrame:
+    """Attempts made and judged."""
     made = adapters.recognize(adapters.synthesize(plan, synthesizer), recognizer)
     stats = signal.stats(F.col("samples"), F.col("sample_rate"), subtype=F.lit("PCM_24"))
     expected, heard = align.comparison_text(F.col("text")), align.comparison_text(F.col("recognized"))
@@ -53,8 +55,25 @@ def run_attempts(plan: DataFrame, line: list[str], synthesizer=None, recognizer=
     qc = F.when(F.col("samples").isNotNull(), signal.audio_qc(F.col("stats"), F.col("text"))["status"]).otherwise("UNAVAILABLE")
     limit = F.lit(None).cast("double") if threshold is None else F.lit(float(threshold))
     verdict = align.verdict(F.lit(recognizer is not None), F.col("recognition_error"), F.col("cer"), limit)
-    scored = scored.withColumns({"qc": qc, "transcript": verdict, "rtf": validate.rtf(F.col("generation_seconds"), F.col("stats.duration"))})
-    return policy.rank_candidates(policy.early_stop(scored, line, ["candidate"]), line, ["candidate"])
+    return scored.withColumns({"qc": qc, "transcript": verdict, "rtf": validate.rtf(F.col("generation_seconds"), F.col("stats.duration"))})
+
+
+def run_attempts(plan: DataFrame, line: list[str], synthesizer=None, recognizer=None, threshold: float | None = None) -> DataFrame:
+    """Attempts made in order and ranked; a line whose profile stops early (``early_stop``) makes none after one is accepted.
+
+    One round for each candidate number, of which a schedule has MAX_CANDIDATES at most. A round is checkpointed, so no
+    attempt is made twice, and a lost executor costs its own tasks only.
+    """
+    last = min(plan.agg(F.max("candidate")).first()[0] or 1, policy.MAX_CANDIDATES)
+    stops = F.coalesce(F.col("early_stop"), F.lit(False)) if "early_stop" in plan.columns else F.lit(False)
+    made = accepted = None
+    for k in range(1, last + 1):
+        due = plan.where(F.col("candidate") == k)
+        round_ = checkpointed(_scored(due if accepted is None else due.join(accepted, line, "left_anti"), synthesizer, recognizer, threshold))
+        done = round_.where(stops & align.accepted_automatically(F.col("qc"), F.col("transcript"))).select(*line)
+        made = round_ if made is None else made.unionByName(round_)
+        accepted = done if accepted is None else accepted.unionByName(done)
+    return policy.rank_candidates(made, line, ["candidate"])
 
 
 def plan_batch(lines: DataFrame, completed: DataFrame, profiles: DataFrame, key: list[str]) -> DataFrame:
@@ -65,6 +84,50 @@ def plan_batch(lines: DataFrame, completed: DataFrame, profiles: DataFrame, key:
     return plan.withColumn("attempt_hash", row_fingerprint(*(F.col(c) for c in (*key, "text", "attempt_seed", "inference_timesteps"))))
 
 
+def preflight(lines: DataFrame, identities: DataFrame, settings: dict[str, str], project: str = "project", id: str = "id") -> DataFrame:
+    """Per project the fingerprint of all that its results depend on: lines, references and settings (model, runtime, recognizer).
+
+    identities: ``catalog.reference_identity`` of the lines' voices. A line whose reference can't be used makes its project's
+    ``error_code``. The fingerprint doesn't depend on the order in which rows come.
+    """
+    known = identities.select(project, id, F.col("error_code").alias("_error"), "reference_sha256", "reference_transcript_sha256", "voice_sha256")
+    rows = lines.join(known, [project, id], "left")
+    columns = [c for c in rows.columns if c not in (project, "_error")]
+    each = rows.select(project, "_error", row_fingerprint(*(F.col(c).cast("string") for c in sorted(columns))).alias("_line"))
+    out = each.groupBy(project).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), ","), 256).alias("_all"), F.max("_error").alias("error_code"), F.count("*").alias("lines"))
+    named = [F.lit(x) for k in sorted(settings) for x in (k, settings[k])]
+    return out.withColumn("fingerprint", row_fingerprint(F.col("_all"), *named)).drop("_all")
+
+
+def choose_revision(wanted: DataFrame, files: DataFrame, project: str = "project") -> DataFrame:
+    """Per project the newest revision that can go on (same fingerprint, all files intact), else a new number.
+
+    wanted: project and fingerprint. files: project, revision, fingerprint and intact, one row for each recorded file.
+    """
+    rows = files.join(wanted.select(project, F.col("fingerprint").alias("_wanted")), project)
+    picked = policy.newest_valid(lifecycle.revision_validity(rows, [project, "revision"], "fingerprint", "_wanted"), [project])
+    out = wanted.join(picked, project, "left")
+    return out.withColumn("resumed", F.col("reusable").isNotNull()).withColumn("revision", F.coalesce("reusable", "next_revision", F.lit(1))).drop("reusable", "next_revision")
+
+
+def run_batch(lines: DataFrame, identities: DataFrame, settings: dict[str, str], files: DataFrame, finished: DataFrame, profiles: DataFrame, path: str,
+              synthesizer=None, recognizer=None, threshold: float | None = None) -> DataFrame:
+    """Preflight, choice of a revision, the attempts that are left, and the finished lines appended to ``path``.
+
+    finished: project, revision and id of lines that a resumed revision has. Projects with an error in preflight make
+    nothing. Returns one row per project: fingerprint, revision, resumed, error_code and the lines made now.
+    """
+    checked = preflight(lines, identities, settings)
+    chosen = checkpointed(choose_revision(checked.where("error_code IS NULL"), files))
+    due = lines.join(chosen.select("project", "revision"), "project")
+    plan = plan_batch(due, finished.select("project", "revision", "id"), profiles, ["project", "revision", "id"])
+    made = checkpointed(run_attempts(plan, ["project", "revision", "id"], synthesizer, recognizer, threshold).drop("samples"))
+    sinks.append_lines(made, path)
+    counts = made.groupBy("project").agg(F.countDistinct("id").alias("lines_made"))
+    out = checked.select("project", "fingerprint", "error_code").join(chosen.select("project", "revision", "resumed"), "project", "left")
+    return out.join(counts, "project", "left").withColumn("lines_made", F.coalesce("lines_made", F.lit(0)))
+
+
 def benchmark_plan(cases: DataFrame, steps: list[int]) -> DataFrame:
     """Cases by steps."""
     return cases.withColumn("steps", F.explode(F.array(*(F.lit(s) for s in steps)))).withColumn("instruct", emotion.instruction_of(emotion.style_of(F.col("emotion"))))

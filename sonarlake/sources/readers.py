@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonarlake import ship
+
 S, D, L, B = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
 
 
@@ -77,7 +79,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     """Lines of all manifests, newest revision first; revisions are numbers, so there is no last one."""
     rows = _json(spark, f"{root}/run_*/manifest.json", MANIFEST).withColumn("path", F.col("_metadata.file_path"))
     numbered = rows.withColumn("revision_number", F.regexp_extract("path", r"run_(\d+)/", 1).cast("int"))
-    return numbered.select("*", F.posexplode_outer("lines").alias("pos", "line")).drop("lines")
+    return numbered.select("*", F.posexplode_outer("lines").alias("pos", "line")).drop("lines").orderBy(F.col("revision_number").desc(), "path", "pos")
 
 
 def candidates(spark: SparkSession, root: str) -> DataFrame:
@@ -144,4 +146,5 @@ def waveforms(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFra
                 ("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("subtype", pa.string()),
                 ("samples", pa.list_(pa.float32())), ("peak_all", pa.float64()), ("error_code", pa.string())])))
 
+    ship(spark)
     return found.mapInArrow(decode, T.StructType([T.StructField("path", S), T.StructField("length", L), T.StructField("sha256", S), *STATS_FIELDS.fields]))

@@ -205,6 +205,83 @@ def test_attempts_with_adapters(spark):
     assert broken["recognition_status"] == "ERROR" and "zero" in broken["recognition_error"]
 
 
+def test_early_stop_obeys_the_profile(spark, tmp_path):
+    """A stopped line makes no further attempt; a profile without the flag, or no profile, makes all."""
+    calls = str(tmp_path)
+
+    def tone():
+        def make(rows):
+            import os
+            import uuid
+
+            for r in rows:
+                open(os.path.join(calls, f"{r['id']}-{r['candidate']}-{uuid.uuid4().hex}"), "w").close()
+            return [{"samples": [0.1, -0.1] * 24000, "sample_rate": 48000, "generation_seconds": 2.0} for r in rows]
+
+        return make
+
+    lines = spark.createDataFrame([("a", "你好", 1, "quality"), ("b", "你好", 1, "ultimate"), ("c", "你好", 1, "balanced")], "id string, text string, seed long, profile string")
+    plan = workflows.plan_batch(lines, lines.where("id = 'c'").select("id"), policy.profiles(spark), ["id"])
+    made = workflows.run_attempts(plan, ["id"], tone, lambda: lambda rows: [{"recognized": r["text"]} for r in rows], 0.12)
+    assert sorted((r["id"], r["candidate"]) for r in made.collect()) == [("a", 1), ("b", 1), ("b", 2), ("b", 3)]
+    import os
+
+    assert sorted(n[:3] for n in os.listdir(calls)) == ["a-1", "b-1", "b-2", "b-3"]
+    assert workflows.run_attempts(plan.drop("early_stop"), ["id"], tone).count() == 6
+    rows = spark.createDataFrame([("x", 1, True), ("x", 2, True), ("y", 1, False), ("y", 2, False), ("z", 1, None), ("z", 2, None)], "line string, candidate int, flag boolean").withColumns({"qc": F.lit("PASS"), "transcript": F.lit("PASS")})
+    assert policy.early_stop(rows, ["line"], ["candidate"], enabled=F.col("flag")).groupBy("line").count().orderBy("line").collect() == [("x", 1), ("y", 2), ("z", 2)]
+
+
+def test_batch_run_resumes(spark, tmp_path):
+    tone = lambda: lambda rows: [{"samples": [0.1, -0.1] * 24000, "sample_rate": 48000, "generation_seconds": 2.0} for r in rows]
+    echo = lambda: lambda rows: [{"recognized": r["text"]} for r in rows]
+    lines = spark.createDataFrame([("p", "a", "你好", 1, "quality"), ("p", "b", "再见", 1, "quality"), ("q", "c", "你好", 1, "quality")], "project string, id string, text string, seed long, profile string")
+    known = lines.select("project", "id", F.when(F.col("project") == "q", "reference_missing").alias("error_code"), *(F.lit("h").alias(c) for c in ("reference_sha256", "reference_transcript_sha256", "voice_sha256")))
+    none = spark.createDataFrame([], "project string, revision int, fingerprint string, intact boolean")
+    done = spark.createDataFrame([], "project string, revision int, id string")
+
+    def run(rows, files, finished, name):
+        out = workflows.run_batch(rows, known, {"model": "m"}, files, finished, policy.profiles(spark), str(tmp_path / name), tone, echo, 0.12)
+        return {r["project"]: r for r in out.collect()}
+
+    first = run(lines, none, done, "one")
+    assert first["q"]["error_code"] == "reference_missing" and first["q"]["lines_made"] == 0 and first["q"]["revision"] is None
+    assert (first["p"]["revision"], first["p"]["resumed"], first["p"]["lines_made"]) == (1, False, 2)
+    print_ = first["p"]["fingerprint"]
+    assert run(lines.repartition(3), none, done, "two")["p"]["fingerprint"] == print_
+    kept = spark.createDataFrame([("p", 1, print_, True), ("p", 1, print_, True)], none.schema)
+    again = run(lines, kept, spark.createDataFrame([("p", 1, "a")], done.schema), "three")["p"]
+    assert (again["revision"], again["resumed"], again["lines_made"]) == (1, True, 1)
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "three")).collect()} == {"b"}
+    damaged = spark.createDataFrame([("p", 1, print_, True), ("p", 1, print_, False)], none.schema)
+    assert run(lines, damaged, done, "four")["p"]["revision"] == 2
+    changed = run(lines.withColumn("text", F.concat("text", F.lit("。"))), kept, done, "five")["p"]
+    assert changed["fingerprint"] != print_ and (changed["revision"], changed["resumed"]) == (2, False)
+
+
+def test_reference_identity_and_delivery_audit(spark):
+    voices = spark.createDataFrame([("v", "V", "neutral", {"neutral": ("a.wav", " 你好 ", "h1"), "sad": ("b.wav", "", None), "loud": ("c.wav", "x", "old"), "off": ("d.wav", "x", None), "gone": ("e.wav", "x", None)})],
+                                   "id string, name string, default_style string, styles map<string, struct<reference: string, transcript_text: string, reference_sha256: string>>")
+    clips = spark.createDataFrame([(p, f"h{k}", (48000, 1, 6.0, 0.5, 0.1, False, False, False), (s,)) for k, (p, s) in enumerate([("a.wav", "PASS"), ("b.wav", "PASS"), ("c.wav", "PASS"), ("d.wav", "FAIL")], 1)],
+                                  "path string, sha256 string, stats struct<sample_rate: int, channels: int, duration: double, peak: double, rms: double, has_nan: boolean, has_inf: boolean, clipping: boolean>, qc struct<status: string>")
+    asked = spark.createDataFrame([(str(k), "v", s) for k, s in enumerate([None, "sad", "loud", "off", "gone", "none"])] + [("9", "w", None)], "line string, character_id string, style string")
+    got = {r["line"]: r for r in catalog.reference_identity(asked, catalog.styles(voices), clips).collect()}
+    assert [got[k]["error_code"] for k in "0123459"] == [None, "transcript_empty", "reference_changed", "reference_invalid", "reference_missing", "style_not_found", "voice_not_found"]
+    import hashlib
+
+    assert got["0"]["reference_transcript"] == "你好" and got["0"]["reference_transcript_sha256"] == hashlib.sha256("你好".encode()).hexdigest()
+    assert got["0"]["resolved_style"] == "neutral" and got["0"]["reference_sha256"] == "h1" and got["0"]["voice_sha256"] and got["1"]["voice_sha256"] is None
+    audio = clips.withColumn("stem", F.regexp_replace("path", ".wav", ""))
+    meta = spark.createDataFrame([("a", "a.wav", "h1", "r", "m", "t", "PASS"), ("b", "x.wav", "zz", None, "m", "t", None), ("zz", "", "", "", "", "", "")], "stem string, output string, audio_sha256 string, model_revision string, mode string, text string, transcript_status string")
+    rows = {r["path"]: r for r in report.delivery_audit(audio, meta).collect()}
+    assert rows["a.wav"]["errors"] == rows["a.wav"]["warnings"] == [] and rows["a.wav"]["transcript_status"] == "PASS"
+    assert rows["b.wav"]["errors"] == ["output_differs", "checksum_mismatch"] and rows["b.wav"]["warnings"] == ["model_revision_missing"]
+    assert rows["c.wav"]["errors"] == ["metadata_missing"] and rows["d.wav"]["errors"] == ["invalid_audio", "metadata_missing"] and len(rows) == 4
+    total = report.delivery_summary(report.delivery_audit(audio, meta)).first()
+    assert (total["files"], total["errors"], total["warnings"], total["passed"]) == (4, 5, 1, False)
+    assert report.delivery_summary(report.delivery_audit(audio.limit(0), meta)).first()["errors"] == 1
+
+
 def test_calibration(spark):
     rows = [(i, f"h{i}", "b", "你好", "你好" if i else "你", True, "ann", True) for i in range(31)] + [(99, "x", "b", "你好", "你好", True, "ann", None)]
     samples = spark.createDataFrame(rows, "pos int, audio_sha256 string, backend_id string, human_transcript string, recognized string, listened boolean, reviewer string, tts_correct boolean")
