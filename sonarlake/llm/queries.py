@@ -36,7 +36,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learnable(doc_id):
-    """Rows that labels may be learned from."""
+    """Rows that labels may be learned from. A null id has no remainder: such a row isn't held out, and has no label."""
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"), learnable)
     scored = toxicity.with_scores(docs, model)
-    return scored.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
