@@ -51,9 +51,11 @@ SPAN, K = 50, 16
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
 #: Bytes of text hashed at once, of text between two emissions of a task, and of text for each bucket.
-CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 16 << 20, 16 << 20
+CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 32 << 20, 24 << 20
 #: Bytes of a document that pieces of others name together, and pieces that meet it at once.
 BLOCK, FAN = 1 << 15, 256
+#: Bytes of asked text that a task hands on together.
+ASKED = 8 << 20
 #: Shares of a bucket that are sorted one after the other.
 SHARES = 16
 PLACE = np.uint64((1 << 24) - 1)
@@ -375,11 +377,37 @@ def _meeting(k: int, block: int, share: int, buckets: int) -> int:
     return buckets + int(mix(x)[0] % np.uint64(buckets))
 
 
-_TEXTS = "b int, role int, id long, k long, pos long, ask boolean, rk long, rs long, x binary"
+#: What is known of an asked text, besides its group in front and its bytes at the end.
+_ASKED = ("role", "id", "k", "pos", "ask", "rk", "rs")
+
+
+def _pack(rows: list[tuple]) -> pa.RecordBatch:
+    """Asked texts by group, compressed."""
+    groups: dict[int, list] = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    z = zstandard.ZstdCompressor(level=1)
+    bodies = []
+    for mine in groups.values():
+        numbers = [np.array(c, np.int64) for c in zip(*(r[1:8] for r in mine), strict=True)]
+        bodies.append(pickle.dumps((_squeeze(*numbers, np.array([len(r[8]) for r in mine], np.int64)), z.compress(b"".join(r[8] for r in mine)))))
+    return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int32()), pa.array(bodies, pa.binary())], ["b", "body"])
+
+
+def _unpack(bodies: list[bytes]) -> pa.Table:
+    columns, texts = [], []
+    for body in bodies:
+        numbers, packed = pickle.loads(body)
+        *numbers, sizes = _loosen(numbers)
+        whole, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(sizes).tolist()
+        texts += [whole[a:b] for a, b in zip([0, *ends], ends)]
+        columns.append(numbers)
+    out = dict(zip(_ASKED, (np.concatenate(c) for c in zip(*columns, strict=True)), strict=True))
+    return pa.table(out | {"ask": out["ask"].astype(bool), "x": pa.array(texts, pa.binary())})
 
 
 def _asked_rows(buckets: int, id: int, k: int, t: bytes, start, end, role, g, ask, rk, rs, fan):
-    """Rows of _TEXTS for what is asked of one document."""
+    """(group, what _ASKED names, bytes) for what is asked of one document."""
     for a in np.flatnonzero(role == PART).tolist():
         yield int(g[a]) % buckets, PART, id, k, int(start[a]), bool(ask[a]), 0, 0, t[start[a] : end[a]]
     mine = np.flatnonzero(role == WHOLE)
@@ -394,21 +422,24 @@ def _asked_rows(buckets: int, id: int, k: int, t: bytes, start, end, role, g, as
 
 def _texts(asked: DataFrame, buckets: int) -> DataFrame:
     """The text of each run that was asked for, and of each piece with what it names."""
-    names = [x.split()[0] for x in _TEXTS.split(", ")]
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
 
     def work(batches):
+        rows, held = [], 0
         for b in batches:
             edges, flat = _lists(b.column("__asks"))
             fields = _fields(flat, "start", "end", "role", "g", "ask", "rk", "rs", "fan")
-            rows = []
             for n, (id, k) in enumerate(zip(b.column("__id").to_pylist(), b.column("__k").to_pylist(), strict=True)):
                 if edges[n] < edges[n + 1]:
                     mine = slice(edges[n], edges[n + 1])
-                    rows += _asked_rows(buckets, NO_ID if id is None else id, k, b.column("__t")[n].as_py(), *(f[mine] for f in fields))
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names)
+                    new = list(_asked_rows(buckets, NO_ID if id is None else id, k, b.column("__t")[n].as_py(), *(f[mine] for f in fields)))
+                    rows += new
+                    held += sum(100 + len(r[8]) for r in new)
+            if held >= ASKED:
+                yield _pack(rows)
+                rows, held = [], 0
+        yield _pack(rows)
 
-    return map_slices(asked, work, _TEXTS)
+    return map_slices(asked, work, "b int, body binary")
 
 
 def _window_hits(group: pa.Table):
@@ -460,6 +491,10 @@ def _piece_hits(group: pa.Table):
 
 
 def _sort_texts(key, group):
+    return _sorted(_unpack(group.column("body").to_pylist()))
+
+
+def _sorted(group: pa.Table) -> pa.Table:
     """Spans that repeat text of a smaller id, of one group of texts."""
     part = group.column("role").to_numpy() == PART
     found = [f(group.filter(pa.array(rows))) for f, rows in ((_window_hits, part), (_piece_hits, ~part)) if rows.any()]

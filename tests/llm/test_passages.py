@@ -60,13 +60,11 @@ def local(rows, buckets, flush_docs):
             spans.setdefault(r["k"], []).append((r["start"], r["end"]))
         else:
             asks.setdefault(r["k"], []).append([r[c] for c in ("start", "end", "role", "g", "ask", "rk", "rs", "fan")])
-    groups = {}
+    rows_ = []
     for k, a in asks.items():
-        fields = [np.array(c) for c in zip(*a, strict=True)]
-        for row in suffixdedup._asked_rows(2, texts[k][0], k, texts[k][1], *fields):
-            groups.setdefault(row[0], []).append(dict(zip(("b", "role", "id", "k", "pos", "ask", "rk", "rs", "x"), row, strict=True)))
-    for group in groups.values():
-        for r in suffixdedup._sort_texts(None, pa.Table.from_pylist(group)).to_pylist():
+        rows_ += suffixdedup._asked_rows(2, texts[k][0], k, texts[k][1], *(np.array(c) for c in zip(*a, strict=True)))
+    for body in suffixdedup._pack(rows_).column("body") if rows_ else []:
+        for r in suffixdedup._sort_texts(None, pa.table({"body": pa.array([body.as_py()], pa.binary())})).to_pylist():
             spans.setdefault(r["k"], []).extend(map(tuple, np.frombuffer(r["dups"], "<i8").reshape(-1, 2).tolist()))
     out = []
     for k, (i, t) in enumerate(rows):
@@ -157,7 +155,7 @@ def test_hashes_remove_nothing(docs, monkeypatch):
     found = suffixdedup._meet(None, pa.table({"anchors": pa.array([e[1] for e in out], pa.binary()), "repeats": pa.array([e[2] for e in out], pa.binary())})).to_pylist()
     assert sum(r["role"] == suffixdedup.WHOLE for r in found) > 50
     rows = [{"b": 0, "role": r["role"], "id": r["k"], "k": r["k"], "pos": r["start"], "ask": True, "rk": r["rk"], "rs": r["rs"], "x": texts[r["k"]][r["start"] : r["end"]]} for r in found]
-    assert suffixdedup._sort_texts(None, pa.Table.from_pylist(rows)).num_rows == 0
+    assert suffixdedup._sorted(pa.Table.from_pylist(rows)).num_rows == 0
 
 
 def test_names_of_the_plan_are_refused(docs):
