@@ -127,7 +127,7 @@ def test_training_against_definition(spark, docs, monkeypatch):
     rows, labels = _labelled(spark, 500, 7)
     # Words of one stem that say different things, copies, and a toxic word with endings.
     rng = random.Random(8)
-    more = [(1000 + i, prose(rng, 30) + (" pathetic vequ" + rng.choice(["ing", "ed", "s"]) if i % 2 else " pathway")) for i in range(200)]
+    more = [(1000 + i, f"vequ{rng.choice(['ing', 'ed', 's'])} {prose(rng, 30)} pathetic" if i % 2 else prose(rng, 30) + " pathway") for i in range(200)]
     more += [(2000 + i, more[1][1]) for i in range(40)]
     pairs = [tuple(r) for r in labels.collect()] + [(i, i % 2 if i < 2000 else 1) for i, _ in more]
     rows += more
