@@ -135,7 +135,7 @@ def test_training_against_definition(spark, docs, monkeypatch):
     model = toxicity.train(docs(rows), spark.createDataFrame(pairs, "doc_id long, toxic int"))
     assert {"pathetic", "pathway"} & own and model.own == own and "vequ-" in model.weights
     assert set(model.weights) == {g[0] for g in got} and all(math.isclose(model.weights[k], o, rel_tol=1e-9) for k, _, _, o in got)
-    assert math.isclose(model.gap, gap, rel_tol=1e-9) and sum(p * s for s, p in dist) < 0  # clean text drifts down
+    assert math.isclose(model.gap, gap, rel_tol=1e-6) and sum(p * s for s, p in dist) < 0  # clean text drifts down
     assert math.isclose(sum(p * math.exp(model.lam * s) for s, p in dist), 1, abs_tol=1e-6)
     gain = sum(p * s * math.exp(model.lam * s) for s, p in dist)
     assert math.isclose(model.k, sum(p * s for s, p in dist) ** 2 / gain * model.lam, rel_tol=1e-6)
