@@ -4,6 +4,7 @@ import corpus_pipeline
 from llm_helpers import prose
 
 from sonarlake.llm import neardup, simhash
+from sonarlake.llm.text import HashMemo
 
 
 def _changed(rng, text, share):
@@ -34,8 +35,8 @@ def test_large_blocks(monkeypatch):
 
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 1 << 63, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 9000).astype(np.uint64))
-    pairs = neardup.block_pairs(fp, np.full(9000, 50))
-    assert len(pairs) < 8 * 9000 and {j for _, j in pairs} == set(range(1, 9000))
+    pairs, whole = neardup.block_pairs(fp, np.full(9000, 50))
+    assert not whole and len(pairs) < 8 * 9000 and {j for _, j in pairs} == set(range(1, 9000))
 
 
 def test_pipeline_stage_drops_appended_copy(spark, docs):
@@ -53,3 +54,44 @@ def test_one_row_of_each_group_stays(spark, docs):
     ids = sorted((str(r["doc_id"]), (r["text"] or "")[:40]) for r in kept)
     assert ids == sorted([("3", a[:40]), ("7", b[:40]), ("None", c[:40]), ("9", e[:40]), ("None", "")])
     assert neardup.keep_first(docs([])).count() == 0
+
+
+def _all_candidates(rows):
+    """Components of all pairs that share a band, lie within the radius and are similar: no cap, no rounds."""
+    texts = sorted(set(rows))
+    memo = HashMemo()
+    like, up = [neardup.sketch(t, memo) for t in texts], list(range(len(texts)))
+    cut = [neardup.shingles(t) for t in texts]
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if set(like[i][2].tolist()) & set(like[j][2].tolist()) and bin(like[i][1] ^ like[j][1]).count("1") <= neardup.RADIUS and neardup.similarity(cut[i], cut[j]) >= neardup.LEAST:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {frozenset(t for k, t in enumerate(texts) if root(k) == r) for r in {root(i) for i in range(len(texts))}}
+
+
+def test_no_candidate_is_left_out(spark, docs):
+    """Groups that stand near each other in the same blocks, with tiny caps and parts: components as of all candidates."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        seed = prose(rng, 60)
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+            texts += [_changed(rng, seed, share) for _ in range(12)]
+    want = _all_candidates(texts)
+    assert 20 < len(want) < len(set(texts)) - 50
+    d = docs(list(enumerate(texts)))
+    rows = neardup._rows(d, "doc_id", "text").dropDuplicates(["key"])
+    key = {r["__key"]: r["text"] for r in neardup._keyed(d, "text").collect()}
+    for nearest, block, most in ((3, 4096, 16), (1, 4096, 2), (1, 8, 2)):
+        found = {r["node"]: r["component"] for r in neardup.similar_components(d, rows, "text", nearest, block, most).collect()}
+        got = {}
+        for k, t in key.items():
+            got.setdefault(found.get(k, k), set()).add(t)
+        assert {frozenset(g) for g in got.values()} == want
