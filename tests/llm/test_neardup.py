@@ -89,8 +89,8 @@ def test_no_candidate_is_left_out(spark, docs):
     d = docs(list(enumerate(texts)))
     rows = neardup._rows(d, "doc_id", "text").dropDuplicates(["key"])
     key = {r["__key"]: r["text"] for r in neardup._keyed(d, "text").collect()}
-    for nearest, block, most in ((3, 4096, 16), (1, 4096, 2), (1, 8, 2)):
-        found = {r["node"]: r["component"] for r in neardup.similar_components(d, rows, "text", nearest, block, most).collect()}
+    for nearest, block, load in ((3, 4096, neardup.GRAMS), (1, 4096, 2000), (1, 8, 600)):
+        found = {r["node"]: r["component"] for r in neardup.similar_components(d, rows, "text", nearest, block, load).collect()}
         got = {}
         for k, t in key.items():
             got.setdefault(found.get(k, k), set()).add(t)
