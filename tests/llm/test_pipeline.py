@@ -41,3 +41,11 @@ def test_stages_take_effect(spark, tmp_path):
     got = {tuple(r) for r in corpus_pipeline.run(spark, d).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()}
     assert got and {g[0] for g in got} == left[4]
     assert corpus_pipeline.ORACLE_SQL is None and all(n in queries.QUERIES for n in queries.ORACLE_SQL)
+
+
+def test_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    for name, columns in (("documents", "doc_id long, text string, lang string, source string, n_chars long, __key long, band string"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], columns).write.parquet(f"{d}/{name}.parquet")
+    packed = corpus_pipeline.run(spark, d)
+    assert packed.count() == 0 and {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
