@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.llm import decontam, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
+from sonarlake.llm import decontam, importance, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
 
 #: The rules that op2 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -70,6 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,4 +131,31 @@ ORACLE_SQL: dict[str, str] = {
             FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id)
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_removed_words > 0.5 * n_line_words AS kept FROM base""",
+    "op13_importance_resampling": r"""
+        WITH tab AS (
+            SELECT list(list_reduce([n] || range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
+            FROM (SELECT unnest(range(0, 256)) AS n)),
+        d AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+              FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+              FROM benchmark),
+        dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(words) AS w FROM d) GROUP BY ALL),
+        bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM b) GROUP BY ALL),
+        crc AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(0, length(hex(w)) // 2), lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                                          lambda c, x: xor(c >> 8, steps[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket
+                FROM (SELECT w FROM dw UNION SELECT w FROM bw), tab),
+        s AS (SELECT bucket, sum(n) AS n FROM dw JOIN crc USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, sum(n) AS n FROM bw JOIN crc USING (w) GROUP BY bucket),
+        gain AS (SELECT k.bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) AS DOUBLE)
+                                                       / CAST((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS g
+                 FROM (SELECT unnest(range(0, 10000)) AS bucket) k LEFT JOIN s ON s.bucket = k.bucket LEFT JOIN t ON t.bucket = k.bucket),
+        sums AS (SELECT r, sum(n * g) AS total FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY r),
+        weighed AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_features,
+                           CAST(CASE WHEN total IS NULL THEN 0 WHEN total < 0 THEN -((-total + len(words) - 1) // len(words)) ELSE total // len(words) END AS BIGINT) AS weight,
+                           CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+                    FROM d LEFT JOIN sums USING (r)),
+        scored AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weighed),
+        placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)""",
 }
