@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.llm import decontam, importance, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
+from sonarlake.llm import convrepair, decontam, importance, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
 
 #: The rules that op2 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -70,6 +70,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = convrepair.repair(convrepair.damage(_read(spark, sf_dir, "conversations")), there=F.col("there"))
+    body = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return repaired.select("conv_id", *convrepair.COUNTS, "audit", F.sha2(body, 256).alias("repaired_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
