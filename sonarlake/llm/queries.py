@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.llm import convrepair, decontam, importance, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
+from sonarlake.llm import convrepair, decontam, disclosure, importance, packing, quality, simhash, suffixdedup, tokencount, toxicity, urlfilter, warc, wordlm
 
 #: The rules that op2 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -76,6 +76,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.select("conv_id", *convrepair.COUNTS, "audit", F.sha2(body, 256).alias("repaired_sha256"))
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.sanitise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    place = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["kind"] != disclosure.TERM)
+    joined = lambda spans: F.array_join(F.transform(spans, place), ",")
+    return found.select("doc_id", *(f"n_{k}" for k in disclosure.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_disclosure": op12_disclosure,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
