@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions import signal
-from sonarlake.functions.identity import row_fingerprint, verified_artifact
+from sonarlake.functions.identity import row_fingerprint
 from sonarlake.operators.validate import mastering_error, review_error
 
 #: Codes that stand for the kinds of errors.
 ERROR_CODES = ("configuration_error", "voice_not_found", "reference_invalid", "generation_error", "audio_invalid", "transcript_qc_error", "out_of_memory")
 
+#: Files that every model has beside its shards.
+MODEL_FILES = ("config.json", "tokenizer.json", "model.safetensors.index.json")
+
 
 def verify_files(recorded: DataFrame, found: DataFrame, path: str = "path", sha256: str = "sha256") -> DataFrame:
     """Recorded files with ``intact``: present, with the recorded hash."""
@@ -86,20 +89,39 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("error_code IS NULL"), rows.where("error_code IS NOT NULL")
 
 
-def verify_receipts(artifacts: DataFrame, receipts: DataFrame, path: str = "path") -> DataFrame:
-    """Receipts (path, revision, etag) with ``verified``: the artifact is there and its content has the etag."""
-    there = artifacts.select(F.col(path).alias("_p"), F.col("content").alias("_c"))
+def verify_receipts(digests: DataFrame, receipts: DataFrame, path: str = "path") -> DataFrame:
+    """Receipts (path, revision, etag) with ``verified`` and the file's sha256: the file is there, and its digest is the etag.
+
+    digests: ``sources.store.digests``. An etag of 64 digits is a SHA-256, any other the SHA-1 of a blob.
+    """
+    there = digests.select(F.col(path).alias("_p"), F.col("sha256"), F.col("blob_sha1").alias("_b"))
     joined = receipts.join(there, F.col(path) == F.col("_p"), "left")
-    return joined.withColumn("verified", F.coalesce(verified_artifact(F.col("_c"), F.col("etag")), F.lit(False))).drop("_p", "_c")
-
-
-def model_identity(verified: DataFrame, revision: str, config: DataFrame) -> DataFrame:
-    """One row: the model's shards, and why it can't be trusted (null if it can). ``config`` is one row of ``json``."""
-    shards = verified.agg(
-        F.countDistinct("path").alias("shards"), F.coalesce(F.every("verified"), F.lit(False)).alias("_all"), F.coalesce(F.every(F.col("revision") == revision), F.lit(False)).alias("_rev"),
-        F.sha2(F.array_join(F.array_sort(F.collect_set("etag")), ","), 256).alias("model_sha256"),
-    )
-    quantized = config.agg(F.max(F.get_json_object("json", "$.quantization").isNotNull().cast("int")).alias("_q"))
-    row = shards.join(F.broadcast(quantized), F.lit(True))  # both sides are one row
-    error = F.when(F.coalesce(F.col("_q"), F.lit(0)) == 1, "model_quantized").when(~F.col("_rev"), "revision_differs").when(~F.col("_all"), "artifact_changed")
-    return row.withColumn("error_code", error).drop("_all", "_rev", "_q")
+    right = F.when(F.length("etag") == 64, F.col("sha256") == F.col("etag")).otherwise(F.col("_b") == F.col("etag"))
+    return joined.withColumn("verified", F.coalesce(right, F.lit(False))).drop("_p", "_b")
+
+
+def model_files(index: DataFrame) -> DataFrame:
+    """The files that a model needs: its fixed ones, and all that the weight map of ``index`` (rows of ``json``) names."""
+    shards = index.select(F.explode(F.from_json(F.get_json_object("json", "$.weight_map"), "map<string,string>")).alias("weight", "path")).select("path")
+    return shards.unionByName(index.select(F.explode(F.array(*(F.lit(n) for n in MODEL_FILES))).alias("path"))).distinct()
+
+
+def model_identity(digests: DataFrame, receipts: DataFrame, revision: str, config: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: the model's files with their hashes, and why it can't be trusted (null if it can).
+
+    The weight map decides which files there must be, so a shard that nobody lists isn't overlooked. config and index are
+    one row of ``json`` each. Of several errors the first file's counts: fixed files first, then shards by name.
+    """
+    given = lambda key: ~F.coalesce(F.get_json_object("json", f"$.{key}"), F.lit("null")).isin("null", "false", "0", "", "{}", "[]")
+    quantized = config.agg(F.coalesce(F.some(given("quantization") | given("quantization_config")), F.lit(False)).alias("_q"))
+    checked = verify_receipts(digests, receipts).select("path", F.col("revision").alias("_r"), "verified")
+    rows = model_files(index).join(digests.select("path", "sha256"), "path", "left").join(checked, "path", "left")
+    safe = ~F.exists(F.split("path", "/"), lambda p: p.isin("", ".", ".."))
+    error = F.when(~safe | F.col("sha256").isNull(), "model_file_missing").when(~F.coalesce(F.col("_r") == revision, F.lit(False)), "revision_differs").when(~F.coalesce("verified", F.lit(False)), "artifact_changed")
+    order = F.struct(F.coalesce(F.array_position(F.array(*(F.lit(n) for n in MODEL_FILES)), F.col("path")) == 0, F.lit(True)), F.array_position(F.array(*(F.lit(n) for n in MODEL_FILES)), F.col("path")), "path")
+    rows = rows.withColumn("_error", error)
+    files = rows.agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("files"), F.count("*").alias("_n"), F.min_by("_error", F.when(F.col("_error").isNotNull(), order)).alias("_error"))  # the files of one model
+    row = files.join(F.broadcast(quantized), F.lit(True))  # both sides are one row
+    error = F.when(F.col("_q"), "model_quantized").when(F.col("_n") == 0, "model_file_missing").otherwise(F.col("_error"))
+    listed = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["path"], f["sha256"])), ",")
+    return row.select("files", F.sha2(listed, 256).alias("model_sha256"), error.alias("error_code"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarlake.functions import align, emotion, lexicon, segment, signal
@@ -10,7 +10,7 @@ from sonarlake.functions.identity import row_fingerprint
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import adapters
 from sonarlake.shared import checkpointed
-from sonarlake.sources import sinks
+from sonarlake.sources import readers, sinks, store
 
 # What a request takes where it says nothing.
 EPISODE_DEFAULTS = {"candidates": 3, "profile": "production", "inference_timesteps": 30, "cfg_value": 2.0, "warmup_patches": 0, "max_tokens": 2000}
@@ -128,6 +128,15 @@ def run_batch(lines: DataFrame, identities: DataFrame, settings: dict[str, str],
     return out.join(counts, "project", "left").withColumn("lines_made", F.coalesce("lines_made", F.lit(0)))
 
 
+def verify_model(spark: SparkSession, root: str, revision: str, receipts: str = ".cache/huggingface/download") -> DataFrame:
+    """Identity of the model in a folder; its files are hashed in blocks, one task for each."""
+    config, index = (readers.whole_text(spark, f"{root}/{n}") for n in ("config.json", "model.safetensors.index.json"))
+    names = lifecycle.model_files(index)
+    found = store.digests(names.select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path")), length=None)
+    digests = checkpointed(found.withColumn("path", F.substr("path", F.lit(len(root.rstrip("/")) + 2))))
+    return lifecycle.model_identity(digests, readers.receipts(spark, f"{root}/{receipts}"), revision, config, index)
+
+
 def benchmark_plan(cases: DataFrame, steps: list[int]) -> DataFrame:
     """Cases by steps."""
     return cases.withColumn("steps", F.explode(F.array(*(F.lit(s) for s in steps)))).withColumn("instruct", emotion.instruction_of(emotion.style_of(F.col("emotion"))))

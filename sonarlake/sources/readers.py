@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 
 import numpy as np
@@ -67,6 +68,19 @@ def contents(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length", "content")
 
 
+def whole_text(spark: SparkSession, path: str) -> DataFrame:
+    """One row of ``json`` for each file."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
+
+
+def receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """Download receipts (path, revision, etag): a file of two lines beside each artifact's name."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.metadata").text(folder, wholetext=True).withColumn("_p", F.col("_metadata.file_path"))
+    lines = F.split("value", r"\r?\n")
+    name = F.regexp_extract(F.url_decode(F.replace("_p", F.lit("+"), F.lit("%2B"))), "/" + re.escape(folder.rstrip("/").rpartition("/")[2]) + r"/(.*)\.metadata$", 1)
+    return found.select(name.alias("path"), F.get(lines, F.lit(0)).alias("revision"), F.get(lines, F.lit(1)).alias("etag"))
+
+
 def total_bytes(found: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
 

@@ -291,18 +291,39 @@ def test_calibration(spark):
     assert align.LIMIT == 5000
 
 
-def test_model_identity(spark):
+def test_model_identity(spark, tmp_path):
     import hashlib
+    import json
 
     from sonarlake.functions.identity import runtime_versions
 
-    etag = hashlib.sha256(b"abc").hexdigest()
-    artifacts = spark.createDataFrame([("a", bytearray(b"abc"))], "path string, content binary")
-    receipts = spark.createDataFrame([("a", "r1", etag)], "path string, revision string, etag string")
-    config = spark.createDataFrame([('{"x": 1}',)], "json string")
-    good = lifecycle.verify_receipts(artifacts, receipts)
-    assert lifecycle.model_identity(good, "r1", config).first()["error_code"] is None
-    assert lifecycle.model_identity(good, "r2", config).first()["error_code"] == "revision_differs"
-    assert lifecycle.model_identity(lifecycle.verify_receipts(artifacts.limit(0), receipts), "r1", config).first()["error_code"] == "artifact_changed"
-    assert lifecycle.model_identity(good, "r1", spark.createDataFrame([('{"quantization": {}}',)], "json string")).first()["error_code"] == "model_quantized"
+    revision, contents = "a" * 40, {"config.json": '{"quantization": {}}', "tokenizer.json": "{}", "s/one.bin": "1" * 100, "two.bin": "2"}
+    contents["model.safetensors.index.json"] = json.dumps({"weight_map": {"a.w": "s/one.bin", "b.w": "two.bin", "c.w": "two.bin"}})
+
+    def model(name, changed=(), without=(), unlisted=(), **other):
+        root = tmp_path / name
+        for n, text in (contents | other.get("files", {})).items():
+            if n not in without:
+                (root / n).parent.mkdir(parents=True, exist_ok=True)
+                (root / n).write_text(text + ("!" if n in changed else ""))
+            receipt = root / ".cache/huggingface/download" / f"{n}.metadata"
+            receipt.parent.mkdir(parents=True, exist_ok=True)
+            data = text.encode()
+            etag = hashlib.sha256(data).hexdigest() if n.endswith(".bin") else hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest()
+            if n not in unlisted:
+                receipt.write_text(f"{revision}\n{etag}\n123.4\n")
+        return workflows.verify_model(spark, str(root), other.get("revision", revision)).first()
+
+    good = model("good")
+    assert good["error_code"] is None
+    assert [tuple(f) for f in good["files"]] == [(n, hashlib.sha256(t.encode()).hexdigest()) for n, t in sorted(contents.items())]
+    assert model("old", revision="b" * 40)["error_code"] == "revision_differs"
+    assert model("edited", changed=["two.bin"])["error_code"] == "artifact_changed"
+    # The weight map asks for a shard that neither the folder nor the receipts have.
+    assert model("lacks", without=["s/one.bin"], unlisted=["s/one.bin"])["error_code"] == "model_file_missing"
+    assert model("unlisted", unlisted=["two.bin"])["error_code"] == "revision_differs"
+    assert model("first", changed=["tokenizer.json"], without=["two.bin"])["error_code"] == "artifact_changed"
+    for key in ("quantization", "quantization_config"):
+        assert model(key, files={"config.json": json.dumps({key: {"bits": 4}})})["error_code"] == "model_quantized"
+    assert model("unsafe", files={"model.safetensors.index.json": json.dumps({"weight_map": {"a": "../two.bin"}})})["error_code"] == "model_file_missing"
     assert spark.range(1).select(*(c.alias(k) for k, c in runtime_versions(("pyspark", "no-such")).items())).first()["no-such"] is None
