@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.functions import align, emotion, lexicon, segment, signal
+from sonarlake.functions import align, emotion, lexicon, partial, segment, signal
 from sonarlake.functions.identity import row_fingerprint
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import adapters
@@ -161,3 +161,15 @@ def inspect_qc(clips: DataFrame, reference: bool = False) -> DataFrame:
     own = signal.stats(F.col("samples"), F.col("sample_rate"), F.col("channels"), F.col("subtype"))
     rows = clips.withColumn("stats", F.when(known, own.withField("peak", F.col("peak_all")).withField("clipping", F.col("peak_all") >= signal.CLIP)))
     return rows.withColumn("qc", F.when(known, signal.audio_qc(F.col("stats"), reference=reference)))
+
+
+def inspect_chunks(chunks: DataFrame, reference: bool = False) -> DataFrame:
+    """Clips of any length, from their chunks (``sources.clips.chunks``): path, ``stats``, ``qc`` and error_code, as of whole clips."""
+    facts = ["sample_rate", "channels", "subtype"]
+    known = chunks.where("error_code IS NULL")
+    peaks = known.groupBy("path").agg(F.max("peak_all").alias("_peak"))
+    own = partial.clip_stats(known, ["path"], *facts).join(peaks, "path")
+    rows = own.select("path", F.col("stats").withField("peak", F.col("_peak")).withField("clipping", F.col("_peak") >= signal.CLIP).alias("stats"), F.lit(None).cast("string").alias("error_code"))
+    judged = rows.select("path", "stats", signal.audio_qc(F.col("stats"), reference=reference).alias("qc"), "error_code")
+    broken = chunks.where("error_code IS NOT NULL").select("path", F.lit(None).cast(judged.schema["stats"].dataType).alias("stats"), F.lit(None).cast(judged.schema["qc"].dataType).alias("qc"), "error_code")
+    return judged.unionByName(broken)

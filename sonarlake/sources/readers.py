@@ -117,6 +117,23 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("term", F.coalesce(entry["spoken"], F.when(entry.isNull(), F.col("raw"))).alias("spoken"), entry["expected"].alias("expected"), entry["pinyin"].alias("pinyin"))
 
 
+#: Formats (code, bits) that are decoded.
+SUBTYPES = {(1, 16): "PCM_16", (1, 24): "PCM_24", (1, 32): "PCM_32", (3, 32): "FLOAT", (3, 64): "DOUBLE"}
+
+
+def decode_pcm(body: bytes, code: int, bits: int, channels: int) -> np.ndarray:
+    """Frames by channels."""
+    if code == 3:
+        x = np.frombuffer(body, f"<f{bits // 8}").astype(np.float32)
+    elif bits == 24:
+        wide = np.zeros((len(body) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        x = (wide.view("<i4").ravel() / 2.0**31).astype(np.float32)
+    else:
+        x = (np.frombuffer(body, f"<i{bits // 8}") / 2.0 ** (bits - 1)).astype(np.float32)
+    return x.reshape(-1, channels)
+
+
 def decode_wav(data: bytes) -> dict:
     """Samples of a PCM or float WAV file, mixed to mono."""
     bad = {"sample_rate": None, "channels": None, "subtype": None, "samples": None, "peak_all": None, "error_code": "audio_invalid"}
@@ -132,21 +149,11 @@ def decode_wav(data: bytes) -> dict:
     code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", form[:16])
     if code == 0xFFFE and len(form) >= 26:
         code = struct.unpack("<H", form[24:26])[0]
-    if not channels or (code, bits) not in {(1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}:
+    if not channels or (code, bits) not in SUBTYPES:
         return bad
     step = bits // 8 * channels
-    body = body[: len(body) // step * step]
-    if code == 3:
-        x = np.frombuffer(body, f"<f{bits // 8}").astype(np.float32)
-    elif bits == 24:
-        wide = np.zeros((len(body) // 3, 4), np.uint8)
-        wide[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        x = (wide.view("<i4").ravel() / 2.0**31).astype(np.float32)
-    else:
-        x = (np.frombuffer(body, f"<i{bits // 8}") / 2.0 ** (bits - 1)).astype(np.float32)
-    x = x.reshape(-1, channels)
-    name = {1: f"PCM_{bits}", 3: "FLOAT" if bits == 32 else "DOUBLE"}[code]
-    return {"sample_rate": rate, "channels": channels, "subtype": name, "samples": x.mean(axis=1).tolist(), "peak_all": float(np.abs(x).max()) if x.size else 0.0, "error_code": None}
+    x = decode_pcm(body[: len(body) // step * step], code, bits, channels)
+    return {"sample_rate": rate, "channels": channels, "subtype": SUBTYPES[code, bits], "samples": x.mean(axis=1).tolist(), "peak_all": float(np.abs(x).max()) if x.size else 0.0, "error_code": None}
 
 
 def waveforms(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
