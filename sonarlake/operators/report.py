@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions.align import MIN_SAMPLES
 from sonarlake.functions.signal import TARGET_RATE
+from sonarlake.operators.ordered import document, with_rank
 from sonarlake.operators.policy import first_occurrence
 
 
@@ -33,16 +34,31 @@ def listening_sheet(rows: DataFrame) -> DataFrame:
 
 
 def calibrate(samples: DataFrame, threshold: float, cer: str = "cer", order: list[str] | None = None) -> DataFrame:
-    """One row: samples after the first per audio hash, backends, sorted rates, and the false-retry rate."""
+    """One row: samples after the first per audio hash, backends, least and greatest rate, and the false-retry rate."""
     once = first_occurrence(samples, ["audio_sha256"], order or ["pos"])
     out = once.agg(
-        F.count("*").alias("reviewed_samples"), F.countDistinct("backend_id").alias("backends"), F.array_sort(F.collect_list(cer)).alias("cer_values"),
+        F.count("*").alias("reviewed_samples"), F.countDistinct("backend_id").alias("backends"), F.min(cer).alias("least_cer"), F.max(cer).alias("greatest_cer"),
         F.avg((F.col(cer) > threshold).cast("int")).alias("false_retry_rate"),
     ).withColumn("threshold", F.lit(float(threshold)))
     enough = (F.col("reviewed_samples") >= MIN_SAMPLES) & (F.col("backends") == 1)
     return out.withColumn("error_code", F.when(~enough, "configuration_error"))
 
 
+def calibration_values(samples: DataFrame, cer: str = "cer", order: list[str] | None = None) -> DataFrame:
+    """The rates of the samples that count, in order: rank and rate, a row each."""
+    once = first_occurrence(samples, ["audio_sha256"], order or ["pos"])
+    return with_rank(once.where(F.col(cer).isNotNull()).select(F.col(cer).alias("cer")), ["cer"])
+
+
+def calibration_parts(result: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The result of a calibration (one row) and its rates as the parts of one JSON file."""
+    head = result.select(F.lit(name).alias("name"), F.lit(0).cast("long").alias("part"), F.regexp_replace(F.to_json(F.struct(*result.columns)), r"\}\z", ',"cer_values":[').alias("content"))
+    tail = result.select(F.lit(name).alias("name"), F.lit((1 << 63) - 1).alias("part"), F.lit("]}").alias("content"))
+    rate = F.to_json(F.array("cer"))
+    rows = values.select(F.lit(name).alias("name"), F.col("rank").alias("part"), F.concat(F.when(F.col("rank") > 1, ",").otherwise(""), F.substr(rate, F.lit(2), F.length(rate) - 2)).alias("content"))
+    return head.unionByName(rows).unionByName(tail)
+
+
 def false_retry_rate(cer: Column, threshold: float) -> Column:
     return F.avg((cer > threshold).cast("int"))
 
@@ -102,7 +118,9 @@ def card(title: Column, note: Column, audio: Column) -> Column:
     return F.concat(F.lit("<article><h2>"), e(title), F.lit("</h2><p>"), e(note), F.lit('</p><audio controls src="'), e(audio), F.lit('"></audio></article>'))
 
 
+PAGE_HEAD = '<!doctype html><meta charset="utf-8">'
+
+
 def page(cards: DataFrame, group: list[str], order: str, card_column: str = "card") -> DataFrame:
-    """The cards of each group, in order, in one page."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(card_column).alias("c"))))
-    return cards.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("body")).withColumn("html", F.concat(F.lit('<!doctype html><meta charset="utf-8">'), "body")).drop("body")
+    """The parts (name, part, content) of a page for each group, with its cards in order, for ``store.write_files``."""
+    return document(cards, group, [order], F.col(card_column), head=PAGE_HEAD)

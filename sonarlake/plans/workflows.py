@@ -142,12 +142,22 @@ def benchmark_plan(cases: DataFrame, steps: list[int]) -> DataFrame:
     return cases.withColumn("steps", F.explode(F.array(*(F.lit(s) for s in steps)))).withColumn("instruct", emotion.instruction_of(emotion.style_of(F.col("emotion"))))
 
 
-def calibration(samples: DataFrame, threshold: float) -> DataFrame:
-    """Usable samples, scored and summed up."""
+def usable_samples(samples: DataFrame) -> DataFrame:
+    """The samples that a calibration may count, scored."""
     c = F.col
     usable = samples.where(validate.calibration_sample(c("listened"), c("reviewer"), c("human_transcript"), c("tts_correct"), c("recognized")))
-    scored = usable.withColumn("cer", align.cer(align.comparison_text(c("human_transcript")), align.comparison_text(c("recognized"))))
-    return report.calibrate(scored, threshold)
+    return usable.withColumn("cer", align.cer(align.comparison_text(c("human_transcript")), align.comparison_text(c("recognized"))))
+
+
+def calibration(samples: DataFrame, threshold: float, root: str | None = None, name: str = "calibration.json") -> DataFrame:
+    """Usable samples, scored and summed up. With ``root`` the result and all rates in order are written there, as one file that must be new."""
+    scored = usable_samples(samples)
+    if root is None:
+        return report.calibrate(scored, threshold)
+    scored = checkpointed(scored)
+    result = checkpointed(report.calibrate(scored, threshold))
+    store.write_files(report.calibration_parts(result, report.calibration_values(scored), name), root, order="part", batch=name)
+    return result
 
 
 def system_report(styles: DataFrame) -> DataFrame:

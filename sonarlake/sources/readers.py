@@ -41,13 +41,18 @@ def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def file_path() -> Column:
+    """The path of a row's file as ``files`` has it: not encoded, and local ones with one slash."""
+    return F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
 def batch_lines(spark: SparkSession, path: str) -> DataFrame:
     """Requests by line, with the position that gives their order."""
     return _json(spark, path, BATCH).select("*", F.posexplode("lines").alias("pos", "line")).drop("lines")
 
 
 def voices(spark: SparkSession, root: str) -> DataFrame:
-    return _json(spark, f"{root}/*/voice.json", VOICE).orderBy("id")
+    return _json(spark, f"{root}/*/voice.json", VOICE)
 
 
 def voice(catalogue: DataFrame, id: str) -> DataFrame:
@@ -55,13 +60,13 @@ def voice(catalogue: DataFrame, id: str) -> DataFrame:
 
 
 def long_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    return spark.read.text(path, wholetext=True).withColumn("path", file_path())
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
     """Paths and sizes below a folder; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.select("path", "length").orderBy("path")
+    return found.select("path", "length")
 
 
 def contents(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
@@ -75,9 +80,9 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 def receipts(spark: SparkSession, folder: str) -> DataFrame:
     """Download receipts (path, revision, etag): a file of two lines beside each artifact's name."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.metadata").text(folder, wholetext=True).withColumn("_p", F.col("_metadata.file_path"))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.metadata").text(folder, wholetext=True).withColumn("_p", file_path())
     lines = F.split("value", r"\r?\n")
-    name = F.regexp_extract(F.url_decode(F.replace("_p", F.lit("+"), F.lit("%2B"))), "/" + re.escape(folder.rstrip("/").rpartition("/")[2]) + r"/(.*)\.metadata$", 1)
+    name = F.regexp_extract("_p", "/" + re.escape(folder.rstrip("/").rpartition("/")[2]) + r"/(.*)\.metadata$", 1)
     return found.select(name.alias("path"), F.get(lines, F.lit(0)).alias("revision"), F.get(lines, F.lit(1)).alias("etag"))
 
 
@@ -90,15 +95,15 @@ def stem(path: Column) -> Column:
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all manifests, newest revision first; revisions are numbers, so there is no last one."""
-    rows = _json(spark, f"{root}/run_*/manifest.json", MANIFEST).withColumn("path", F.col("_metadata.file_path"))
+    """Lines of all manifests with their revision's number, by which callers sort where they need to; numbers go on above 9999."""
+    rows = _json(spark, f"{root}/run_*/manifest.json", MANIFEST).withColumn("path", file_path())
     numbered = rows.withColumn("revision_number", F.regexp_extract("path", r"run_(\d+)/", 1).cast("int"))
-    return numbered.select("*", F.posexplode_outer("lines").alias("pos", "line")).drop("lines").orderBy(F.col("revision_number").desc(), "path", "pos")
+    return numbered.select("*", F.posexplode_outer("lines").alias("pos", "line")).drop("lines")
 
 
 def candidates(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.schema(CANDIDATE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
-    return rows.withColumn("stem", stem(F.col("_metadata.file_path")))
+    return rows.withColumn("stem", stem(file_path()))
 
 
 def benchmark_cases(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sonarlake.plans import checks  # noqa: F401  registers its queries
+from sonarlake.plans import checks, files  # noqa: F401  register their queries
 from sonarlake.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
