@@ -1,4 +1,4 @@
-"""Spoken-text normalization with warnings, as an Arrow UDF.
+"""Spoken-text normalization with warnings, over Arrow batches.
 
 A text is a list of spans, plain or protected. A rule rewrites plain spans only; what it can't read
 becomes a protected span and splits its neighbours. No placeholder characters are used.
@@ -11,9 +11,12 @@ import unicodedata
 from collections.abc import Callable
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sonarlake.functions.reading import CURRENCY, DAY, DIGITS, DOLLAR, HOUR, HUNDRED, LONGEST, MINUS, MINUTE, MONTH, MYRIAD, OPERATORS, PERCENT, POINT, SECOND, SHARP, TEN, THOUSAND, YEAR, YI
 
@@ -111,6 +114,8 @@ def _rules(profile: str) -> list[tuple[re.Pattern, Read]]:
 
 _PROFILE_RULES = {p: _rules(p) for p in ("dialogue", "narration")}
 _IDENTIFIERS, _DIGIT, _SPACES = re.compile(IDENTIFIERS), re.compile(r"\d"), re.compile(r"\s+")
+#: What a rule may change, besides white space.
+_RULED = re.compile(r"\d|\.\.\.|~")
 
 
 def _apply(spans: list[tuple[str, bool]], pattern: re.Pattern, read: Read, warnings: list[str]) -> list[tuple[str, bool]]:
@@ -134,18 +139,32 @@ def _apply(spans: list[tuple[str, bool]], pattern: re.Pattern, read: Read, warni
     return out
 
 
+def _tidy(plain: str) -> str:
+    return _SPACES.sub(" ", plain)
+
+
 def _spoken(text: str, profile: str) -> tuple[str, list[str]]:
-    """The spoken form and the warnings, in the order of the rules that gave them."""
+    """The spoken form and the warnings, in the order of the rules that gave them.
+
+    Identifiers cut the text into plain parts. Most are a blank or have no digit, which only one rule or none concerns.
+    """
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    names = _IDENTIFIERS.findall(text)
+    first = [REVIEW.format(n) for n in names]
+    if not _RULED.search(text):  # identifiers have no white space, so all of it is plain
+        return " ".join(text.split()), first
     rules = _PROFILE_RULES[profile]
-    warnings: list[list[str]] = [[] for _ in range(len(rules) + 1)]
+    warnings: list[list[str]] = [[] for _ in rules]
     spans: list[tuple[str, bool]] = []
-    for span in _apply([(unicodedata.normalize("NFKC", text), False)], _IDENTIFIERS, lambda m, w: None, warnings[0]):
-        part = [span]
-        if not span[1] and _DIGIT.search(span[0]):  # all other rules need a digit
-            for k, (pattern, read) in enumerate(rules, 1):
-                part = _apply(part, pattern, read, warnings[k])
+    for k, plain in enumerate(_IDENTIFIERS.split(text)):
+        part = [(plain, False)]
+        if _DIGIT.search(plain):  # all rules need a digit
+            for w, (pattern, read) in zip(warnings, rules, strict=True):
+                part = _apply(part, pattern, read, w)
         spans += part
-    out = [t if kept else _SPACES.sub(" ", t) for t, kept in spans]
+        if k < len(names):
+            spans.append((names[k], True))
+    out = [t if kept or t == " " else _tidy(t) for t, kept in spans]
     filled = [i for i, t in enumerate(out) if t]
     for ends, strip in ((filled, str.lstrip), (filled[::-1], str.rstrip)):
         for i in ends:
@@ -154,7 +173,8 @@ def _spoken(text: str, profile: str) -> tuple[str, list[str]]:
             out[i] = strip(out[i])
             if out[i]:
                 break
-    return "".join(t if kept else t.replace("...", "……").replace("~", "到") for t, (_, kept) in zip(out, spans, strict=True)), [w for each in warnings for w in each]
+    read = "".join(t if kept or t == " " else t.replace("...", "……").replace("~", "到") for t, (_, kept) in zip(out, spans, strict=True))
+    return read, [*first, *(w for each in warnings for w in each)]
 
 
 def normalize(text: str | None, profile: str | None) -> dict:
@@ -168,8 +188,27 @@ def normalize(text: str | None, profile: str | None) -> dict:
     return blank | {"normalized": spoken, "warnings": warnings, "changed": spoken != text, "error_code": None}
 
 
-_normalize = F.udf(normalize, RESULT, useArrow=True).asNondeterministic()
-_nfkc = F.udf(lambda t: None if t is None else unicodedata.normalize("NFKC", t), T.StringType(), useArrow=True)
+_ARROW_RESULT = to_arrow_type(RESULT)
+
+
+def results(texts: pa.Array, profiles: pa.Array) -> pa.StructArray:
+    """RESULT of a batch, column by column; the texts themselves are handed through."""
+    found = [normalize(t, p) for t, p in zip(texts.to_pylist(), profiles.to_pylist(), strict=True)]
+    column = lambda f: texts if f.name == "original" else profiles if f.name == "profile" else pa.array([r[f.name] for r in found], f.type)
+    return pa.StructArray.from_arrays([column(f).cast(f.type) for f in _ARROW_RESULT], fields=list(_ARROW_RESULT))
+
+
+@F.arrow_udf(RESULT)
+def _results(texts: pa.Array, profiles: pa.Array) -> pa.Array:
+    return results(texts, profiles)
+
+
+_normalize = _results.asNondeterministic()
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, "NFKC")
 
 
 def normalize_text(text: Column, profile: Column | str = "dialogue") -> Column:

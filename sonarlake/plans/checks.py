@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sonarlake.functions import align, emotion, identity, lexicon, reading, signal
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import workflows
-from sonarlake.plans.queries import _A, _D, _PRIORITY, RATE, SILENT, _clips, _sql_integer, _t, query, r6
+from sonarlake.plans.queries import _A, _D, _PAIRS, _PRIORITY, RATE, SILENT, _clips, _pairs, _sql_integer, _t, query, r6
 from sonarlake.sources import readers, sinks
 
 # ---- rules of requests -----------------------------------------------------------------------------
@@ -423,3 +423,31 @@ def batch_preflight(spark, d):
     files = checked.where("project % 3 < 2").select("project", F.lit(4).alias("revision"), "fingerprint", (F.col("project") % 3 == 0).alias("intact"))
     chosen = workflows.choose_revision(checked.where("error_code IS NULL"), files).select("project", "resumed", "revision")
     return checked.select("project", "lines", "error_code").join(chosen, "project", "left")
+
+
+# ---- alignment and lexicons --------------------------------------------------------------------------
+
+
+@query(f"""WITH p AS ({_PAIRS}) SELECT conv_id, turn, sha256(y) AS rebuilt, CAST(levenshtein(x, y) AS INTEGER) AS steps, CAST(length(x) - length(y) AS INTEGER) AS shorter FROM p
+    WHERE greatest(length(x), length(y)) <= 5000""")
+def edit_scripts_applied(spark, d):
+    """A script makes one text into the other, in as many steps as they are apart."""
+    s = _pairs(spark, d).where(F.greatest(F.length("x"), F.length("y")) <= align.LIMIT).select("conv_id", "turn", "x", align.edit_script(F.col("x"), F.col("y")).alias("s"))
+    dels, ins = F.size("s.deletions"), F.size("s.insertions")
+    return s.select("conv_id", "turn", F.sha2(align.apply_script(F.col("x"), F.col("s")), 256).alias("rebuilt"), (F.size("s.substitutions") + dels + ins).alias("steps"), (dels - ins).alias("shorter"))
+
+
+@query("""
+    WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark),
+    l AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS l FROM conversations),
+    w AS (SELECT conv_id, turn, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS n FROM l)
+    SELECT conv_id, turn, sha256(string_agg(CASE WHEN t.term IS NULL THEN w.w ELSE '<' || w.w || '>' END, '' ORDER BY w.n)) AS spoken, count(t.term) AS applied
+    FROM w LEFT JOIN t ON w.w = t.term GROUP BY conv_id, turn""")
+def lexicon_joined(spark, d):
+    """A lexicon that meets the texts in a join, as if it were too large to ship: the benchmark's words, each a term."""
+    terms = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
+    none = F.lit(None).cast("string")
+    entries = terms.select("term", F.concat(F.lit("<"), "term", F.lit(">")).alias("spoken"), none.alias("expected"), none.alias("pinyin"))
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("place"), "text")
+    out = lexicon.resolve_rows(turns, entries, "place", limit=0)
+    return out.select("conv_id", "turn", F.sha2("resolved.text", 256).alias("spoken"), F.size("resolved.applied").cast("long").alias("applied"))

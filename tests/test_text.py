@@ -1,5 +1,8 @@
 """Readings, normalization, lexicons, routing and segmentation on fixed examples."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,11 +76,50 @@ def test_lexicon_layers_and_matching(spark):
     merged = lexicon.merge_lexicons(layers)
     entries = lexicon.entries_of(merged)
     assert entries["重庆"][0] == "丁" and entries["行"] == (None, None, "háng")
-    pattern = lexicon.compiled(entries)
-    assert lexicon.resolve("重庆银行重庆", entries, pattern)["text"] == "乙丁"
-    said = lexicon.resolve("行AI", entries | {"AI": ("A I", "AI", None)}, lexicon.compiled(entries | {"AI": ("A I", "AI", None)}))
+    assert lexicon.resolve("重庆银行重庆", lexicon.Terms(entries))["text"] == "乙丁"
+    said = lexicon.resolve("行AI", lexicon.Terms(entries | {"AI": ("A I", "AI", None)}))
     assert said["text"] == "行A I" and said["expected"] == "行AI" and len(said["warnings"]) == 1
-    assert lexicon.resolve("KAI AI3", {"AI": ("x", None, None)}, lexicon.compiled({"AI": ("x", None, None)}))["text"] == "KAI x3"
+    assert lexicon.resolve("KAI AI3", lexicon.Terms({"AI": ("x", None, None)}))["text"] == "KAI x3"
+
+
+def by_pattern(text, terms):
+    """The places of terms by one alternation, longest first."""
+    one = lambda t: rf"(?<![A-Za-z]){re.escape(t)}(?![A-Za-z])" if t.isascii() else re.escape(t)
+    return [m.span() for m in re.finditer("|".join(one(t) for t in sorted(terms, key=lambda t: (-len(t), t))), text)] if terms else []
+
+
+def test_automaton_equals_the_alternation():
+    rng = random.Random(3)
+    for _ in range(1500):
+        terms = {"".join(rng.choice("abA一二 1") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 9))}
+        text = "".join(rng.choice("abA一二 1é") for _ in range(rng.randrange(0, 30)))
+        assert lexicon.Terms(dict.fromkeys(terms, ("x", None, None))).matches(text) == by_pattern(text, terms)
+
+
+def test_large_lexicons_shipped_and_joined(spark):
+    """200,000 terms; texts of sampled terms are compared with the alternation of the terms that they have."""
+    rng = random.Random(4)
+    terms = list({"".join(rng.choice("abcdefghij一二三四五六七八") for _ in range(rng.randrange(2, 9))) for _ in range(205_000)})[:200_000]
+    texts = [(k, "".join(rng.choice([rng.choice(terms), " ", "x", rng.choice("abc一二")]) for _ in range(12))) for k in range(60)] + [(97, None), (98, ""), (99, "z")]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    layer = spark.createDataFrame([(t, t.upper(), None, None) for t in terms], "term string, spoken string, expected string, pinyin string")
+    shipped, joined = ({r["id"]: r["resolved"] for r in lexicon.resolve_rows(rows, layer, "id", limit=n).collect()} for n in (lexicon.SHIPPED, 1000))
+    assert shipped == joined and len(shipped) == 63
+    for k, text in texts:
+        own = [t for t in terms if text and t in text]
+        want = by_pattern(text, own) if text else []
+        assert [a["term"] for a in shipped[k]["applied"]] == [text[a:b] for a, b in want]
+        assert shipped[k]["text"] == (text if not want else "".join(text[a:b].upper() if hit else text[a:b] for a, b, hit in pieces(text, want)))
+    with pytest.raises(ValueError, match="isn't shipped"):
+        lexicon.entries_of(layer, 1000)
+
+
+def pieces(text, hits):
+    at = 0
+    for a, b in hits:
+        yield from ((at, a, False), (a, b, True))
+        at = b
+    yield at, len(text), False
 
 
 def test_lexicon_violations(one):
