@@ -10,7 +10,7 @@ from sonarlake.functions.identity import row_fingerprint
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import adapters
 from sonarlake.shared import checkpointed
-from sonarlake.sources import readers, sinks, store
+from sonarlake.sources import clips, readers, sinks, store
 
 # What a request takes where it says nothing.
 EPISODE_DEFAULTS = {"candidates": 3, "profile": "production", "inference_timesteps": 30, "cfg_value": 2.0, "warmup_patches": 0, "max_tokens": 2000}
@@ -62,9 +62,11 @@ def run_attempts(plan: DataFrame, line: list[str], synthesizer=None, recognizer=
     """Attempts made in order and ranked; a line whose profile stops early (``early_stop``) makes none after one is accepted.
 
     One round for each candidate number, of which a schedule has MAX_CANDIDATES at most. A round is checkpointed, so no
-    attempt is made twice, and a lost executor costs its own tasks only.
+    attempt is made twice, and a lost executor costs its own tasks only. Attempts beyond MAX_CANDIDATES aren't made; they come
+    back with an ``error_code``.
     """
-    last = min(plan.agg(F.max("candidate")).first()[0] or 1, policy.MAX_CANDIDATES)
+    within = F.coalesce(F.col("candidate").between(1, policy.MAX_CANDIDATES), F.lit(False))
+    last = plan.where(within).agg(F.max("candidate")).first()[0] or 1
     stops = F.coalesce(F.col("early_stop"), F.lit(False)) if "early_stop" in plan.columns else F.lit(False)
     made = accepted = None
     for k in range(1, last + 1):
@@ -73,7 +75,9 @@ def run_attempts(plan: DataFrame, line: list[str], synthesizer=None, recognizer=
         done = round_.where(stops & align.accepted_automatically(F.col("qc"), F.col("transcript"))).select(*line)
         made = round_ if made is None else made.unionByName(round_)
         accepted = done if accepted is None else accepted.unionByName(done)
-    return policy.rank_candidates(made, line, ["candidate"])
+    ranked = policy.rank_candidates(made, line, ["candidate"]).withColumn("error_code", F.lit(None).cast("string"))
+    refused = plan.where(~within).withColumn("error_code", F.lit("configuration_error"))
+    return ranked.unionByName(refused, allowMissingColumns=True)
 
 
 def plan_batch(lines: DataFrame, completed: DataFrame, profiles: DataFrame, key: list[str]) -> DataFrame:
@@ -110,20 +114,72 @@ def choose_revision(wanted: DataFrame, files: DataFrame, project: str = "project
     return out.withColumn("resumed", F.col("reusable").isNotNull()).withColumn("revision", F.coalesce("reusable", "next_revision", F.lit(1))).drop("reusable", "next_revision")
 
 
-def run_batch(lines: DataFrame, identities: DataFrame, settings: dict[str, str], files: DataFrame, finished: DataFrame, profiles: DataFrame, path: str,
-              synthesizer=None, recognizer=None, threshold: float | None = None) -> DataFrame:
-    """Preflight, choice of a revision, the attempts that are left, and the finished lines appended to ``path``.
+#: Lines of a batch that are made and written together: what a lost driver costs at most.
+LINES_AT_ONCE = 256
+_SELECTION = r"^(.*)/run_(\d+)/([^/]+)/selection\.json$"
 
-    finished: project, revision and id of lines that a resumed revision has. Projects with an error in preflight make
-    nothing. Returns one row per project: fingerprint, revision, resumed, error_code and the lines made now.
+
+def attempt_files(made: DataFrame) -> DataFrame:
+    """The parts of a batch's files: a WAV for each take that may be written, its metadata, and a selection for each line."""
+    folder = F.concat_ws("/", "project", F.format_string("run_%04d", "revision"), "id")
+    rows = made.withColumns({"_folder": folder, "output": F.concat(folder, F.format_string("/candidate_%02d.wav", "candidate"))})
+    sound = rows.where(F.col("samples").isNotNull() & signal.writable(F.col("samples"), F.col("sample_rate")).isNull())
+    audio = clips.parts(sound.select("output", F.lit(0).alias("chunk"), "samples"), "output")
+    text = lambda body, name: body.select(name.alias("name"), F.lit(0).cast("long").alias("part"), F.encode("json", "UTF-8").alias("content"))
+    meta = rows.withColumn("json", F.to_json(F.struct(*(c for c in rows.columns if c not in ("samples", "_folder")))))
+    chosen = sinks.selection_index(rows, ["_folder"])  # a line has MAX_CANDIDATES attempts at most
+    index = chosen.withColumn("json", F.to_json(F.struct(*(c for c in chosen.columns if c != "_folder"))))
+    return audio.unionByName(text(meta, F.regexp_replace("output", "wav$", "json"))).unionByName(text(index, F.concat("_folder", F.lit("/selection.json"))))
+
+
+def finished_lines(spark: SparkSession, root: str) -> DataFrame:
+    """project, revision, id and batch of the lines whose files are there."""
+    names = store.written(spark, root).where(F.col("name").rlike(_SELECTION))
+    part = lambda k: F.regexp_extract("name", _SELECTION, k)
+    return names.select(part(1).alias("project"), part(2).cast("int").alias("revision"), part(3).alias("id"), "batch")
+
+
+def run_plan(plan: DataFrame, root: str, run: str, synthesizer=None, recognizer=None, threshold: float | None = None, lines_at_once: int = LINES_AT_ONCE) -> None:
+    """Makes a plan's attempts as a stream of micro-batches, each of whose files appear all at once.
+
+    The plan is written once, some lines to a file; each micro-batch takes one file, and its number names its batch of files. A
+    driver that is lost goes on, when it is called again with the same ``run``, behind the last batch whose manifest is there.
+    """
+    spark, key = plan.sparkSession, ["project", "revision", "id"]
+    folder = f"{root.rstrip('/')}/plans/{run}"
+    fs, inner = store.opened(f"{folder}/_SUCCESS")
+    if fs.get_file_info(inner).type.name == "NotFound":
+        batches = -(-plan.select(*key).distinct().count() // lines_at_once)
+        plan.repartition(max(1, batches), *key).write.mode("overwrite").parquet(folder)
+
+    def make(lines: DataFrame, number: int) -> None:
+        batch = f"{run}-{number:06d}"
+        if not store.finished(root, batch):
+            store.write_files(attempt_files(run_attempts(lines, key, synthesizer, recognizer, threshold)), root, order="part", batch=batch, fresh=True)
+
+    planned = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = planned.writeStream.foreachBatch(make).option("checkpointLocation", f"{root.rstrip('/')}/progress/{run}").trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+def run_batch(lines: DataFrame, identities: DataFrame, settings: dict[str, str], files: DataFrame, finished: DataFrame, profiles: DataFrame, root: str,
+              synthesizer=None, recognizer=None, threshold: float | None = None, lines_at_once: int = LINES_AT_ONCE) -> DataFrame:
+    """Preflight, choice of a revision, and the attempts that are left, whose audio and metadata are written below ``root`` as they are made.
+
+    finished: project, revision and id of lines that a resumed revision has (``finished_lines``). Projects with an error in
+    preflight make nothing. A run is known by its projects, revisions and fingerprints, so calling again goes on with it. Returns
+    one row per project: fingerprint, revision, resumed, error_code and the lines that the run has made.
     """
     checked = preflight(lines, identities, settings)
+    unsafe = lines.groupBy("project").agg(F.some(~validate.safe_component(F.col("project")) | ~validate.safe_component(F.col("id"))).alias("_unsafe"))
+    checked = checked.join(unsafe, "project").withColumn("error_code", F.coalesce("error_code", F.when(F.col("_unsafe"), "configuration_error"))).drop("_unsafe")
     chosen = checkpointed(choose_revision(checked.where("error_code IS NULL"), files))
+    mark = chosen.agg(F.coalesce(F.bit_xor(F.xxhash64("project", "revision", "fingerprint")), F.lit(0)), F.count("*")).first()
+    run = f"{mark[0] & (1 << 64) - 1:016x}-{mark[1]}"
     due = lines.join(chosen.select("project", "revision"), "project")
     plan = plan_batch(due, finished.select("project", "revision", "id"), profiles, ["project", "revision", "id"])
-    made = checkpointed(run_attempts(plan, ["project", "revision", "id"], synthesizer, recognizer, threshold).drop("samples"))
-    sinks.append_lines(made, path)
-    counts = made.groupBy("project").agg(F.countDistinct("id").alias("lines_made"))
+    run_plan(plan, root, run, synthesizer, recognizer, threshold, lines_at_once)
+    counts = finished_lines(lines.sparkSession, root).where(F.col("batch").startswith(run)).groupBy("project").agg(F.countDistinct("id").alias("lines_made"))
     out = checked.select("project", "fingerprint", "error_code").join(chosen.select("project", "revision", "resumed"), "project", "left")
     return out.join(counts, "project", "left").withColumn("lines_made", F.coalesce("lines_made", F.lit(0)))
 

@@ -231,12 +231,21 @@ def written(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format(FORMAT).load(root)
 
 
-def write_files(rows: DataFrame, root: str, name: str = "name", content: str = "content", order: str | None = None, batch: str = "0") -> DataFrame:
-    """Writes rows as files and returns the batch's list of them; the rows of a name are its parts, by ``order``."""
+def finished(root: str, batch: str) -> bool:
+    """Whether a batch has its manifest."""
+    fs, inner = opened(f"{root.rstrip('/')}/manifests/{batch}.json")
+    return fs.get_file_info(inner).type != pyarrow.fs.FileType.NotFound
+
+
+def write_files(rows: DataFrame, root: str, name: str = "name", content: str = "content", order: str | None = None, batch: str = "0", fresh: bool = False) -> DataFrame:
+    """Writes rows as files and returns the batch's list of them; the rows of a name are its parts, by ``order``.
+
+    fresh: the caller knows that no earlier batch has these names, so they aren't looked up.
+    """
     spark = rows.sparkSession
     there = written(spark, root).select("name")
     named = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), (F.lit(0) if order is None else F.col(order)).alias("_order"))
-    clash = named.select("name").distinct().join(there, "name", "left_semi").first() if there.head(1) else None
+    clash = named.select("name").distinct().join(there, "name", "left_semi").first() if not fresh and there.head(1) else None
     if clash:
         raise FileExistsError(errno.EEXIST, "already written", clash["name"])
     dealt = named.repartition("name").sortWithinPartitions("name", "_order").select("name", "content")

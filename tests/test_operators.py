@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sonarlake.functions import align
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import adapters, workflows
-from sonarlake.sources import readers, sinks
+from sonarlake.sources import readers, sinks, store
 
 
 def test_profiles_and_plan(spark, one):
@@ -255,7 +255,13 @@ def test_batch_run_resumes(spark, tmp_path):
     kept = spark.createDataFrame([("p", 1, print_, True), ("p", 1, print_, True)], none.schema)
     again = run(lines, kept, spark.createDataFrame([("p", 1, "a")], done.schema), "three")["p"]
     assert (again["revision"], again["resumed"], again["lines_made"]) == (1, True, 1)
-    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "three")).collect()} == {"b"}
+    assert {r["id"] for r in workflows.finished_lines(spark, str(tmp_path / "three")).collect()} == {"b"}
+    takes = {r["name"]: r["path"] for r in store.written(spark, str(tmp_path / "three")).collect()}
+    assert sorted(takes) == [f"p/run_0001/b/{n}" for n in ("candidate_01.json", "candidate_01.wav", "selection.json")]
+    assert readers.decode_wav(open(takes["p/run_0001/b/candidate_01.wav"], "rb").read())["samples"][:2] == pytest.approx([0.1, -0.1], abs=1e-6)
+    assert json.loads(open(takes["p/run_0001/b/selection.json"]).read())["recommended_output"] == "p/run_0001/b/candidate_01.wav"
+    unsafe = run(lines.withColumn("id", F.lit("..")), none, done, "six")["p"]
+    assert unsafe["error_code"] == "configuration_error" and unsafe["lines_made"] == 0
     damaged = spark.createDataFrame([("p", 1, print_, True), ("p", 1, print_, False)], none.schema)
     assert run(lines, damaged, done, "four")["p"]["revision"] == 2
     changed = run(lines.withColumn("text", F.concat("text", F.lit("。"))), kept, done, "five")["p"]
@@ -330,3 +336,60 @@ def test_model_identity(spark, tmp_path):
         assert model(key, files={"config.json": json.dumps({key: {"bits": 4}})})["error_code"] == "model_quantized"
     assert model("unsafe", files={"model.safetensors.index.json": json.dumps({"weight_map": {"a": "../two.bin"}})})["error_code"] == "model_file_missing"
     assert spark.range(1).select(*(c.alias(k) for k, c in runtime_versions(("pyspark", "no-such")).items())).first()["no-such"] is None
+
+
+def test_plans_of_more_candidates_are_refused(spark):
+    tone = lambda: lambda rows: [{"samples": [0.1, -0.1] * 24000, "sample_rate": 48000, "generation_seconds": 2.0} for r in rows]
+    plan = spark.createDataFrame([("a", k, "x") for k in range(0, 8)] + [("b", None, "x")], "id string, candidate int, text string")
+    made = workflows.run_attempts(plan, ["id"], tone).collect()
+    assert sorted((r["candidate"] or -1, r["error_code"], r["samples"] is None) for r in made) == [(-1, "configuration_error", True), (-1, "configuration_error", True)] + [
+        (k, None, False) for k in range(1, 6)] + [(6, "configuration_error", True), (7, "configuration_error", True)]
+
+
+def test_a_killed_batch_goes_on(spark, tmp_path):
+    """The recognizer ends the driver's work in the third micro-batch, once; no line of the finished ones is taken again."""
+    takes, broken = tmp_path / "takes", tmp_path / "broken"
+    takes.mkdir()
+    folder = str(takes)
+
+    def tone():
+        def make(rows):
+            import os
+            import uuid
+
+            for r in rows:
+                open(os.path.join(folder, f"{r['id']}-{uuid.uuid4().hex}"), "w").close()
+            return [{"samples": [0.1, -0.1] * 24000, "sample_rate": 48000, "generation_seconds": 2.0} for r in rows]
+
+        return make
+
+    echo = lambda: lambda rows: [{"recognized": r["text"]} for r in rows]
+    lines = spark.createDataFrame([("p", f"l{k}", "你好", 1, "balanced") for k in range(12)], "project string, id string, text string, seed long, profile string")
+    known = lines.select("project", "id", F.lit(None).cast("string").alias("error_code"), *(F.lit("h").alias(c) for c in ("reference_sha256", "reference_transcript_sha256", "voice_sha256")))
+    none = spark.createDataFrame([], "project string, revision int, fingerprint string, intact boolean")
+    done = spark.createDataFrame([], "project string, revision int, id string")
+    root = str(tmp_path / "out")
+    written, calls = store.write_files, []
+
+    def dies(*args, **options):
+        calls.append(options["batch"])
+        if len(calls) == 3:
+            raise RuntimeError("the driver is lost")
+        return written(*args, **options)
+
+    run = lambda: workflows.run_batch(lines, known, {"model": "m"}, none, done, policy.profiles(spark), root, tone, echo, 0.12, lines_at_once=2).first()
+    store.write_files = dies
+    try:
+        with pytest.raises(Exception, match="the driver is lost"):
+            run()
+    finally:
+        store.write_files = written
+    first = {r["id"] for r in workflows.finished_lines(spark, root).collect()}
+    assert 0 < len(first) < 12
+    assert run()["lines_made"] == 12
+    import os
+
+    count = {f"l{k}": sum(n.startswith(f"l{k}-") for n in os.listdir(folder)) for k in range(12)}
+    assert all(count[k] == 1 for k in first) and all(n >= 1 for n in count.values()) and sum(n > 1 for n in count.values()) <= 6
+    before = len(os.listdir(folder))
+    assert run()["lines_made"] == 12 and len(os.listdir(folder)) == before
