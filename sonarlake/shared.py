@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -24,3 +25,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Has shuffle files deleted that no plan can read any more.
+
+    Spark deletes them once the driver's memory manager finds their plans gone. Behind a checkpoint that is soon true, but a
+    driver with memory to spare may not look for hours, while each step adds its files to the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
