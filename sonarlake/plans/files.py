@@ -16,7 +16,8 @@ from sonarlake.operators import lifecycle, ordered, report
 from sonarlake.plans import workflows
 from sonarlake.plans.queries import _A, ACTIVE, RATE, SILENT, _clips, _t, _voices, query, r6
 from sonarlake.shared import checkpointed, shared_dir
-from sonarlake.sources import clips, readers, sinks, store
+from sonarlake.sources import clips, merge, readers, sinks, store
+from sonarlake.streaming import reviews
 
 
 def _folder(spark, name):
@@ -224,3 +225,50 @@ def clip_files_inspected(spark, d):
     judged = workflows.inspect_chunks(clips.chunks(listed, frames=5000))
     return judged.select(_stem_of(F.col("path")).alias("clip"), F.col("stats.frames").alias("frames"), F.when(F.col("qc.status") == "FAIL", "FAIL").otherwise("PASS").alias("failed"),
                          F.array_contains("qc.warnings", "waveform_discontinuity").alias("discontinuous"))
+
+
+# ---- merges and ledgers ------------------------------------------------------------------------------
+
+_CHANGE = "CASE WHEN c_custkey % 5 = 0 THEN 'replace' WHEN c_custkey % 7 = 1 THEN 'same' WHEN c_custkey % 11 = 2 THEN 'conflict' WHEN c_custkey % 13 = 3 THEN 'insert' END"
+
+
+@query(f"""
+    WITH c AS (SELECT *, {_CHANGE} AS change FROM customer),
+    u AS (SELECT CASE WHEN change = 'insert' THEN c_custkey + 1000000000 ELSE c_custkey END AS id, change FROM c WHERE change IS NOT NULL)
+    SELECT coalesce(b.c_custkey, u.id) AS id, CASE WHEN change = 'replace' THEN 2 ELSE 1 END AS version,
+           CASE WHEN change = 'replace' THEN b.c_name || ' again' WHEN change = 'insert' THEN 'new' ELSE b.c_name END AS text, change AS action FROM customer b FULL JOIN u ON b.c_custkey = u.id""")
+def registry_merge(spark, d):
+    """A registry and updates of it: what each update did, and what the table holds then."""
+    path, change = _folder(spark, "registry"), F.expr(_CHANGE)
+    base = _t(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("id"), F.lit(1).alias("version"), F.col("c_name").alias("text"))
+    merge.merge(base.drop("c_custkey"), path, ["id"], "version", "bucket", buckets=16)
+    text = F.when(change == "replace", F.concat("text", F.lit(" again"))).when(change == "conflict", "other").when(change == "insert", "new").otherwise(F.col("text"))
+    updates = base.where(change.isNotNull()).select(
+        F.when(change == "insert", F.col("id") + 1_000_000_000).otherwise(F.col("id")).alias("id"), F.when(change == "replace", 2).otherwise(1).alias("version"), text.alias("text"))
+    done = merge.merge(updates, path, ["id"], "version", "bucket", buckets=16)
+    return spark.read.parquet(path).select("id", "version", "text").join(done.select("id", "action"), "id", "left")
+
+
+@query("""
+    SELECT doc_id, n AS review, CASE
+        WHEN n = 3 THEN 'review_repeated' WHEN doc_id % 9 = 4 THEN 'candidate_changed' WHEN n = 4 THEN 'review_late'
+        WHEN n = 1 THEN CASE WHEN doc_id % 7 = 2 THEN 'reviewer_required' WHEN quality = 1 AND toxic = 1 THEN 'failed_audio' END
+        WHEN doc_id % 7 = 2 OR (quality = 1 AND toxic = 1) THEN NULL ELSE 'already_decided' END AS error_code
+    FROM (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id), (SELECT unnest([1, 2, 3, 4]) AS n)""")
+def review_order(spark, d):
+    """Four reviews of each candidate in the order of their time: one by the rules, one more, one that repeats an id, and a late one."""
+    rows = _t(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    hour = lambda n: F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * n)
+    none = F.lit(None).cast("string")
+    key, i = F.col("doc_id").cast("string").alias("audio_sha256"), F.col("doc_id")
+    candidate = rows.where("doc_id % 9 <> 4").select(
+        F.lit("candidate").alias("kind"), key, hour(F.lit(0)).alias("time"), none.alias("review_id"), none.alias("decision"), none.alias("reviewer"), F.lit(None).cast("boolean").alias("listened"),
+        F.lit(None).cast("map<string,double>").alias("ratings"), none.alias("notes"), F.when(F.col("toxic") == 1, "FAIL").otherwise("PASS").alias("qc"), F.lit("PASS").alias("transcript"))
+    n = F.col("n")
+    reviews_ = rows.withColumn("n", F.explode(F.array(*(F.lit(k) for k in (1, 2, 3, 4))))).select(
+        F.lit("review").alias("kind"), key, hour(F.when(n == 4, 200).otherwise(n)).alias("time"), F.when(n == 3, "1").otherwise(n.cast("string")).alias("review_id"),
+        F.when((n == 1) & (F.col("quality") == 1), "approve").otherwise("reject").alias("decision"), F.when((n > 1) | (i % 7 != 2), "ann").alias("reviewer"), F.lit(True).alias("listened"),
+        F.create_map(F.lit("prosody"), F.lit(3.0)).alias("ratings"), F.lit("").alias("notes"), none.alias("qc"), none.alias("transcript"))
+    taken = reviews.ledger(candidate.unionByName(reviews_))
+    place = F.when(F.col("error_code") == "review_repeated", 3).otherwise(F.col("review_id").cast("int"))
+    return taken.select(F.col("audio_sha256").cast("long").alias("doc_id"), place.alias("review"), "error_code")
