@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,31 +177,87 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fine, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
 
 
-def _resampled(samples: list[float] | None, rate: int | None, target: int = TARGET_RATE, lobes: int = 10, beta: float = 5.0) -> list[float] | None:
-    """Band-limited change of rate by a ratio of integers, with a Kaiser-windowed sinc."""
-    if samples is None or not rate:
-        return None
-    g = math.gcd(int(rate), target)
-    up, down = target // g, int(rate) // g
-    if up == down or not samples:
-        return list(samples)
+#: Outputs that a filter bank makes at once, so its windows take some 20 MB.
+OUTPUTS = 1 << 16
+
+
+@lru_cache(maxsize=16)
+def bank(up: int, down: int, lobes: int = 10, beta: float = 5.0) -> np.ndarray:
+    """A Kaiser-windowed sinc, band-limited to the lower rate, as one short filter for each phase of the raised grid."""
     top = max(up, down)
     half = lobes * top
     taps = np.sinc(np.arange(-half, half + 1) / top) * np.kaiser(2 * half + 1, beta)
     taps *= up / taps.sum()
+    reach = -(-half // up)
+    at = np.arange(up)[:, None] - np.arange(-reach, reach + 1)[None, :] * up + half
+    return np.where((at >= 0) & (at <= 2 * half), taps[np.clip(at, 0, 2 * half)], 0.0)
+
+
+def ratio(rate: int, target: int = TARGET_RATE) -> tuple[int, int]:
+    g = math.gcd(int(rate), target)
+    return target // g, int(rate) // g
+
+
+def polyphase(x: np.ndarray, up: int, down: int, start: int = 0, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """The outputs whose place lies in ``x``, samples from ``start`` on of a clip, of which some are known before and after."""
+    if not len(x):
+        return np.zeros(0)
+    filters = bank(up, down)
+    reach = filters.shape[1] // 2
+    edge = lambda e, keep: np.zeros(0) if e is None else np.asarray(e, np.float64)[keep]
+    left, right = edge(before, slice(-reach, None)), edge(after, slice(None, reach))
+    padded = np.concatenate([np.zeros(reach - len(left)), left, x, right, np.zeros(reach - len(right))])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
+    first, last = -(-start * up // down), -(-(start + len(x)) * up // down)
+    out = np.empty(last - first)
+    for at in range(first, last, OUTPUTS):
+        n = np.arange(at, min(at + OUTPUTS, last))
+        place, phase = np.divmod(n * down, up)
+        out[at - first : at - first + len(n)] = np.einsum("ij,ij->i", windows[place - start], filters[phase])
+    return out
+
+
+def resampled(samples, rate: int, target: int = TARGET_RATE) -> np.ndarray:
+    """Band-limited change of rate by a ratio of integers."""
+    up, down = ratio(rate, target)
     x = np.asarray(samples, np.float64)
-    n = -(-len(x) * up // down)
-    at = np.arange(n) * down  # places on the raised grid
-    first = -(-(at - half) // up)
-    k = first[:, None] + np.arange(2 * half // up + 1)[None, :]  # the samples that each output sees
-    tap = at[:, None] - k * up + half
-    good = (k >= 0) & (k < len(x)) & (tap >= 0) & (tap <= 2 * half)
-    return (x[np.clip(k, 0, len(x) - 1)] * taps[np.clip(tap, 0, 2 * half)] * good).sum(axis=1).tolist()
+    return x if up == down else polyphase(x, up, down)
 
 
-_resample = F.udf(_resampled, T.ArrayType(T.DoubleType()), useArrow=True)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _resample(a: pa.Array, rates: pa.Array) -> pa.Array:
+    out = [None if x is None or not r else resampled(x.values.to_numpy(zero_copy_only=False), r) for x, r in zip(a, rates.to_pylist(), strict=True)]
+    return pa.array(out, pa.list_(pa.float64()))
 
 
 def resample(a: Column, rate: Column) -> Column:
     """Samples at the rate of a master."""
     return _resample(a, rate)
+
+
+def with_edges(chunks: DataFrame, clip: list[str], reach: int, part: str = "chunk", samples: str = "samples") -> DataFrame:
+    """Chunks with the ``before`` and ``after`` of their neighbours: up to ``reach`` samples, which all chunks but the last have."""
+    rest = [c for c in chunks.columns if c not in (*clip, part, samples)]
+    none, a, n = F.lit(None).cast("array<double>"), F.col(samples).cast("array<double>"), F.size(samples)
+    tail, head = F.slice(a, F.greatest(n - reach + 1, F.lit(1)), reach), F.slice(a, 1, reach)
+    body = chunks.select(*clip, part, a.alias(samples), none.alias("before"), none.alias("after"), F.struct(F.lit(1).alias("_"), *rest).alias("_rest"))
+    edge = lambda move, before, after: chunks.select(*clip, (F.col(part) + move).alias(part), none.alias(samples), before.alias("before"), after.alias("after"), F.lit(None).cast(body.schema["_rest"].dataType).alias("_rest"))
+    every = body.unionByName(edge(1, tail, none)).unionByName(edge(-1, none, head))
+    met = every.groupBy(*clip, part).agg(*(F.first(c, ignorenulls=True).alias(c) for c in (samples, "before", "after", "_rest")))
+    return met.where("_rest IS NOT NULL").select(*clip, part, samples, "before", "after", *(f"_rest.{c}" for c in rest))
+
+
+def resample_chunks(chunks: DataFrame, clip: list[str], rate: int, part: str = "chunk", start: str = "start", samples: str = "samples", target: int = TARGET_RATE) -> DataFrame:
+    """Chunks of clips of one rate as chunks at another; each task holds a chunk and its neighbours' edges."""
+    up, down = ratio(rate, target)
+    if up == down:
+        return chunks
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def change(a: pa.Array, before: pa.Array, after: pa.Array, starts: pa.Array) -> pa.Array:
+        plain = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0)
+        return pa.array([polyphase(plain(x), up, down, s, plain(b), plain(f)) for x, b, f, s in zip(a, before, after, starts.to_pylist(), strict=True)], pa.list_(pa.float64()))
+
+    edged = with_edges(chunks, clip, bank(up, down).shape[1] // 2, part, samples)
+    out = edged.withColumn(samples, change(F.col(samples), F.col("before"), F.col("after"), F.col(start).cast("long")))
+    return out.withColumn(start, F.ceil(F.col(start) * up / down)).drop("before", "after")

@@ -6,6 +6,7 @@ about, and its SQL says the rule in its own way.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -451,3 +452,27 @@ def lexicon_joined(spark, d):
     turns = _t(spark, d, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("place"), "text")
     out = lexicon.resolve_rows(turns, entries, "place", limit=0)
     return out.select("conv_id", "turn", F.sha2("resolved.text", 256).alias("spoken"), F.size("resolved.applied").cast("long").alias("applied"))
+
+
+# ---- rates of samples --------------------------------------------------------------------------------
+
+
+def _half_band() -> str:
+    """The sinc filters that double a rate, by phase, as SQL lists: from the formula, not from the filter bank."""
+    half = np.arange(-20, 21)
+    taps = np.sinc(half / 2) * np.kaiser(41, 5.0)
+    taps *= 2 / taps.sum()
+    tap = lambda i: float(taps[i]) if 0 <= i <= 40 else 0.0
+    return "[" + ", ".join("[" + ", ".join(repr(tap(p - 2 * j + 20)) for j in range(-10, 11)) + "]" for p in (0, 1)) + "]"
+
+
+@query(f"""
+    WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
+    b AS (SELECT vec_id, list_transform(range(0, 2 * len(a)), lambda n: list_sum(list_transform(range(-10, 11), lambda j:
+              CASE WHEN n // 2 + j BETWEEN 0 AND len(a) - 1 THEN a[n // 2 + j + 1] ELSE 0 END * ({_half_band()})[n % 2 + 1][j + 11]))) AS b FROM a)
+    SELECT vec_id, CAST(len(b) AS INTEGER) AS samples, round(list_max(list_transform(b, lambda x: abs(x))), 6) AS peak, round(list_sum(list_transform(b, lambda x: x * x)), 6) AS energy FROM b""")
+def wave_resampled(spark, d):
+    b = signal.resample(F.col("embedding").cast("array<double>"), F.lit(24_000))
+    rows = _t(spark, d, "embeddings").select("vec_id", b.alias("b"))
+    energy = F.aggregate("b", F.lit(0.0), lambda s, x: s + x * x)
+    return rows.select("vec_id", F.size("b").alias("samples"), r6(signal.peak(F.col("b"))).alias("peak"), r6(energy).alias("energy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.functions import align, emotion, lexicon, partial, segment, signal
+from sonarlake.functions import align, emotion, lexicon, loudness, partial, segment, signal
 from sonarlake.functions.identity import row_fingerprint
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import adapters
@@ -184,6 +184,39 @@ def run_batch(lines: DataFrame, identities: DataFrame, settings: dict[str, str],
     return out.join(counts, "project", "left").withColumn("lines_made", F.coalesce("lines_made", F.lit(0)))
 
 
+# What a delivery may be made for.
+MASTERING_PROFILES = ("raw_master", "drama_dialogue", "narration", "short_video")
+
+
+def finalize(approved: DataFrame, root: str, batch: str, profile: str = "raw_master", cut: bool = False, peak_dbfs: float | None = None, target_lufs: float | None = None) -> DataFrame:
+    """Approved clips brought to level, inspected again, and written once, each with its metadata.
+
+    approved: project, name, audio_sha256, samples and sample_rate (``lifecycle.approved`` with decoded clips). Loudness is measured
+    before, and again on what is delivered. A clip that breaks a rule isn't written; one whose delivery fails its inspection is, for
+    diagnosis. Returns a row for each clip, without samples: error_code, gain_db, input and output loudness, target_achieved, qc, output.
+    """
+    text = lambda c: F.lit(None if c is None else float(c)).cast("double")
+    source = signal.audio_qc(signal.stats(F.col("samples"), F.col("sample_rate"), subtype=F.lit("PCM_24")))["status"]
+    rows = approved.withColumns({"_source": source, "_loud": loudness.measure(F.col("samples"), F.col("sample_rate")) if target_lufs is not None else F.lit(None).cast(loudness.MEASURED)})
+    made = lifecycle.deliver(rows.withColumns({"lufs": F.col("_loud.lufs"), "true_peak": F.col("_loud.true_peak")}), "samples", "sample_rate", peak_dbfs, target_lufs, cut)
+    early = F.when(F.lit(profile not in MASTERING_PROFILES), "configuration_error").when(F.col("_source") == "FAIL", "audio_invalid")
+    unmeasured = F.when(F.lit(target_lufs is not None) & (F.col("lufs").isNull() | F.col("true_peak").isNull()), "loudness_unmeasurable")
+    gate = F.when(F.col("delivered").isNotNull(), signal.writable(F.col("delivered"), F.col("sample_rate")))
+    made = made.withColumn("error_code", F.coalesce(early, unmeasured, "error_code", gate))
+    made = made.withColumn("delivered", F.when(F.col("error_code").isNull(), F.col("delivered")))
+    after = loudness.measure(F.col("delivered"), F.col("sample_rate")) if target_lufs is not None else F.lit(None).cast(loudness.MEASURED)
+    own = signal.stats(F.col("delivered"), F.col("sample_rate"), subtype=F.lit("PCM_24"))
+    made = made.withColumns({"output_loudness": after, "stats": F.when(F.col("delivered").isNotNull(), own), "output": F.concat_ws("/", "project", F.lit(batch), "name")})
+    made = made.withColumns({"qc": F.when(F.col("stats").isNotNull(), signal.audio_qc(F.col("stats"))), "target_achieved": lifecycle.target_achieved(F.col("output_loudness.lufs"), text(target_lufs))})
+    rows = checkpointed(made.withColumn("error_code", F.coalesce("error_code", F.when(F.col("qc.status") == "FAIL", "delivery_failed"))))
+    facts = rows.select("project", "name", "audio_sha256", "output", F.lit(profile).alias("profile"), F.lit(cut).alias("trim"), text(peak_dbfs).alias("peak_dbfs"), text(target_lufs).alias("target_lufs"), "gain_db",
+                        F.col("_loud").alias("input_loudness"), "output_loudness", "target_achieved", "stats", "qc", "error_code")
+    there = rows.where("delivered IS NOT NULL").select("output", F.lit(0).alias("chunk"), "delivered")
+    meta = facts.join(there.select("output"), "output", "left_semi").select(F.concat(F.regexp_replace("output", r"\.wav$", ""), F.lit(".json")).alias("name"), F.lit(0).cast("long").alias("part"), F.encode(F.to_json(F.struct(*facts.columns)), "UTF-8").alias("content"))
+    store.write_files(clips.parts(there, "output", samples="delivered").unionByName(meta), root, order="part", batch=batch)
+    return facts
+
+
 def verify_model(spark: SparkSession, root: str, revision: str, receipts: str = ".cache/huggingface/download") -> DataFrame:
     """Identity of the model in a folder; its files are hashed in blocks, one task for each."""
     config, index = (readers.whole_text(spark, f"{root}/{n}") for n in ("config.json", "model.safetensors.index.json"))

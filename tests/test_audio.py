@@ -171,13 +171,15 @@ def test_identity(one):
     assert one(identity.lock_error(F.lit("r"), "r", F.lit("bf16"), "bf16", F.lit("a" * 40 + "\n"))) == "model_lock_invalid"
 
 
-def test_resample():
+def test_resample(spark):
     tone = lambda rate, n: [math.sin(2 * math.pi * 440 * k / rate) for k in range(n)]
     for rate in (16000, 44100, 96000):
-        out = signal._resampled(tone(rate, rate // 10), rate)
+        out = signal.resampled(tone(rate, rate // 10), rate).tolist()
         want = tone(48000, len(out))
         assert len(out) == 4800 and max(abs(a - b) for a, b in zip(out[600:-600], want[600:-600], strict=True)) < 0.01
-    assert signal._resampled(None, 8000) is None and signal._resampled([], 8000) == [] and signal._resampled([0.5], 48000) == [0.5]
+    rows = spark.createDataFrame([(1, None, 8000), (2, [], 8000), (3, [0.5], 48000), (4, [0.5], None), (5, [0.5] * 800, 8000)], "i int, a array<double>, r int")
+    got = {r["i"]: r["x"] for r in rows.select("i", signal.resample(F.col("a"), F.col("r")).alias("x")).collect()}
+    assert (got[1], got[2], got[3], got[4]) == (None, [], [0.5], None) and len(got[5]) == 4800 and got[5][2000] == pytest.approx(0.5, abs=0.01)
 
 
 def test_inspect_files(spark, tmp_path):
