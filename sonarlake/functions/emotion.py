@@ -5,14 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels by style, and what each style asks of the voice.
-ROUTES = {
-    "neutral": ["平静", "中性", "正常", "叙述", "neutral"],
-    "gentle": ["温柔", "安慰", "宠溺", "暖", "gentle"],
-    "angry": ["生气", "愤怒", "压怒", "质问", "angry"],
-    "sad": ["悲伤", "难过", "失落", "哽咽", "sad"],
-    "panic": ["惊恐", "慌张", "害怕", "紧张", "panic"],
-    "whisper": ["耳语", "低声", "悄悄", "气声", "whisper"],
+# The style of each label, and what each style asks of the voice.
+STYLES = {
+    "平静": "neutral",
+    "中性": "neutral",
+    "正常": "neutral",
+    "叙述": "neutral",
+    "neutral": "neutral",
+    "温柔": "gentle",
+    "安慰": "gentle",
+    "宠溺": "gentle",
+    "暖": "gentle",
+    "gentle": "gentle",
+    "生气": "angry",
+    "愤怒": "angry",
+    "压怒": "angry",
+    "质问": "angry",
+    "angry": "angry",
+    "悲伤": "sad",
+    "难过": "sad",
+    "失落": "sad",
+    "哽咽": "sad",
+    "sad": "sad",
+    "惊恐": "panic",
+    "慌张": "panic",
+    "害怕": "panic",
+    "紧张": "panic",
+    "panic": "panic",
+    "耳语": "whisper",
+    "低声": "whisper",
+    "悄悄": "whisper",
+    "气声": "whisper",
+    "whisper": "whisper",
 }
 INSTRUCTIONS = {
     "neutral": "自然生活化对白，语气克制，停连随语义变化，不要播音腔，不要机械匀速",
@@ -26,7 +50,7 @@ DEFAULT = "neutral"
 
 
 def style_of(emotion: Column, default: str = DEFAULT) -> Column:
-    table = F.create_map(*(F.lit(x) for style, labels in ROUTES.items() for label in labels for x in (label, style)))
+    table = F.create_map(*(F.lit(x) for pair in STYLES.items() for x in pair))
     return F.coalesce(F.try_element_at(table, emotion), F.lit(default))
 
 

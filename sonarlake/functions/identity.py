@@ -7,6 +7,7 @@ import json
 import platform
 from importlib import metadata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,9 @@ def _json(text: str | None) -> str | None:
     return hashlib.sha256(flat.encode()).hexdigest()
 
 
-_fingerprint = F.udf(_json, T.StringType(), useArrow=True)
+@F.arrow_udf(T.StringType())
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    return pa.array([_json(t) for t in texts.to_pylist()], pa.string())
 
 
 def json_fingerprint(payload: Column) -> Column:

@@ -106,6 +106,12 @@ def _under(value: Column, limit) -> Column:
     return F.coalesce((value < limit) & ~F.isnan(value.cast("double")), F.lit(False))
 
 
+# The limits of the quality rules.
+LOW_PEAK, LOW_RMS, HIGH_PEAK, HIGH_DC, MUCH_SILENCE, LONG_SILENCE, LONG_EDGE, HIGH_JUMP = 1e-5, 0.003, 0.98, 0.02, 0.65, 2, 1, 0.5
+REFERENCE_SECONDS = (5, 15)
+LEAST_SECONDS, LEAST_PER_CHARACTER, MOST_SECONDS, MOST_PER_CHARACTER = 0.2, 0.035, 15.0, 1.5
+
+
 def audio_qc(s: Column, text: Column | None = None, reference: bool = False, rate: int = TARGET_RATE) -> Column:
     """status, failures and warnings of a stats struct; rules fire in the order they are listed."""
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -113,20 +119,20 @@ def audio_qc(s: Column, text: Column | None = None, reference: bool = False, rat
     n, long = F.length(text), s["duration"]
     failures = [
         (yes(s["sample_rate"] != rate), "sample_rate"), (yes(s["channels"] != 1), "non_mono"), (yes(s["has_nan"]), "nan"), (yes(s["has_inf"]), "inf"),
-        (yes(s["clipping"]), "clipping"), (F.coalesce(s["frames"], F.lit(0)) == 0, "empty"), (~_over(F.coalesce(s["peak"], _ZERO()), 1e-5) & ~F.isnan(F.coalesce(s["peak"], _ZERO())), "silence_only"),
+        (yes(s["clipping"]), "clipping"), (F.coalesce(s["frames"], F.lit(0)) == 0, "empty"), (~_over(F.coalesce(s["peak"], _ZERO()), LOW_PEAK) & ~F.isnan(F.coalesce(s["peak"], _ZERO())), "silence_only"),
     ]
     if not reference:
         failures.append((~yes(s["subtype"] == "PCM_24"), "not_pcm24"))
     edges = s["edge_silence_seconds"]
     warnings = [
-        (_under(F.coalesce(s["rms"], _ZERO()), 0.003), "low_energy"), (_over(s["peak"], 0.98), "near_full_scale"), (_over(F.abs(s["dc_offset"]), 0.02), "dc_offset"),
-        (_over(s["silence_ratio"], 0.65), "excessive_silence_ratio"), (_over(s["longest_silence_seconds"], 2), "long_silence"), (_over(edges["start"], 1), "start_silence"),
-        (_over(edges["end"], 1), "end_silence"), (_over(s["max_sample_jump"], 0.5), "waveform_discontinuity"),
+        (_under(F.coalesce(s["rms"], _ZERO()), LOW_RMS), "low_energy"), (_over(s["peak"], HIGH_PEAK), "near_full_scale"), (_over(F.abs(s["dc_offset"]), HIGH_DC), "dc_offset"),
+        (_over(s["silence_ratio"], MUCH_SILENCE), "excessive_silence_ratio"), (_over(s["longest_silence_seconds"], LONG_SILENCE), "long_silence"), (_over(edges["start"], LONG_EDGE), "start_silence"),
+        (_over(edges["end"], LONG_EDGE), "end_silence"), (_over(s["max_sample_jump"], HIGH_JUMP), "waveform_discontinuity"),
     ]
     if reference:
-        warnings += [(_under(long, 5), "reference_too_short"), (_over(long, 15), "reference_longer_than_preferred")]
+        warnings += [(_under(long, REFERENCE_SECONDS[0]), "reference_too_short"), (_over(long, REFERENCE_SECONDS[1]), "reference_longer_than_preferred")]
     warnings += [
-        ((n > 0) & _under(long, F.greatest(F.lit(0.2), n * 0.035)), "suspiciously_short"), ((n > 0) & _over(long, F.greatest(F.lit(15.0), n * 1.5)), "suspiciously_long"),
+        ((n > 0) & _under(long, F.greatest(F.lit(LEAST_SECONDS), n * LEAST_PER_CHARACTER)), "suspiciously_short"), ((n > 0) & _over(long, F.greatest(F.lit(MOST_SECONDS), n * MOST_PER_CHARACTER)), "suspiciously_long"),
     ]
     fired = lambda rules: F.array_compact(F.array(*(F.when(c, name) for c, name in rules)))
     bad, odd = fired(failures), fired(warnings)
@@ -226,7 +232,7 @@ def resampled(samples, rate: int, target: int = TARGET_RATE) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _resample(a: pa.Array, rates: pa.Array) -> pa.Array:
-    out = [None if x is None or not r else resampled(x.values.to_numpy(zero_copy_only=False), r) for x, r in zip(a, rates.to_pylist(), strict=True)]
+    out = [None if not x.is_valid or not r else resampled(x.values.to_numpy(zero_copy_only=False), r) for x, r in zip(a, rates.to_pylist(), strict=True)]
     return pa.array(out, pa.list_(pa.float64()))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions.align import MIN_SAMPLES
-from sonarlake.functions.signal import TARGET_RATE
+from sonarlake.functions.signal import HIGH_PEAK, TARGET_RATE
 from sonarlake.operators.ordered import document, with_rank
 from sonarlake.operators.policy import first_occurrence
 
@@ -88,7 +88,7 @@ def delivery_audit(audio: DataFrame, metadata: DataFrame, rate: int = TARGET_RAT
         (s.isNull() | yes(unfit), "invalid_audio"), (~paired, "metadata_missing"), (paired & ~yes(F.col("_output") == F.col("path")), "output_differs"),
         (paired & (F.coalesce("_audio_sha256", F.lit("")) != "") & (F.col("_audio_sha256") != F.col("sha256")), "checksum_mismatch"),
     ]
-    warnings = [(yes((s["peak"] > 0.98) & ~F.isnan(s["peak"])), "near_full_scale"), (paired & (F.coalesce("_model_revision", F.lit("")) == ""), "model_revision_missing")]
+    warnings = [(yes((s["peak"] > HIGH_PEAK) & ~F.isnan(s["peak"])), "near_full_scale"), (paired & (F.coalesce("_model_revision", F.lit("")) == ""), "model_revision_missing")]
     named = lambda rules: F.array_compact(F.array(*(F.when(c, name) for c, name in rules)))
     return rows.select(
         "path", s["duration"].alias("duration"), s["peak"].alias("peak"), s["rms"].alias("rms"), "mode", "text", "qc",

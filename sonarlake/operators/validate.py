@@ -137,6 +137,13 @@ def rtf(seconds: Column, duration: Column) -> Column:
     return F.try_divide(seconds, F.nullif(duration, F.lit(0)))
 
 
+def json_defaults(source: Column, defaults: dict[str, object]) -> Column:
+    """Fields of a JSON object as texts; a default stands for a key that is missing, not for one that is null."""
+    keys = F.json_object_keys(source)
+    field = lambda k, v: F.when(F.array_contains(keys, k), F.get_json_object(source, f"$.{k}")).when(keys.isNotNull(), F.lit(v).cast("string")).alias(k)
+    return F.struct(*(field(k, v) for k, v in defaults.items()))
+
+
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Missing columns and nulls take a default. A column can't tell a null from a missing key; both are filled."""
     return df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in df.columns else F.lit(v) for k, v in defaults.items()})

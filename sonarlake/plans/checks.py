@@ -101,6 +101,18 @@ def request_defaults(spark, d):
     return validate.with_defaults(rows, {"profile": "dialogue", "candidates": 3, "seed": 7})
 
 
+_SOURCE = "CASE c_custkey % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{\"candidates\": null}' WHEN 2 THEN '{\"profile\": \"' || c_mktsegment || '\", \"candidates\": 2}' ELSE '{\"profile\": null, \"seed\": ' || c_custkey || '}' END"
+
+
+@query(f"""WITH s AS (SELECT c_custkey, {_SOURCE} AS j FROM customer)
+    SELECT c_custkey, CASE WHEN list_contains(json_keys(j), 'profile') THEN json_extract_string(j, '$.profile') ELSE 'production' END AS profile,
+           CASE WHEN list_contains(json_keys(j), 'candidates') THEN json_extract_string(j, '$.candidates') ELSE '3' END AS candidates FROM s""")
+def source_defaults(spark, d):
+    """Defaults for keys that a source lacks; explicit nulls stay."""
+    rows = _t(spark, d, "customer").select("c_custkey", validate.json_defaults(F.expr(_SOURCE), {"profile": "production", "candidates": 3}).alias("s"))
+    return rows.select("c_custkey", "s.profile", "s.candidates")
+
+
 @query("SELECT page_id, coalesce(octet_length(encode(html)) > 1024 AND page_id % 5 <> 0, false) AS complete FROM pages")
 def complete_takes(spark, d):
     return _t(spark, d, "pages").select("page_id", F.coalesce(validate.complete_take(F.octet_length("html"), F.col("page_id") % 5 != 0), F.lit(False)).alias("complete"))

@@ -33,7 +33,7 @@ def prepare_episode(lines: DataFrame, voices: DataFrame, entries: dict, profile:
         "style": F.when(F.col("_exact"), F.col("_asked")).otherwise("neutral"),
         "mode": F.when(F.col("_exact"), "ultimate").otherwise("controllable"),
         "instruct": F.when(~F.col("_exact"), F.coalesce("instruct", emotion.instruction_of(F.col("_asked")), emotion.instruction_of(F.lit("neutral")))),
-        "emotion_warning": F.when(F.col("emotion").isNotNull() & ~F.col("emotion").isin([x for labels in emotion.ROUTES.values() for x in labels]), F.format_string(UNKNOWN_EMOTION, "emotion")),
+        "emotion_warning": F.when(F.col("emotion").isNotNull() & ~F.col("emotion").isin(list(emotion.STYLES)), F.format_string(UNKNOWN_EMOTION, "emotion")),
     })
     resolved = catalog.resolve_style(rows.drop("_have", "_vid", "_asked", "_exact"), styles)
     error = F.when(validate.blank(F.col("character_id")), "configuration_error").otherwise(F.col("error_code"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sonarlake.functions import signal
+from sonarlake.shared import checkpointed
+from sonarlake.sources import clips
 
 
 def not_finite(df: DataFrame) -> Column:
@@ -19,10 +22,11 @@ def not_finite(df: DataFrame) -> Column:
 
 
 def write_json(df: DataFrame, path: str, exclusive: bool = True) -> DataFrame:
-    """Writes the finite rows; the others are returned. Exclusive: refuses a path that exists."""
-    bad = not_finite(df)
-    df.where(~bad).write.mode("errorifexists" if exclusive else "overwrite").json(path)
-    return df.where(bad)
+    """Writes the finite rows; the others are returned. Exclusive: refuses a path that exists. The input is worked out once."""
+    rows = checkpointed(df)
+    bad = not_finite(rows)
+    rows.where(~bad).write.mode("errorifexists" if exclusive else "overwrite").json(path)
+    return rows.where(bad)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -55,16 +59,16 @@ def report_json(df: DataFrame) -> DataFrame:
 
 def encode_wav(samples: list[float], rate: int) -> bytes:
     """A mono PCM_24 file; samples have passed the write gate."""
-    x = np.round(np.asarray(samples, np.float64) * (2**23 - 1)).astype("<i4")
-    body = x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 3, 3, 24, b"data", len(body))
-    return head + body + b"\0" * (len(body) % 2)
+    body = clips.pcm24(samples)
+    return clips.wav_header(len(body) // 3, rate) + body + b"\0" * (len(body) % 2)
 
 
-def encoded(clips: DataFrame, samples: str = "samples", rate: str = "sample_rate") -> DataFrame:
-    """Clips with ``wav``, for those that pass the write gate; ``error_code`` for the others."""
-    from sonarlake.functions.signal import writable
+@F.arrow_udf(T.BinaryType())
+def _encoded(a: pa.Array, rates: pa.Array) -> pa.Array:
+    return pa.array([encode_wav(x.values.to_numpy(zero_copy_only=False), r) if x.is_valid else None for x, r in zip(a, rates.to_pylist(), strict=True)], pa.binary())
 
-    encode = F.udf(lambda a, r: None if a is None else encode_wav(a, r), "binary", useArrow=True)
-    out = clips.withColumn("error_code", writable(F.col(samples), F.col(rate)))
-    return out.withColumn("wav", encode(F.when(F.col("error_code").isNull(), F.col(samples)), F.col(rate)))
+
+def encoded(rows: DataFrame, samples: str = "samples", rate: str = "sample_rate") -> DataFrame:
+    """Clips with ``wav``, for those that pass the write gate; ``error_code`` for the others."""
+    out = rows.withColumn("error_code", signal.writable(F.col(samples), F.col(rate)))
+    return out.withColumn("wav", _encoded(F.when(F.col("error_code").isNull(), F.col(samples)), F.col(rate)))
