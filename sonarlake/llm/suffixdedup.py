@@ -51,7 +51,7 @@ SPAN, K = 50, 16
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
 #: Bytes of text hashed at once, of text between two emissions of a task, and of text for each bucket.
-CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 16 << 20, 16 << 20
+CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 8 << 20, 16 << 20
 #: Bytes of a document that pieces of others name together, and pieces that meet it at once.
 BLOCK, FAN = 1 << 15, 256
 #: Bytes of asked text that a task hands on together.
