@@ -147,6 +147,20 @@ ORACLE_SQL: dict[str, str] = {
             FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id)
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_removed_words > 0.5 * n_line_words AS kept FROM base""",
+    "op9_decontamination": r"""
+        WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                   FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (SELECT DISTINCT item_id, s, array_to_string(w[i : i + s - 1], ' ') AS g
+               FROM (SELECT item_id, w, least(13, len(w)) AS s, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        d AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        dw AS (SELECT r, s, i, array_to_string(w[i : i + s - 1], ' ') AS g
+               FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM bw) WHERE len(w) >= s)),
+        hits AS (SELECT r, i, s, item_id FROM dw JOIN bw USING (s, g)),
+        hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + s)) AS p FROM hits) GROUP BY r),
+        named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
     "op13_importance_resampling": r"""
         WITH tab AS (
             SELECT list(list_reduce([n] || range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
