@@ -104,7 +104,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_importance_resampling": op13_importance_resampling,
 }
 
+# CRC-32 of a text in DuckDB: the table of its byte steps, and the fold of a text's bytes over it.
+_CRC_TABLE = """tab AS (SELECT list(list_reduce([n] || range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
+                        FROM (SELECT unnest(range(0, 256)) AS n))"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(0, length(hex({0})) // 2), lambda i: CAST('0x' || substr(hex({0}), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+              lambda c, x: xor(c >> 8, steps[1 + (xor(c, x) & 255)])), 4294967295)"""
+
+
+def _repair_sql() -> str:
+    """op11 as a walk over turns that keeps, for each state, the least (cost, edits) so far with its repaired turns."""
+
+    def then(s, letter, cost, turn=None):
+        turns = f"{s}.t" if turn is None else f"list_append({s}.t, {turn})"
+        return f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {turns}}} END"
+
+    def used(s, letter, cost, turn, when="true"):
+        return f"CASE WHEN fault NOT IN (1, 2) AND {when} THEN {then(s, letter, f'{cost} + extra', turn)} END"
+
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    kept = "role || ':' || text"
+    # States: nothing, a system turn, a user turn last, an assistant turn last. First what may be inserted, then the turn itself.
+    open_u = least("s2", *(then(s, "I", 2, "'user:'") for s in ("s0", "s1", "s3")))
+    steps = [
+        then("s0", "D", 3), least(then("s1", "D", 3), used("s0", "K", 0, kept, "first = 's'")),
+        least(then("i2", "D", 3), *(used(s, "K", 0, kept, "first = 'u'") for s in ("s0", "s1", "s3")), *(used(s, "R", 2, "'user:' || text") for s in ("s0", "s1", "s3"))),
+        least(then("i3", "D", 3), used("i2", "K", 0, kept, "first = 'a'"), used("i2", "R", 2, "'assistant:' || text")),
+    ]
+    # A kept or rewritten user turn may also follow an inserted assistant turn, of which i3 is the least.
+    steps[2] = least(steps[2], used("i3", "K", 0, kept, "first = 'u'"), used("i3", "R", 2, "'user:' || text"))
+    return rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        raw AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        kinds AS (SELECT raw.*, {_CRC.format('k')} % 20 AS kind FROM raw, tab),
+        damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, r, c
+                    FROM kinds, (SELECT unnest([1, 2]) AS c) WHERE kind <> 0 AND (c = 1 OR kind = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r, c) AS i, substr(role, 1, 1) AS first,
+                          regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final FROM damaged),
+        rows AS (SELECT *, CASE WHEN final = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN final NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                        lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS pair FROM placed),
+        turns AS (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS extra FROM rows),
+        facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id),
+        walk AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS s0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s1,
+                   CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s2, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s3 FROM facts
+            UNION ALL
+            SELECT conv_id, i, {', '.join(steps)}
+            FROM (SELECT *, {least('s3', then('i2', 'I', 2, "'assistant:'"))} AS i3
+                  FROM (SELECT w.s0, w.s1, w.s2, w.s3, t.*, {open_u} AS i2 FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1))),
+        ended AS (SELECT w.conv_id, {least('s0', 's3', then('i2', 'I', 2, "'assistant:'"))} AS best
+                  FROM (SELECT *, {open_u} AS i2 FROM walk) w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _repair_sql(),
     "op2_url_filter": r"""
         WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         split AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
