@@ -21,7 +21,7 @@ def duck():
 
 
 def rows_of(frame):
-    plain = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else int(v) if isinstance(v, (int, float)) and float(v).is_integer() else v
+    plain = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else int(v) if pd.api.types.is_number(v) and float(v).is_integer() else v
     return sorted(str([plain(v) for v in r]) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
