@@ -11,7 +11,8 @@ part in an equi-join on fingerprints instead. Both give the same rows.
 
 Defined cases: null and empty texts have no words, so nothing is hit and the document is not
 contaminated. Items with a null id or without words have no window; rows that repeat an id are one item
-with the windows of all. Repeated document rows are each returned. Input columns that clash with an
+with the windows of all. Repeated document rows are each returned. Very long texts are looked through whole, one at a
+time. An empty table of documents gives no rows, one of items hits nothing. Input columns that clash with an
 output column are replaced.
 """
 

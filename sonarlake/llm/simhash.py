@@ -6,8 +6,8 @@ inequality and add up to the whole, so two fingerprints within radius r have vec
 at most r apart in sum; branches farther apart are pruned. The top level is the partitioning: a shard is
 a cell of equal half distances, each fingerprint lives in one, and visits as a guest those later cells
 that its ball overlaps. Within a shard the tree goes on by quarters and bytes while a pair of branches is
-large, and leaves are compared exactly. Guests are 20 or 160 small rows for each distinct fingerprint at
-any size of the input.
+large, and leaves are compared exactly. Guests are 20 or 160 small rows for each distinct fingerprint, times the
+parts of the cells that they visit, where those are split.
 
 A shard returns a spanning forest of its links, not the links, so a dense group of n near copies costs n
 rows. Exact copies have merged before. Shards with too many members are split, each part seeing all
@@ -15,7 +15,8 @@ guests. Components of the forests are found by alternating stars.
 
 Defined cases: a null or empty text has no words and fingerprint zero, which links like any other. Texts
 of fewer than four words are one shingle. Rows that repeat are each returned. A null id takes part, but
-is no component id unless all ids of the component are null. An empty table gives no rows. Columns other
+is no component id unless all ids of the component are null. Very long texts are hashed whole, one at a time. Ties
+don't arise, as ids of a component are compared for the least only. An empty table gives no rows. Columns other
 than id and text are ignored by ``components``; ``keep_first`` keeps them all.
 """
 

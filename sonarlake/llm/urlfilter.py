@@ -8,7 +8,8 @@ so the work per URL is bounded by the rule table and not by the URL.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule.
 Repeated rows are each returned. A URL whose path is empty fits only rules with an empty path. Among
-fitting rules the longest (host plus path) wins; between equally long ones ``block`` does. Columns of
+fitting rules the longest (host plus path) wins; between equally long ones ``block`` does. A very long URL is expanded
+by the shapes that rules have only. An empty table of pages or rules gives no rows or no rule. Columns of
 the input that clash with an output column are replaced; all others are kept by ``url_filter``.
 """
 

@@ -95,3 +95,13 @@ def test_no_candidate_is_left_out(spark, docs):
         for k, t in key.items():
             got.setdefault(found.get(k, k), set()).add(t)
         assert {frozenset(g) for g in got.values()} == want
+
+
+def test_names_of_the_plan_are_refused(docs):
+    import pytest
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError, match="__key"):
+        neardup.keep_first(docs([(1, "a b c")]).withColumn("__key", F.lit(1)))
+    kept = neardup.keep_first(docs([(1, "a b c"), (2, "a b c"), (3, "d")]).withColumns({"key": F.lit(1), "fp": F.lit(2), "node": F.lit(3), "band": F.lit(4)}))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and {"key", "fp", "node", "band"} <= set(kept.columns)
