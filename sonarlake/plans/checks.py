@@ -353,9 +353,9 @@ def review_ledger(spark, d):
 _SAD = emotion.INSTRUCTIONS["sad"]
 
 
-@query(f"SELECT doc_id, CAST(steps AS INTEGER) AS steps, CASE WHEN doc_id % 2 = 0 THEN '{_SAD}' ELSE '{emotion.INSTRUCTIONS['neutral']}' END AS instruct FROM documents JOIN (SELECT unnest([10, 20, 30]) AS steps) ON lang = 'en'")
+@query(f"SELECT doc_id, CAST(steps AS INTEGER) AS steps, CASE WHEN doc_id % 2 = 0 THEN '{_SAD}' ELSE '{emotion.INSTRUCTIONS['neutral']}' END AS instruct FROM documents, (SELECT unnest([10, 20, 30]) AS steps)")
 def benchmark_schedule(spark, d):
-    cases = _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "失落").otherwise("?").alias("emotion"))
+    cases = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "失落").otherwise("?").alias("emotion"))
     return workflows.benchmark_plan(cases, [10, 20, 30]).select("doc_id", "steps", "instruct")
 
 

@@ -241,12 +241,12 @@ def false_retry_rate(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT d.doc_id, sha256(d.text) AS audio_sha256 FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND d.lang = 'en' AND trim(d.text) <> '')
+    WITH s AS (SELECT d.doc_id, sha256(d.text) AS audio_sha256 FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND trim(d.lang) <> '' AND trim(d.text) <> '')
     SELECT audio_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM s GROUP BY audio_sha256""")
 def calibration_samples(spark, d):
     s = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
     usable = validate.calibration_sample(F.col("quality") == 1, F.col("lang"), F.col("text"), F.col("quality") == 1, F.col("text"))
-    rows = s.where((F.col("lang") == "en") & usable).select("doc_id", F.sha2("text", 256).alias("audio_sha256"))
+    rows = s.where(usable).select("doc_id", F.sha2("text", 256).alias("audio_sha256"))
     return rows.groupBy("audio_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
