@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarlake.functions import signal
@@ -84,6 +84,19 @@ def join_segments(segments: DataFrame, group: list[str], pos: str, samples: str,
     return segments.groupBy(*group).agg(signal.concat_ordered(parts, F.lit(rate), pause).alias("samples"), F.count("*").alias("segments"))
 
 
+def joined_chunks(segments: DataFrame, group: list[str], pos: str, samples: str, rate: int, pause: float = 0.0, chunk: str = "chunk") -> DataFrame:
+    """The same clip of each group as chunks in order, a segment each, with the pause in front of all but the first.
+
+    No list of segments is built, so a clip may be longer than a row: ``clips.parts`` makes a file of the chunks, ``partial.clip_stats``
+    their statistics.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(pos))
+    gap = F.array_repeat(F.lit(0.0), int(round(rate * pause)))
+    body = F.col(samples).cast("array<double>")
+    rows = segments.select(*group, place.alias(chunk), body.alias("samples"))
+    return rows.withColumn("samples", F.when(F.col(chunk) > 1, F.concat(gap, "samples")).otherwise(F.col("samples")))
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, dead letters) by ``error_code``."""
     return rows.where("error_code IS NULL"), rows.where("error_code IS NOT NULL")

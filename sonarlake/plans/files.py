@@ -227,6 +227,15 @@ def clip_files_inspected(spark, d):
                          F.array_contains("qc.warnings", "waveform_discontinuity").alias("discontinuous"))
 
 
+@query(f"""
+    WITH v AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    c AS (SELECT label AS k, flatten(list(CASE WHEN n > 1 THEN list_transform(range(0, 8), lambda i: 0.0::DOUBLE) || a ELSE a END ORDER BY vec_id)) AS a FROM v GROUP BY label), """ + _WHOLE.replace("{rate}", str(RATE)))
+def wave_join_parts(spark, d):
+    """Clips of all vectors of a label, with half a second between them, as chunks and never as a list."""
+    chunks = lifecycle.joined_chunks(_t(spark, d, "embeddings"), ["label"], "vec_id", "embedding", RATE, 0.5).withColumn("sample_rate", F.lit(RATE))
+    return partial.clip_stats(chunks, ["label"], silence=SILENT, edge=ACTIVE).select(F.col("label").alias("clip"), *_stat_columns(F.col("stats")))
+
+
 # ---- merges and ledgers ------------------------------------------------------------------------------
 
 _CHANGE = "CASE WHEN c_custkey % 5 = 0 THEN 'replace' WHEN c_custkey % 7 = 1 THEN 'same' WHEN c_custkey % 11 = 2 THEN 'conflict' WHEN c_custkey % 13 = 3 THEN 'insert' END"
