@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sonarlake.functions import align, emotion, identity, lexicon, reading, signal
 from sonarlake.operators import catalog, lifecycle, policy, report, validate
 from sonarlake.plans import workflows
-from sonarlake.plans.queries import _A, _D, _PAIRS, _PRIORITY, RATE, SILENT, _clips, _pairs, _sql_integer, _t, query, r6
+from sonarlake.plans.queries import _A, _D, _PAIRS, _PRIORITY, RATE, SILENT, _clips, _pairs, _sql_integer, _t, _voices, query, r6
 from sonarlake.sources import readers, sinks
 
 # ---- rules of requests -----------------------------------------------------------------------------
@@ -488,3 +488,32 @@ def wave_resampled(spark, d):
     rows = _t(spark, d, "embeddings").select("vec_id", b.alias("b"))
     energy = F.aggregate("b", F.lit(0.0), lambda s, x: s + x * x)
     return rows.select("vec_id", F.size("b").alias("samples"), r6(signal.peak(F.col("b"))).alias("peak"), r6(energy).alias("energy"))
+
+
+# ---- episodes ----------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH l AS (SELECT *, conv_id || '-' || turn AS id, conv_id % 27 AS voice, CASE turn % 3 WHEN 0 THEN '失落' WHEN 1 THEN '怪' END AS emotion FROM conversations),
+    x AS (SELECT *, CASE WHEN turn % 3 = 0 THEN 'sad' ELSE 'neutral' END AS asked, voice < 25 AS there FROM l)
+    SELECT id, CASE WHEN there THEN asked ELSE 'neutral' END AS style, CASE WHEN there THEN 'ultimate' ELSE 'controllable' END AS mode,
+           CASE WHEN there THEN NULL WHEN turn % 4 = 0 THEN 'mine' WHEN turn % 3 = 0 THEN '{_SAD}' ELSE '{emotion.INSTRUCTIONS['neutral']}' END AS instruct,
+           CASE WHEN turn % 3 = 1 THEN 'Unknown emotion 怪; neutral fallback' END AS emotion_warning,
+           array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), lambda w: CASE w WHEN 'the' THEN 'ze' WHEN 'la' THEN 'lah' ELSE w END), '') AS text,
+           CASE WHEN NOT there THEN 'voice_not_found' END AS error_code FROM x""")
+def episode_lines(spark, d):
+    """Lines routed to styles of the catalogue and rewritten by a project's lexicon."""
+    t = F.col("turn")
+    lines = _t(spark, d, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("conv_id") % 27).cast("string").alias("character_id"), F.lit(None).cast("string").alias("style"),
+        F.when(t % 3 == 0, "失落").when(t % 3 == 1, "怪").alias("emotion"), "text", F.when((t % 4 == 0) & (F.col("conv_id") % 27 >= 25), "mine").alias("instruct"))
+    voices = _voices(spark, d).withColumn("id", F.col("id").cast("string"))
+    entries = {"the": ("ze", None, None), "la": ("lah", None, None)}
+    return workflows.prepare_episode(lines, voices, entries, profile="none", exact=True).select("id", "style", "mode", "instruct", "emotion_warning", "text", "error_code")
+
+
+@query("""SELECT event_type, coalesce(CASE WHEN event_type <> 'view' THEN event_type END, 'unconfigured') AS backend_id, sha256('{"k": ' || json_extract_string(props, '$.k') || '}') AS config_sha256, count(*) AS events FROM events GROUP BY ALL""")
+def verifier_rows(spark, d):
+    config = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    who = align.verifier_identity(F.when(F.col("event_type") != "view", F.col("event_type")), config)
+    return _t(spark, d, "events").select("event_type", who.alias("w")).select("event_type", "w.*").groupBy("event_type", "backend_id", "config_sha256").agg(F.count("*").alias("events"))
