@@ -100,11 +100,12 @@ def long_text_files(spark, d):
 
 @query("""SELECT s_name AS stem, CAST(octet_length(encode(s_name || s_nationkey)) AS BIGINT) AS length, CASE s_suppkey % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' END AS qc FROM supplier""")
 def sidecar_files(spark, d):
-    """Clips and the metadata beside them meet by the path without its ending; every third clip has none."""
-    rows = _t(spark, d, "supplier")
-    clip = rows.select(F.concat("s_name", F.lit(".wav")).alias("file"), F.concat("s_name", "s_nationkey").alias("body"))
-    side = rows.where("s_suppkey % 3 < 2").select(F.concat("s_name", F.lit(".json")).alias("file"), F.to_json(F.struct(F.col("s_name").alias("output"), F.struct(F.when(F.col("s_suppkey") % 3 == 0, "PASS").otherwise("WARN").alias("status")).alias("qc"))).alias("body"))
-    where = _documents(spark, "takes", ordered.document(clip.unionByName(side), ["file"], ["file"], F.col("body"))).partition("/data/")[0]
+    """Clips and the metadata beside them meet by the path without its ending; every third clip has none. Names that repeat go to folders of their own."""
+    take = F.row_number().over(Window.partitionBy("s_name").orderBy("s_suppkey"))
+    rows = _t(spark, d, "supplier").withColumn("take", take)
+    clip = rows.select("take", F.concat("s_name", F.lit(".wav")).alias("file"), F.concat("s_name", "s_nationkey").alias("body"))
+    side = rows.where("s_suppkey % 3 IN (0, 1)").select("take", F.concat("s_name", F.lit(".json")).alias("file"), F.to_json(F.struct(F.col("s_name").alias("output"), F.struct(F.when(F.col("s_suppkey") % 3 == 0, "PASS").otherwise("WARN").alias("status")).alias("qc"))).alias("body"))
+    where = _documents(spark, "takes", ordered.document(clip.unionByName(side), ["take", "file"], ["file"], F.col("body"))).partition("/data/")[0]
     found = readers.files(spark, where).select(readers.stem(F.col("path")).alias("stem"), "length")
     meta = readers.candidates(spark, where).select("stem", "qc.status")
     return found.join(meta, "stem", "left").select(F.regexp_extract("stem", "([^/]*)$", 1).alias("stem"), "length", F.col("status").alias("qc"))

@@ -240,7 +240,8 @@ def finished(root: str, batch: str) -> bool:
 def write_files(rows: DataFrame, root: str, name: str = "name", content: str = "content", order: str | None = None, batch: str = "0", fresh: bool = False) -> DataFrame:
     """Writes rows as files and returns the batch's list of them; the rows of a name are its parts, by ``order``.
 
-    fresh: the caller knows that no earlier batch has these names, so they aren't looked up.
+    Names that differ in their ending only are one task's, so such files lie in one folder, as readers of a clip and the metadata
+    beside it expect. fresh: the caller knows that no earlier batch has these names, so they aren't looked up.
     """
     spark = rows.sparkSession
     there = written(spark, root).select("name")
@@ -248,6 +249,7 @@ def write_files(rows: DataFrame, root: str, name: str = "name", content: str = "
     clash = named.select("name").distinct().join(there, "name", "left_semi").first() if not fresh and there.head(1) else None
     if clash:
         raise FileExistsError(errno.EEXIST, "already written", clash["name"])
-    dealt = named.repartition("name").sortWithinPartitions("name", "_order").select("name", "content")
+    beside = F.regexp_replace("name", r"\.[^./]*$", "")
+    dealt = named.repartition(beside).sortWithinPartitions("name", "_order").select("name", "content")
     dealt.write.format(FORMAT).option("batch", batch).mode("append").save(root)
     return written(spark, root).where(F.col("batch") == batch)

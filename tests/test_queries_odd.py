@@ -23,3 +23,16 @@ def test_prices_of_any_value(spark, tmp_path):
     values = [-0.0, 0.0, -0.004, 1.005, 0.285, -3.335, 17.0, 9999.995, 4480.835, None, 1234.5]
     rows = list(enumerate(values))
     same_as_sql(spark, tmp_path, "number_reading_price", part=("p_partkey long, p_retailprice double", rows), customer=("c_custkey long, c_acctbal double", rows))
+
+
+def test_sidecars_of_many_tasks(spark, tmp_path):
+    """Each clip meets its metadata, whichever task wrote it; names that repeat, and a negative key."""
+    rows = [(k, f"Supplier#{k % 40:09d}", k % 25, 1.0) for k in range(-1, 60)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same_as_sql(spark, tmp_path, "sidecar_files", supplier=("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", rows))
+        unique = [(k, f"Supplier#{k:09d}", k % 25, 1.0) for k in range(60)]
+        got = same_as_sql(spark, tmp_path, "sidecar_files", supplier=("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", unique))
+        assert got["qc"].notna().sum() == 40
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
