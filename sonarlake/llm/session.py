@@ -10,27 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from sonarlake import ship
-from sonarlake.shared import checkpointed, shared_dir
+from sonarlake.shared import checkpointed, shared_dir, small_batches
 
 __all__ = ["SLICE", "checkpointed", "fresh_dir", "map_slices", "shared_dir", "small_batches"]
 
 #: Rows of a batch that a Python stage works on at once.
 SLICE = 256
-#: Bytes of an Arrow batch, where the session leaves Spark's own limit of 64 MB: buffers double as they grow and are copied on
-#: both sides of the pipe, so a batch of texts takes several times its size outside the heap.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Batches of texts at most BATCH_BYTES long, unless the session says otherwise."""
-    if spark.conf.get(BATCH_KEY).rstrip("b") == str(BATCH_DEFAULT):
-        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
-
-
 def map_slices(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose batches are cut to at most SLICE rows, so that long texts don't pile up."""
 
