@@ -2,12 +2,13 @@
 
 Base rules look at one document. The cross-document rule hashes the normalised lines of a document,
 counts in how many distinct documents of the same host each line stands, takes lines above the limit
-as removed, and rejects documents that lose more than a share of their words.
+out of the texts, and rejects documents that lose more than a share of their words. Repeats of a line go with it, and lines
+without a word stay; the share is that of distinct lines.
 
 Defined cases: a null text has no words and fails the base rules. A null host is a host of its own.
 Exact copies on one host count as one document, so a document is not lost for having copies. Repeated
 rows are judged alike and all returned. Very long texts are judged whole, in one row. An empty table gives no rows. Line order, ties and extra columns have no influence; the
-result carries ``id`` and the columns below only.
+result carries ``id`` and the columns below only. ``text_left`` of a null text is null.
 """
 
 from __future__ import annotations
@@ -37,9 +38,19 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
 
+def _normal(line: Column) -> Column:
+    return F.lower(F.btrim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without its lines of these hashes; without hashes the text itself."""
+    left = F.filter(F.split(text, "\n"), lambda x: (_normal(x) == "") | ~F.array_contains(hashes, F.xxhash64(_normal(x))))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
 def _line_rows(text: Column) -> Column:
     """Distinct normalised lines as (hash, words)."""
-    normal = F.transform(lines_of(text), lambda x: F.lower(F.btrim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " "))))
+    normal = F.transform(lines_of(text), _normal)
     return F.transform(F.array_distinct(normal), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("w")))
 
 
@@ -94,17 +105,18 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """id, the base columns, ``n_line_words`` and ``n_removed_words`` (words of distinct lines), ``kept``."""
+    """id, the base columns, ``n_line_words`` and ``n_removed_words`` (words of distinct lines), ``kept``, ``text_left`` (without the host's common lines)."""
     name = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
     body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(F.col(id), name.alias("_host"), body.alias("_text"), F.xxhash64(body).alias("_fp"))
-    base = base_columns(narrow, "_text").drop("_text")
+    narrow = docs.select(F.col(id), name.alias("_host"), body.alias("_text"), F.xxhash64(body).alias("_fp"), F.col(text).isNull().alias("_none"))
+    base = base_columns(narrow, "_text")
     # Copies of a document on a host give equal rows; these merge before the shuffle and count once.
     lines = narrow.select("_host", "_fp", F.explode(_line_rows(F.col("_text"))).alias("x")).select("_host", "_fp", "x.h", "x.w").distinct()
     sizes = narrow.select("_host", "_fp").distinct().groupBy("_host").agg(F.count("*").alias("docs"))
     counts = lines.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     common = counts.join(sizes, "_host").where(F.col("n") > SHARE * F.col("docs")).select("_host", "h")
-    removed = lines.join(common, ["_host", "h"]).groupBy("_host", "_fp").agg(F.sum("w").alias("n_removed_words"))
+    removed = lines.join(common, ["_host", "h"]).groupBy("_host", "_fp").agg(F.sum("w").alias("n_removed_words"), F.collect_set("h").alias("_common"))
     out = base.join(removed, ["_host", "_fp"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     depleted = F.col("n_removed_words") > MAX_LOSS * F.col("n_line_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_fp")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumn("text_left", F.when(~F.col("_none"), without_lines(F.col("_text"), F.col("_common"))))
+    return out.drop("_host", "_fp", "_text", "_none", "_common")

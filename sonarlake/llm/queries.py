@@ -27,7 +27,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_read(spark, sf_dir, "documents"))
+    return quality.quality_rules(_read(spark, sf_dir, "documents")).drop("text_left")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,9 @@ def _repair_sql() -> str:
                            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, r, c
                     FROM kinds, (SELECT unnest([1, 2]) AS c) WHERE kind <> 0 AND (c = 1 OR kind = 3)),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r, c) AS i, substr(role, 1, 1) AS first,
-                          regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final FROM damaged),
+                          regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS final FROM damaged),
         rows AS (SELECT *, CASE WHEN final = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN final NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
                         lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS pair FROM placed),
         turns AS (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS extra FROM rows),
