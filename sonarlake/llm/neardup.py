@@ -1,8 +1,12 @@
-"""Near-duplicates of 0.8 Jaccard similarity or more on five-word shingles, by SimHash with confirmation.
-
-A text's row holds its 64-bit SimHash of five-word shingles and BANDS hashes of four shingle minima each. Texts that
-share a band form a block; in a block, pairs at SimHash distances of at most RADIUS are candidates, and candidates of
-0.8 or more link. The first round proposes each text with its three nearest earlier ones and with one of a tree of
+"""Near-duplicates of 0.8 Jaccard similarity or more on five-word shingles, by SimHash and vantage-point trees, with confirmation.
+
+A text's row holds its 64-bit SimHash of five-word shingles and TREES short ones of 32 further bits each, two in a word.
+Each short one has a vantage-point tree as ``simhash`` has it (``tree_links``): the top level is the partitioning, a cell of equal distances
+to the tree's vantage point, and each text visits as a guest the later cells within NEAR; inside a task the tree goes on by blocks of 8 and
+4 bits, far branches are pruned, leaves are compared exactly. Texts within NEAR in a tree whose 96 other bits differ in at most WIDE are linked, and
+those that links connect form a block; tasks return spanning forests, so a dense group of n texts returns n rows. In a block, pairs at
+SimHash distances of at most RADIUS are candidates, and candidates of 0.8 or more link.
+The first round proposes each text with its three nearest earlier ones and with one of a tree of
 fan-out FAN, so a dense block of n texts proposes O(n) pairs, which are confirmed on the texts. Blocks with candidates
 that the first round left out come again: of those only candidates between different components are still open.
 Members that have one (``unsettled``) meet again with their sets of shingles (``settle``), all of a block's members
@@ -16,8 +20,12 @@ outside the largest component visit every part, in shares of GRAMS shingles. A b
 of many texts that are no copies of each other costs pairs of members within its parts, and their sets are read once for
 each part.
 
-Two texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**4)**10 = 0.995, and their SimHash distance is
-about 10 of 64 bits, with a deviation of 3.
+At similarity 0.8 a bit of SimHash differs with probability acos(0.889) / pi = 0.152. So two such texts are within 4 of 32
+bits in one tree with probability 0.455 and in one of ten with 0.998; their SimHash distance is about 10 of 64 bits, with a deviation of 3.
+Of unrelated texts a tree leaves one pair in 10**5, and the 96 other bits one in 30,000 of these.
+
+``similar_components`` takes blocks of any kind, as lists of numbers for each row. ``sketch`` and ``_rows`` give others, bands of four shingle minima;
+``keep_first`` doesn't use them.
 
 Defined cases: one row of each component stays, also where ids repeat or are null. A text of fewer than five words is one
 shingle; null, empty and blank texts have the same empty set. Very long texts are sketched whole, one at a time. Of equal
@@ -32,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonarlake.llm import simhash
 from sonarlake.llm.graph import connected_components
 from sonarlake.llm.session import checkpointed, map_slices
 from sonarlake.llm.text import HashMemo, gram_hashes, mix, words_lower
@@ -42,6 +51,13 @@ SHINGLE, LEAST, RADIUS, BANDS, ROWS, NEAREST, FAN, BLOCK = 5, 0.8, 20, 10, 4, 3,
 TILE, HELD, GRAMS = 1 << 22, 1 << 18, 1 << 20
 #: Rows of bands that a task takes at once.
 SHARE = 50_000
+#: Trees, differing bits within one and of the 96 others; members of a cell before it is split, texts before cells go by halves.
+TREES, NEAR, WIDE, CELL, FINE_FROM = 10, 4, 28, 500_000, 3_000_000
+#: Pairs of branches that are compared without splitting them.
+LEAF = 1 << 24
+#: Four bits of each byte: a short SimHash, whose blocks are the bytes' lower halves.
+_LOW = 0x0F0F0F0F0F0F0F0F
+_WORDS = mix(np.arange(1, TREES // 2 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -95,6 +111,19 @@ def sketch(text: str | None, memo: HashMemo) -> tuple[int, int, np.ndarray]:
     return len(found), int(np.packbits(2 * bits > len(g), bitorder="little").view("<u8")[0]), bands
 
 
+def prints(text: str | None, memo: HashMemo) -> tuple[int, np.ndarray]:
+    """Distinct shingles, and SimHashes: the 64-bit one, then words that hold two short ones each."""
+    found = grams(text, memo)
+    g = found if len(found) else np.zeros(1, np.uint64)
+    bits = np.zeros(64 * (1 + len(_WORDS)), np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(g), 4096):
+            part = g[at : at + 4096]
+            words = np.concatenate([part[:, None], mix(part[:, None] + _WORDS)], axis=1)
+            bits += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return len(found), np.packbits(2 * bits > len(g), bitorder="little").view("<u8")
+
+
 def _alike(size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether two sets of these sizes can be similar enough."""
     return np.minimum(size[a], size[b]) >= LEAST * np.maximum(size[a], size[b])
@@ -314,6 +343,104 @@ def similar_components(docs: DataFrame, rows: DataFrame, text: str = "text", nea
     return checkpointed(connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
+class _Forest(simhash._Forest):
+    """Unites only places whose other bits are near, too."""
+
+    def __init__(self, fp: np.ndarray, other: np.ndarray):
+        super().__init__(len(fp))
+        self.fp, self.other = fp, other
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(self.fp[a] ^ self.fp[b]) + np.bitwise_count(self.other[a] ^ self.other[b]) <= WIDE
+        super().link(a[near], b[near])
+
+
+def _packed(short: np.ndarray) -> np.ndarray:
+    """Short SimHashes as 32 bits: four bits of each byte moved together."""
+    for by, kept in ((4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        short = (short | (short >> np.uint64(by))) & np.uint64(kept)
+    return short.astype(np.uint32)
+
+
+def _join(short: np.ndarray, packed: np.ndarray, left: np.ndarray, right: np.ndarray, vantage: int, blocks: int, forest: _Forest) -> None:
+    """Links two branches of a tree: large ones are split by finer blocks, far ones pruned, leaves compared exactly in tiles."""
+    if blocks > 8 or len(left) * len(right) <= LEAF:
+        step = max(1, TILE // 32 // max(1, len(right)))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            found = np.flatnonzero(np.bitwise_count(packed[part][:, None] ^ packed[right][None, :]) <= NEAR)
+            if len(found):
+                i, j = np.divmod(found, len(right))
+                forest.link(part[i], right[j])
+        return
+    (dl, gl), (dr, gr) = (simhash._branches(short, side, vantage, blocks) for side in (left, right))
+    for k in range(len(gl)):
+        near = np.flatnonzero(np.abs(dr - dl[k]).sum(axis=1) <= NEAR)
+        if len(near):
+            _join(short, packed, gl[k], np.concatenate([gr[j] for j in near]), vantage, 2 * blocks, forest)
+
+
+def cell_forest(word: np.ndarray, fp: np.ndarray, lives: np.ndarray, tree: int, vantage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, root) of a spanning forest of the links among a cell's members and from them to its guests."""
+    low, high = word & np.uint64(_LOW), (word >> np.uint64(4)) & np.uint64(_LOW)
+    short, other = (high, low) if tree % 2 else (low, high)
+    forest = _Forest(fp, other)
+    home, guests = np.flatnonzero(lives), np.flatnonzero(~lives)
+    packed = _packed(short)
+    _join(short, packed, home, home, vantage, 4, forest)
+    _join(short, packed, home, guests, vantage, 4, forest)
+    roots = forest.up
+    while (roots[roots] != roots).any():
+        roots = roots[roots]
+    moved = np.flatnonzero(roots != np.arange(len(roots)))
+    return moved, roots[moved]
+
+
+def tree_links(rows: DataFrame, cell: int = CELL, fine_from: int = FINE_FROM) -> DataFrame:
+    """(a, b): links between keys, from distinct rows of key, fp, words, that have the components of all links of all trees."""
+    n, least = rows.agg(F.count("*"), F.min(F.struct(F.xxhash64("key").alias("h"), "words"))).first()
+    if not n:
+        return rows.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    # each tree's vantage point is a text's short SimHash
+    points = [((w & 0xFFFFFFFFFFFFFFFF) >> (4 * half)) & _LOW for w in least["words"] for half in (0, 1)]
+    blocks = 1 if n < fine_from else 2
+    width = 64 // blocks
+
+    def placed_in(tree: int) -> Column:
+        word = F.col("words")[tree // 2]
+        away = F.shiftrightunsigned(word, 4 * (tree % 2)).bitwiseAND(F.lit(_LOW)).bitwiseXOR(F.lit(points[tree]))
+        some = F.lit((1 << width) - 1 if blocks > 1 else -1).cast("long")
+        dist = [F.bit_count(F.shiftrightunsigned(away, width * k).bitwiseAND(some)) for k in range(blocks)]
+        return F.struct(F.lit(tree).alias("tree"), word.alias("word"), F.array(*dist).alias("d"))
+
+    code = lambda ds: sum((d * (65**k) for k, d in enumerate(ds)), F.lit(0)).cast("int")
+    placed = rows.select("key", "fp", F.explode(F.array(*map(placed_in, range(TREES)))).alias("t")).select("key", "fp", "t.*")
+    own_cell = code([F.col("d")[k] for k in range(blocks)])
+    counts = placed.groupBy("tree", own_cell.alias("cell")).count()
+    parts = counts.select("tree", "cell", F.ceil(F.col("count") / cell).cast("int").alias("parts"))  # a row for each cell that is in use
+    offsets = [(0,) * blocks, *simhash._offsets(blocks, NEAR)]
+    moved = placed.withColumn("o", F.explode(F.array(*(F.array(*map(F.lit, o)) for o in offsets))))
+    spread = moved.select("tree", code([F.col("d")[k] + F.col("o")[k] for k in range(blocks)]).alias("cell"), "key", "fp", "word", F.forall("o", lambda x: x == 0).alias("home"))
+    # Guests of cells that nobody lives in fall out in the join; a member visits the later parts of its own cell.
+    spread = spread.join(F.broadcast(parts), ["tree", "cell"]).withColumn("own", _own(F.col("parts")))
+    dealt = spread.withColumn("part", F.explode(F.sequence(F.when(F.col("home"), F.col("own")).otherwise(0), F.col("parts") - 1)))
+    dealt = dealt.select("tree", "cell", "part", "key", "fp", "word", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
+
+    def work(group, table):
+        tree, key = group[0].as_py(), table.column("key").to_numpy()
+        word, fp = (table.column(c).to_numpy().view(np.uint64) for c in ("word", "fp"))
+        at, root = cell_forest(word, fp, table.column("home").to_numpy(zero_copy_only=False), tree, points[tree])
+        return pa.table({"a": pa.array(key[at]), "b": pa.array(key[root])})
+
+    return dealt.groupBy("tree", "cell", "part").applyInArrow(work, "a long, b long")
+
+
+def tree_blocks(rows: DataFrame) -> DataFrame:
+    """key, size, fp, bands: rows that the trees link to others, with the number of their block."""
+    found = connected_components(checkpointed(tree_links(rows)))
+    return rows.join(found, F.col("key") == F.col("node")).select("key", "size", "fp", F.array("component").alias("bands"))
+
+
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     def work(batches):
         memo = HashMemo()
@@ -328,12 +455,27 @@ def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return checkpointed(map_slices(keyed, work, "id long, key long, size long, fp long, bands array<long>"))
 
 
+def _printed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    def work(batches):
+        memo = HashMemo()
+        for b in batches:
+            got = [prints(t, memo) for t in b.column(2).to_pylist()]
+            found = np.array([g[1] for g in got], np.uint64).reshape(len(got), 1 + TREES // 2).view(np.int64)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * (TREES // 2), pa.int32()), pa.array(found[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array(found[:, 0]), words], ["id", "key", "size", "fp", "words"])
+
+    keyed = _keyed(docs, text).select(F.col(id).cast("long").alias("id"), F.col("__key").alias("key"), F.col(text).cast("string"))
+    return checkpointed(map_slices(keyed, work, "id long, key long, size long, fp long, words array<long>"))
+
+
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component only: of the least id, null ids last, then of the least key of the text."""
     if taken := [c for c in docs.columns if c.startswith("__")]:
         raise ValueError(f"columns {taken}: names that begin with two underscores are the plan's")
-    rows = _rows(docs, id, text)
-    found = similar_components(docs, checkpointed(rows.dropDuplicates(["key"])), text)
+    rows = _printed(docs, id, text)
+    blocks = checkpointed(tree_blocks(checkpointed(rows.select("key", "size", "fp", "words").dropDuplicates(["key"]))))
+    release(docs.sparkSession)
+    found = similar_components(docs, blocks, text)
     placed = rows.select("id", "key").join(found, F.col("key") == F.col("node"), "left").select("id", "key", F.coalesce("component", "key").alias("component"))
     release(docs.sparkSession)
     least = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.key").alias("__kept"))

@@ -105,3 +105,65 @@ def test_names_of_the_plan_are_refused(docs):
         neardup.keep_first(docs([(1, "a b c")]).withColumn("__key", F.lit(1)))
     kept = neardup.keep_first(docs([(1, "a b c"), (2, "a b c"), (3, "d")]).withColumns({"key": F.lit(1), "fp": F.lit(2), "node": F.lit(3), "band": F.lit(4)}))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and {"key", "fp", "node", "band"} <= set(kept.columns)
+
+
+def _in_a_tree(a, b):
+    """Whether a tree links two rows of fp, words: at most NEAR of its bits and WIDE of the 96 others differ."""
+    halves = [(x >> s) & 0x0F0F0F0F0F0F0F0F for x in (int(p ^ q) for p, q in zip(a[1:], b[1:], strict=True)) for s in (0, 4)]
+    d, fp = [x.bit_count() for x in halves], int(a[0] ^ b[0]).bit_count()
+    return any(d[t] <= neardup.NEAR and fp + d[t ^ 1] <= neardup.WIDE for t in range(neardup.TREES))
+
+
+def test_trees_link_what_all_pairs_link(spark, docs):
+    """Components of the trees' links, with whole and split cells of one or two distances, are those of all pairs."""
+    import numpy as np
+
+    rng, memo = random.Random(17), HashMemo()
+    seeds = [prose(rng, rng.randrange(1, 90)) for _ in range(60)]
+    texts = sorted({_changed(rng, rng.choice(seeds), rng.choice([0, 0.01, 0.02, 0.05])) for _ in range(500)} | {"", "one"})
+    got = np.array([neardup.prints(t, memo)[1] for t in texts])
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if _in_a_tree(got[i], got[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    want = {frozenset(k for k in range(len(texts)) if root(k) == r) for r in {root(i) for i in range(len(texts))}}
+    assert 20 < sum(len(w) > 1 for w in want) and 60 < len(want) < len(texts) - 50
+    rows = spark.createDataFrame([(k, 9, int(g[0].view(np.int64)), g[1:].view(np.int64).tolist()) for k, g in enumerate(got)], "key long, size long, fp long, words array<long>")
+    for cell, fine_from in ((neardup.CELL, neardup.FINE_FROM), (20, neardup.FINE_FROM), (5, 1)):
+        up[:] = range(len(texts))
+        for r in neardup.tree_links(rows, cell, fine_from).collect():
+            a, b = root(r["a"]), root(r["b"])
+            up[max(a, b)] = min(a, b)
+        assert {frozenset(k for k in range(len(texts)) if root(k) == r) for r in {root(i) for i in range(len(texts))}} == want
+
+
+def test_candidates_come_from_the_trees(spark, docs):
+    """Copies of similarity 0.8 or more that share no band of minima with their texts go; the trees link nearly all copies."""
+    rng, memo = random.Random(23), HashMemo()
+    tried, linked, found = 0, 0, []
+    while len(found) < 12:
+        text = prose(rng, 80).split()
+        copy = list(text)
+        for at in (35, rng.choice([0, 1, 2, 3, 77, 78, 79])):
+            copy[at] += "x"
+        pair = " ".join(text), " ".join(copy)
+        if neardup.similarity(*map(neardup.shingles, pair)) < neardup.LEAST:
+            continue
+        one, two = (neardup.prints(t, memo)[1] for t in pair)
+        near = _in_a_tree(one, two)
+        tried, linked = tried + 1, linked + near
+        bands = [set(neardup.sketch(t, memo)[2].tolist()) for t in pair]
+        if near and int(one[0] ^ two[0]).bit_count() <= neardup.RADIUS and not bands[0] & bands[1]:
+            found.append(pair)
+    assert tried > 500 and linked / tried > 0.985
+    d = docs([(2 * k + h, t) for k, p in enumerate(found) for h, t in enumerate(p)]).select(*corpus_pipeline.COLUMNS)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()} == set(range(0, 24, 2))
+    print("linked", linked, "of", tried)
