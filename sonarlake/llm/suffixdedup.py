@@ -34,6 +34,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +141,28 @@ def _loosen(data: bytes) -> list[np.ndarray]:
 
 def _spans_of_docs(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """(doc, merged spans as bytes) of each document; rows in the order of documents."""
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for part in np.split(np.arange(len(doc)), cuts):
-        if len(part):
-            s, e = merge(starts[part], ends[part])
-            yield int(doc[part[0]]), np.stack([s, e], axis=1).astype("<i8").tobytes()
+    if not len(doc):
+        return
+    # Documents one after the other on one line, with a gap between them, so that all are merged at once.
+    rank = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+    room = int(ends.max()) + 2
+    s, e = merge(starts + rank * room, ends + rank * room)
+    owner = s // room
+    spans = np.stack([s - owner * room, e - owner * room], axis=1).astype("<i8")
+    edges = np.searchsorted(owner, np.arange(rank[-1] + 2)).tolist()
+    for k, a, b in zip(doc[np.flatnonzero(np.diff(rank, prepend=-1))].tolist(), edges, edges[1:], strict=False):
+        yield k, spans[a:b].tobytes()
+
+
+def _later(groups: Iterable[list[int]], ids: np.ndarray) -> np.ndarray:
+    """Of groups of numbers, those whose id is larger than the least of their group."""
+    groups = list(groups)
+    sizes = np.fromiter(map(len, groups), np.int64, len(groups))
+    flat = np.fromiter(chain.from_iterable(groups), np.int64, int(sizes.sum()))
+    if not len(flat):
+        return flat
+    least = np.minimum.reduceat(ids[flat], np.cumsum(sizes) - sizes)
+    return flat[ids[flat] > np.repeat(least, sizes)]
 
 
 class _Flush:
@@ -203,10 +222,8 @@ class _Flush:
         out = np.zeros(len(doc), bool)
         sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         places = (np.cumsum(sizes) - sizes)[doc[some]] + pos[some]
-        who = ids[doc[some]]
-        for group in equal_strings(np.frombuffer(b"".join(self.texts), np.uint8), places, size[some].astype(np.int64) + SPAN):
-            group = np.array(group)
-            out[some[group[who[group] > who[group].min()]]] = True
+        groups = equal_strings(np.frombuffer(b"".join(self.texts), np.uint8), places, size[some].astype(np.int64) + SPAN)
+        out[some[_later(groups, ids[doc[some]])]] = True
         return out
 
     def emit(self):
@@ -452,13 +469,7 @@ def _window_hits(group: pa.Table):
     windows = sizes - SPAN + 1
     owner = np.repeat(np.arange(len(texts)), windows)
     places = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[owner]
-    hit = [np.zeros(0, np.int64)]
-    for leaf in equal_strings(np.frombuffer(b"".join(texts), np.uint8), places, SPAN):
-        i = ids[owner[leaf]]
-        later = i > i.min()
-        if later.any():
-            hit.append(np.array(leaf)[later])
-    hit = np.concatenate(hit)
+    hit = _later(equal_strings(np.frombuffer(b"".join(texts), np.uint8), places, SPAN), ids[owner])
     hit = hit[ask[owner[hit]]]
     who = owner[hit]
     where = pos[who] + places[hit] - starts[who]
@@ -482,11 +493,8 @@ def _piece_hits(group: pa.Table):
             owner.append(m)
     owner = np.array(owner, np.int64)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    hit = [np.zeros(0, np.int64)]
-    for leaf in equal_strings(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes):
-        who = owner[leaf]
-        hit.append(who[(ids[who] > ids[who].min()) & (role[who] == WHOLE)])
-    hit = np.concatenate(hit)
+    hit = owner[_later(equal_strings(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes), ids[owner])]
+    hit = hit[role[hit] == WHOLE]
     return keys[hit], pos[hit], pos[hit] + np.fromiter((len(texts[n]) for n in hit.tolist()), np.int64, len(hit))
 
 

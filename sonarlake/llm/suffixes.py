@@ -1,6 +1,7 @@
 """Deep-shallow sorting of strings in a text, for one task's worth of text.
 
-A multikey quicksort orders strings by eight bytes at a time down to a shallow depth. Strings that still agree
+A multikey sort orders strings by eight bytes at a time down to a shallow depth: parts that agree so far are sorted by
+their next eight bytes, all parts of a depth in one numpy sort. Strings that still agree
 share a long prefix; those groups go into a blind trie each, which keeps branching depths only: a string walks
 down blindly, is compared once with the leaf it meets, and branches off where the two first differ. Strings that
 agree throughout end in one leaf, so equal strings are found as neighbours in the sorted order and nowhere else.
@@ -13,8 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that the quicksort compares, and the size of a part that is sorted directly.
-SHALLOW, SMALL = 24, 256
+#: Bytes that the multikey sort compares.
+SHALLOW = 24
 #: What stands after the end of a string.
 _END = -1
 
@@ -80,36 +81,35 @@ class BlindTrie:
                 yield node[1]
 
 
-def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Big-endian value of the eight bytes at each of some places."""
-    return text[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+def _shallow_order(text: np.ndarray, places: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the places in the order of their first ``shallow`` bytes, and where in it a part that agrees in them begins.
+
+    Eight bytes at a time: a part whose bytes so far agree is sorted by its next word, and all parts of a depth at once. What
+    stands alone has its place and is not looked at again.
+    """
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(text) + 1, ">u8", padded, strides=(1,))  # the word at each place
+    order, new = np.arange(len(places)), np.zeros(len(places), bool)
+    new[:1] = True
+    for depth in range(0, shallow, 8):
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        # The last word may begin in bytes that agree.
+        key = words[places[order[tied]] + max(0, min(depth, shallow - 8))].astype(np.uint64)
+        if shallow < 8:
+            key >>= np.uint64(8 * (8 - shallow))
+        sub = np.lexsort((key, np.cumsum(new)[tied])) if depth else np.argsort(key, kind="stable")
+        order[tied], key = order[tied[sub]], key[sub]
+        new[tied[1:]] |= key[1:] != key[:-1]
+    return order, np.flatnonzero(new)
 
 
 def shallow_groups(text: np.ndarray, places: np.ndarray, shallow: int = SHALLOW):
     """Yields the numbers of the places in the order of their text, as lists that agree in their first ``shallow`` bytes."""
-    whole = text.tobytes()
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    stack = [(np.arange(len(places)), 0)]
-    while stack:
-        part, depth = stack.pop()
-        if len(part) == 1 or depth >= shallow:
-            yield part.tolist()
-        elif len(part) <= SMALL:
-            keyed = sorted([(whole[p + depth : p + shallow], k) for p, k in zip(places[part].tolist(), part.tolist(), strict=True)])
-            last, run = keyed[0][0], []
-            for key, k in keyed:
-                if key != last:
-                    yield run
-                    last, run = key, []
-                run.append(k)
-            yield run
-        else:
-            key = _words(padded, places[part] + depth)
-            some = np.sort(key[:: max(1, len(key) // 9)])
-            pivot = some[len(some) // 2]
-            less, more = key < pivot, key > pivot
-            same = ~(less | more)
-            stack += [(p, d) for p, d in ((part[more], depth), (part[same], depth + 8), (part[less], depth)) if len(p)]
+    order, first = _shallow_order(text, places, shallow)
+    for part in np.split(order, first[1:]):
+        yield part.tolist()
 
 
 def equal_strings(text: np.ndarray, places: np.ndarray, sizes: np.ndarray | int, shallow: int = SHALLOW):
@@ -119,12 +119,12 @@ def equal_strings(text: np.ndarray, places: np.ndarray, sizes: np.ndarray | int,
     """
     whole = text.tobytes()
     at, ends = places.tolist(), (places + sizes).tolist()
-    least = int(np.min(sizes)) if len(places) else 0
-    for group in shallow_groups(text, places, min(shallow, least)):
-        if len(group) < 2:
-            continue
+    order, first = _shallow_order(text, places, min(shallow, int(np.min(sizes)) if len(places) else 0))
+    size = np.diff(first, append=len(order))
+    first, order = first[size > 1], order.tolist()
+    for a, b in zip(first.tolist(), (first + size[size > 1]).tolist(), strict=True):
         trie = BlindTrie()
-        for k in group:
+        for k in order[a:b]:
             trie.insert(whole[at[k] : ends[k]], k)
         for leaf in trie.leaves():
             if len(leaf) > 1:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,49 @@ def test_deep_shallow_order():
         assert suffixes.common_prefix(a, b) == n
 
 
+def test_python_steps_only_where_strings_agree():
+    """Strings that stand alone after the multikey sort, and documents with spans, take no steps of Python of their own."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 256, 20_050, dtype=np.uint8)
+    text[15_000:15_100] = text[2_000:2_100]
+    doc = np.repeat(np.arange(2_000), 3)
+    starts = rng.integers(0, 300, len(doc))
+    ends = starts + rng.integers(50, 120, len(doc))
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += 1
+
+    sys.setprofile(count)
+    try:
+        found = list(suffixes.equal_strings(text, np.arange(20_000), 50))
+        sorting, steps = steps, 0
+        spans = list(suffixdedup._spans_of_docs(doc, starts, ends))
+    finally:
+        sys.setprofile(None)
+    assert sorted(found) == [[p, p + 13_000] for p in range(2_000, 2_051)]
+    assert sorting < 10_000 and steps < 10_000
+    for d, packed in spans:
+        want = suffixdedup.merge(starts[doc == d], ends[doc == d])
+        assert np.frombuffer(packed, "<i8").reshape(-1, 2).T.tolist() == [x.tolist() for x in want]
+    assert [d for d, _ in spans] == list(range(2_000))
+    assert not list(suffixdedup._spans_of_docs(doc[:0], starts[:0], ends[:0]))
+
+
+@pytest.mark.parametrize("shallow", [1, 5, 8, 13, 16, 24, 31])
+def test_shallow_parts_of_any_depth(shallow):
+    rng = random.Random(shallow)
+    text = "".join(rng.choice("ab\x00\x7f") if rng.random() < 0.9 else rng.choice("xyzé") for _ in range(1500)) + "abab" * 50
+    raw = np.frombuffer(text.encode(), np.uint8)
+    whole, places = raw.tobytes(), np.arange(len(raw) - shallow + 1)
+    got = list(suffixes.shallow_groups(raw, places, shallow))
+    keys = [whole[g[0] : g[0] + shallow] for g in got]
+    assert keys == sorted(set(keys)) and sorted(p for g in got for p in g) == places.tolist()
+    assert all(whole[p : p + shallow] == key for g, key in zip(got, keys, strict=True) for p in g)
+    assert all(g == sorted(g) for g in got)
+
+
 def test_hashes_remove_nothing(docs, monkeypatch):
     """Where all hashes agree by chance, texts are compared and stay."""
     monkeypatch.setattr(suffixdedup, "_decide", lambda gram, run, id: (np.where(id > id.min(), id.argmin(), -1), np.full(len(id), len(id)), np.zeros(len(id), bool), np.zeros(len(id), bool)))
