@@ -34,8 +34,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from array import array
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -156,9 +156,11 @@ def _spans_of_docs(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def _later(groups: Iterable[list[int]], ids: np.ndarray) -> np.ndarray:
     """Of groups of numbers, those whose id is larger than the least of their group."""
-    groups = list(groups)
-    sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-    flat = np.fromiter(chain.from_iterable(groups), np.int64, int(sizes.sum()))
+    sizes, flat = array("q"), array("q")
+    for group in groups:
+        sizes.append(len(group))
+        flat.extend(group)
+    sizes, flat = np.array(sizes, np.int64), np.array(flat, np.int64)
     if not len(flat):
         return flat
     least = np.minimum.reduceat(ids[flat], np.cumsum(sizes) - sizes)
@@ -389,9 +391,8 @@ def _chains(start: np.ndarray, end: np.ndarray, fan: np.ndarray, *same: np.ndarr
 
 
 def _meeting(k: int, block: int, share: int, buckets: int) -> int:
-    """The group in which pieces meet the block of the document that they name."""
-    x = np.array([k & 0xFFFFFFFFFFFFFFFF], np.uint64) ^ np.uint64((block << 20 | share) & 0xFFFFFFFFFFFFFFFF)
-    return buckets + int(mix(x)[0] % np.uint64(buckets))
+    """The group in which pieces meet the block of the document that they name. Hashes of whole numbers are the same in all workers."""
+    return buckets + hash((k, block, share)) % buckets
 
 
 #: What is known of an asked text, besides its group in front and its bytes at the end.

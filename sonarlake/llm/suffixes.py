@@ -123,9 +123,14 @@ def equal_strings(text: np.ndarray, places: np.ndarray, sizes: np.ndarray | int,
     size = np.diff(first, append=len(order))
     first, order = first[size > 1], order.tolist()
     for a, b in zip(first.tolist(), (first + size[size > 1]).tolist(), strict=True):
-        trie = BlindTrie()
-        for k in order[a:b]:
-            trie.insert(whole[at[k] : ends[k]], k)
-        for leaf in trie.leaves():
-            if len(leaf) > 1:
-                yield leaf
+        part = order[a:b]
+        strings = [whole[at[k] : ends[k]] for k in part]
+        if strings.count(strings[0]) == len(part):  # the trie has one leaf, which all were compared with
+            yield part
+        elif len(part) > 2:  # two that differ are two leaves
+            trie = BlindTrie()
+            for s, k in zip(strings, part, strict=True):
+                trie.insert(s, k)
+            for leaf in trie.leaves():
+                if len(leaf) > 1:
+                    yield leaf
