@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonarlake.llm.session import checkpointed, map_slices
+from sonarlake.llm.session import KEPT, checkpointed, map_slices
 from sonarlake.llm.text import UPPER_TO_LOWER, HashMemo, gram_hashes, sliding_min
 
 SPAN, K = 13, 5
@@ -40,6 +40,7 @@ OUTPUT = T.StructType([
 
 _TABLE = bytes(UPPER_TO_LOWER.get(c, c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _MEMO = HashMemo()
+KEPT.append(_MEMO.clear)
 #: Between documents of a batch; part of no item, so no window reaches over it.
 _EDGE = b"\x00"
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.llm import simhash
 from sonarlake.llm.graph import connected_components
-from sonarlake.llm.session import checkpointed, map_slices
+from sonarlake.llm.session import checkpointed, enter_stage, map_slices
 from sonarlake.llm.text import HashMemo, gram_hashes, mix, words_lower
 from sonarlake.shared import release
 
@@ -208,6 +208,7 @@ def _by_share(dealt: DataFrame, shares: int, work) -> DataFrame:
     names = [c for c in dealt.columns if c not in ("band", "part")]
 
     def each(key, table):
+        enter_stage()
         cols = {c: table.column(c).to_numpy() for c in table.column_names}
         order = np.lexsort((cols["key"], cols["part"], cols["band"]))
         cols = {c: v[order] for c, v in cols.items()}
@@ -427,6 +428,7 @@ def tree_links(rows: DataFrame, cell: int = CELL, fine_from: int = FINE_FROM) ->
     dealt = dealt.select("tree", "cell", "part", "key", "fp", "word", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
 
     def work(group, table):
+        enter_stage()
         tree, key = group[0].as_py(), table.column("key").to_numpy()
         word, fp = (table.column(c).to_numpy().view(np.uint64) for c in ("word", "fp"))
         at, root = cell_forest(word, fp, table.column("home").to_numpy(zero_copy_only=False), tree, points[tree])

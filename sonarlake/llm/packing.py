@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonarlake.llm.session import enter_stage
 from sonarlake.llm.tokens import encoder
 
 SEQUENCE, CLOSING_ID = 2048, 1
@@ -132,6 +133,7 @@ def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", room
     dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
 
     def work(key, group):
+        enter_stage()
         enc, ids, owners = encoder(vocabulary), [], []
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         for b in group.to_batches():

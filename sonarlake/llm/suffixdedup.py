@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonarlake.llm.session import map_slices
+from sonarlake.llm.session import enter_stage, map_slices
 from sonarlake.llm.suffixes import equal_strings
 from sonarlake.llm.text import mix, sliding_min
 
@@ -319,6 +319,7 @@ def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarr
 
 def _meet(key, group):
     """Anchors of one bucket: per document the spans that repeat, and the runs whose text is asked for."""
+    enter_stage()
     gram, run, doc, pos, size, ids, keys = [], [], [], [], [], [], []
     dups: list[tuple[int, bytes]] = []
     n = 0
@@ -500,6 +501,7 @@ def _piece_hits(group: pa.Table):
 
 
 def _sort_texts(key, group):
+    enter_stage()
     return _sorted(_unpack(group.column("body").to_pylist()))
 
 

@@ -17,6 +17,8 @@ from pathlib import Path
 
 import numpy as np
 
+from sonarlake.llm.session import KEPT
+
 DEFAULT = "byte_bpe_50k.json"
 #: Texts of other characters are left to the library; their letters and numbers.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f\u2010-\u2027\u20ac]*")
@@ -45,7 +47,7 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids(texts) for one vocabulary file; one instance per worker."""
+    """ids(texts) for one vocabulary file; one instance per worker and stage."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +80,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
+KEPT.append(_ENCODERS.clear)
 
 
 def encoder(path: str | None = None) -> Encoder:
