@@ -52,6 +52,9 @@ from sonarlake.llm.text import mix, sliding_min
 SPAN, K = 50, 16
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
+#: Bits of a side's hash: of runs that share a K-gram only, one pair in so many has its text compared for nothing.
+SIDE_BITS = 16
+SIDE_MASK = np.uint64((1 << SIDE_BITS) - 1)
 #: Bytes of text hashed at once, of text between two emissions of a task, and of text for each bucket.
 CHUNK, FLUSH, BUCKET_BYTES = 1 << 18, 8 << 20, 16 << 20
 #: Bytes of a document that pieces of others name together, and pieces that meet it at once.
@@ -106,10 +109,10 @@ def runs_of(text: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     at = a[new].astype(np.int64)
     gram = mix(h[at])
     sides = np.zeros(len(at), np.int64)
-    # Twelve bits for each side on which some window of the run reaches far enough; 0 where none does.
-    for shift, there, x, y in ((12, at - first >= SIDE, -SIDE, 1 - SIDE), (0, at - last <= SIDE, K, K + 1)):
+    # SIDE_BITS for each side on which some window of the run reaches far enough; 0 where none does.
+    for shift, there, x, y in ((SIDE_BITS, at - first >= SIDE, -SIDE, 1 - SIDE), (0, at - last <= SIDE, K, K + 1)):
         p = at[there]
-        sides[there] |= (1 + (mix(h[p + x] * _M[5] + h[p + y]) % np.uint64(4095)).astype(np.int64)) << shift
+        sides[there] |= (1 + (mix(h[p + x] * _M[5] + h[p + y]) % SIDE_MASK).astype(np.int64)) << shift
     run = mix(mix(window(first)) * _M[7] + window(last) + (last - first).astype(np.uint64))
     return gram, run, sides, first, last
 
@@ -248,8 +251,8 @@ class _Flush:
                 mine = rest[edges[b] : edges[b + 1]] if b + 1 < len(edges) else rest[:0]
                 docs, counts = np.unique(doc[mine], return_counts=True)
                 low = gram[mine].view(np.uint8).reshape(-1, 8)[:, :5]
-                # Five bytes of the run's hash above three of its sides.
-                kind = ((run[mine] << np.uint64(24)) | sides[mine].astype(np.uint64)).astype("<u8")
+                # Four bytes of the run's hash above four of its sides.
+                kind = ((run[mine] << np.uint64(2 * SIDE_BITS)) | sides[mine].astype(np.uint64)).astype("<u8")
                 step = np.diff(pos[mine], prepend=0)
                 yield b, pickle.dumps((low.tobytes(), kind.tobytes(), keys[docs].tobytes(), _squeeze(np.diff(ids[docs], prepend=0), counts, step, size[mine]))), pickle.dumps(found.get(b, []))
         self.clear()
@@ -299,7 +302,7 @@ class _Groups:
 def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each run: the one of a smaller id that it seems to repeat as a whole (or -1) and how many agree; whether its text
     is needed to tell in part; whether it is wanted for that, by itself or as an answer."""
-    left, right = (run >> np.uint64(12)) & np.uint64(4095), run & np.uint64(4095)
+    left, right = (run >> np.uint64(SIDE_BITS)) & SIDE_MASK, run & SIDE_MASK
     kinds = _Groups(mix(gram * _M[6] + run), id)
     full = id > kinds.least
     first = np.flatnonzero(kinds.first)
@@ -309,7 +312,7 @@ def _decide(gram: np.ndarray, run: np.ndarray, id: np.ndarray) -> tuple[np.ndarr
     fan = np.bincount(kinds.group)[kinds.group]
     asks, wanted = np.zeros(len(id), bool), np.zeros(len(id), bool)
     for side in (left, right):
-        groups = _Groups(gram << np.uint64(12) | side, id)
+        groups = _Groups(gram << np.uint64(SIDE_BITS) | side, id)
         asking = (side > 0) & (id > groups.least) & ~full
         asks |= asking
         # One run of each kind answers for it, where somebody asks.
